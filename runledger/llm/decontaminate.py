@@ -85,7 +85,9 @@ def template_tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
-    total = np.zeros(max(0, len(tokens) - size + 1), np.uint64)
+    if len(tokens) < size:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(tokens) - size + 1, np.uint64)
     for k in range(size):
         total += tokens[k : len(tokens) - size + 1 + k] * mix64(np.array([k + 1], np.uint64))[0]
     return mix64(total + np.uint64(size))

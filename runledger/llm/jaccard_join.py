@@ -179,14 +179,15 @@ def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
     """Links texts whose shingle sets have Jaccard similarity 0.75 or more and groups them by reachability.
 
     ``docs`` has ``doc_id`` (long, distinct) and ``text``; other columns are
-    ignored. Returns ``doc_id, n_shingles, component_id``, one row a document.
+    ignored. Returns ``doc_id, n_shingles, component_id``, one row a document;
+    rows without an id are left out.
     Null texts and texts without words have no shingles and are linked with
     nothing; texts with fewer than ``size`` words have one shingle, all of them.
     Equal sets are linked. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     measured = materialize(docs.mapInArrow(_measure(size), "doc_id long, n long, sig binary, h long, df long"), "jaccard-sizes")
     frequent = measured.where("h is not null").groupBy("h").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
     hot = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: words that licence texts spell in several ways
-SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"), ("centre", "center"), ("acknowledgement", "acknowledgment"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("wilful", "willful"), ("copyright owner", "copyright holder"), ("per cent", "percent"))
+SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"), ("centre", "center"), ("acknowledgement", "acknowledgment"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("wilful", "willful"), ("copyright owner", "copyright holder"), ("per cent", "percent"))
 
 # fixed values: whole licence texts
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'

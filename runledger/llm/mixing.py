@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +26,8 @@ MOST_COPIES = 2
 BLOCK = 4096
 #: Unrounded documents that one step of the tree pairs.
 FAN_IN = 512
+#: With more sources than this the plan is joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def word_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), text: str = "text") -> DataFrame:
@@ -83,12 +84,12 @@ def _pair(sizes: np.ndarray, p: np.ndarray, ids: np.ndarray, seed: int) -> np.nd
     return out
 
 
-def _round_group(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _round_group(key, rows):
     p = rows["p"].to_numpy(float)
     open_ = (p > 0) & (p < 1)
     if open_.sum() > 1:
         own = np.flatnonzero(open_)
-        p[own] = _pair(rows["size"].to_numpy(float)[own], p[own], rows["doc_id"].to_numpy(np.int64)[own], int(key[-1]))
+        p[own] = _pair(rows["size"].to_numpy(float)[own], p[own], rows["doc_id"].fillna(-1).to_numpy(np.int64)[own], int(key[-1]))
     return rows.assign(p=p)
 
 
@@ -107,8 +108,9 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
     rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     goals = targets([r.source_size for r in rows])
     plan = [(r.source, r.source_size, t, int(c := t / r.source_size if r.source_size else 0), float(c - int(c)), int(max(1, -(-r.n // BLOCK)))) for r, t in zip(rows, goals, strict=True)]
+    small = len(plan) <= MOST_BROADCAST
     plan = spark.createDataFrame(plan, "source string, source_size long, target double, whole int, fraction double, blocks int")
-    known = sized.join(plan, sized.source.eqNullSafe(plan.source)).select("doc_id", sized.source, "size", "source_size", "target", "whole", "blocks", F.when(F.col("size") > 0, F.col("fraction")).otherwise(0.0).alias("p")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("long"))
+    known = sized.join(F.broadcast(plan) if small else plan, sized.source.eqNullSafe(plan.source)).select("doc_id", sized.source, "size", "source_size", "target", "whole", "blocks", F.when(F.col("size") > 0, F.col("fraction")).otherwise(0.0).alias("p")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("long"))
     schema = "doc_id long, source string, size long, source_size long, target double, whole int, blocks int, p double, block long"
     leaves = materialize(known.groupBy("source", "block").applyInPandas(_round_group, schema), "mix-leaves")
     most = max((r.n for r in rows), default=0)
@@ -128,6 +130,6 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
-    """The mixed table itself: each row of ``docs`` as many times as the mix takes it. ``doc_id`` must be distinct."""
+    """The mixed table itself: each row of ``docs`` as many times as the mix takes it. ``doc_id`` must be distinct (null counts as an id)."""
     wanted = mix(docs, text, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.expr("sequence(1, copies)").alias("__copy"))
-    return docs.join(wanted, docs.doc_id == wanted["__id"]).withColumn("__copy", F.explode("__copy")).drop("__id", "__copy")
+    return docs.join(wanted, docs.doc_id.eqNullSafe(wanted["__id"])).withColumn("__copy", F.explode("__copy")).drop("__id", "__copy")

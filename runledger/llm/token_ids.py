@@ -28,8 +28,8 @@ PERCENTILE = 0.9
 END_ID = 2
 MAGIC = 0x31524650
 MOST_CACHED = 400_000
-#: White space that isn't one space or line break between two other characters.
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+#: White space that isn't one space or line break between two other characters, and what may begin a special token.
+_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]|<\|")
 
 
 def load_tokenizer(name: str):
@@ -180,8 +180,8 @@ def write_token_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", tex
     """Tokenizes all texts in ascending ``doc_id`` order and writes the segments; gives the table that reads them.
 
     Columns: ``part, before`` (ids of the part before this segment), ``n_ids,
-    doc_ids, sizes, image``. Null texts are empty: one end id. ``doc_id`` must
-    not be null.
+    doc_ids, sizes, image``. Null texts are empty: one end id. Null ids come
+    first, equal ids one after another; an empty table gives no segment.
     """
     prepare(docs.sparkSession)
     n = parts(docs)
@@ -190,10 +190,10 @@ def write_token_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", tex
         coder, before, part = None, 0, TaskContext.get().partitionId()
         for batch in batches:
             coder = coder or Coder(load(tokenizer))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_pylist()
             for first, rows, _, _ in slices(batch.column(1), lower=False):
                 flat, sizes = coder.ids([x.decode() for x in rows])
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([ids[first : first + len(rows)].tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([pack(flat)], pa.binary())], names=["part", "before", "n_ids", "doc_ids", "sizes", "image"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([ids[first : first + len(rows)]], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([pack(flat)], pa.binary())], names=["part", "before", "n_ids", "doc_ids", "sizes", "image"])
                 before += len(flat)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")

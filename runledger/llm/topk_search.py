@@ -116,7 +116,7 @@ def _matrix(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(k: int):
-    def run(blocks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def run(blocks, asked):
         out = []
         for ids, data in zip(blocks["ids"], blocks["data"], strict=True):
             block = SlicedBlock(*_matrix(ids, data))
@@ -130,7 +130,7 @@ def _search(k: int):
     return run
 
 
-def _packed(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _packed(key, rows):
     return pd.DataFrame({"block": [key[0]], "width": [key[1]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "data": [np.concatenate(rows["q"].to_numpy()).astype(np.int64).tobytes()]})
 
 
