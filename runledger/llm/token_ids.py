@@ -109,6 +109,16 @@ class Coder:
         return np.insert(flat, text_ends, END_ID), np.diff(np.concatenate(([0], text_ends))) + 1
 
 
+_CODERS: dict[str, Coder] = {}
+
+
+def _coder(name: str, load: Callable) -> Coder:
+    """This worker's coder: a task finds the pieces that earlier tasks of the worker have met."""
+    if name not in _CODERS:
+        _CODERS[name] = Coder(load(name))
+    return _CODERS[name]
+
+
 def _widths(top: np.ndarray) -> np.ndarray:
     return np.where(top > 0, np.floor(np.log2(np.maximum(top, 1))) + 1, 1).astype(np.int64)
 
@@ -187,9 +197,9 @@ def write_token_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", tex
     n = parts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, before, part = None, 0, TaskContext.get().partitionId()
+        before, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            coder = coder or Coder(load(tokenizer))
+            coder = _coder(tokenizer, load)
             ids = batch.column(0).to_pylist()
             for first, rows, _, _ in slices(batch.column(1), lower=False):
                 flat, sizes = coder.ids([x.decode() for x in rows])
