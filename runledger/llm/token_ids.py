@@ -10,7 +10,6 @@ Spark's own writers and readers place them in any store.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,8 +27,13 @@ PERCENTILE = 0.9
 END_ID = 2
 MAGIC = 0x31524650
 MOST_CACHED = 400_000
-#: White space that isn't one space or line break between two other characters, and what may begin a special token.
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]|<\|")
+
+
+def plainly_spaced(text: str) -> bool:
+    """Whether all white space is one space or line break between two other characters, and nothing may begin a special token."""
+    words = text.split()
+    gaps = len(words) - 1
+    return gaps >= 0 and sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps and "<|" not in text
 
 
 def load_tokenizer(name: str):
@@ -42,6 +46,17 @@ def load_tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
+class _Numbers(dict):
+    """Numbers of pieces. A piece begins with a tab at a text's start, with a line break after one, else a space comes before it."""
+
+    def __init__(self, coder):
+        self.coder = coder
+
+    def __missing__(self, p: str) -> int:
+        self[p] = i = self.coder.add(p if p[0] == "\n" else p[1:] if p[0] == "\t" else " " + p)
+        return i
+
+
 class Coder:
     """Encodes whole texts with a byte-level BPE tokenizer, keeping the ids of pieces between single spaces.
 
@@ -56,7 +71,7 @@ class Coder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers(self)
         self.waiting: list[str] = []
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
@@ -64,30 +79,31 @@ class Coder:
         self.sizes = np.zeros(1 << 16, np.int64)
         self.count = 0
 
-    def _add(self, text: str) -> int:
+    def add(self, text: str) -> int:
         self.waiting.append(text)
         self.count += 1
         return self.count - 1
 
-    def _pieces(self, text: str) -> list[int]:
-        if _IRREGULAR.search(text):
-            return [self._add(text)]
-        known, out = self.known, []
+    def _pieces(self, text: str, out: list[int]) -> None:
+        if not text:
+            return
+        if not plainly_spaced(text):
+            out.append(self.add(text))
+            return
         pieces = text.replace("\n", " \n").split(" ")
         pieces[0] = "\t" + pieces[0]
-        for p in pieces:
-            i = known.get(p)
-            if i is None:
-                i = known[p] = self._add(p if p[0] == "\n" else p[1:] if p[0] == "\t" else " " + p)
-            out.append(i)
-        return out
+        out.extend(map(self.known.__getitem__, pieces))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text followed by END_ID, and their number by text."""
         if self.count > MOST_CACHED:
             self.clear()
         before = self.count
-        found = [self._pieces(x) if x else [] for x in texts]
+        found: list[int] = []
+        ends_at = [0]
+        for x in texts:
+            self._pieces(x, found)
+            ends_at.append(len(found))
         if self.waiting:
             coded = [x.ids for x in self.encode(self.waiting, add_special_tokens=False)]
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))
@@ -101,10 +117,10 @@ class Coder:
             self.sizes[before : self.count] = sizes
             self.used += len(flat)
             self.waiting = []
-        pieces = np.fromiter((i for x in found for i in x), np.int64, sum(map(len, found)))
+        pieces = np.array(found, np.int64)
         sizes = self.sizes[pieces]
         ends = np.cumsum(sizes)
-        text_ends = np.concatenate(([0], ends))[np.cumsum([len(x) for x in found])] if found else np.zeros(0, np.int64)
+        text_ends = np.concatenate(([0], ends))[ends_at[1:]] if texts else np.zeros(0, np.int64)
         flat = self.pool[np.repeat(self.starts[pieces] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return np.insert(flat, text_ends, END_ID), np.diff(np.concatenate(([0], text_ends))) + 1
 
