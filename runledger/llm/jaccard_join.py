@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from runledger.llm.common import materialize, minimal_labels, parts, prepare, shingle_hashes, word_slices
 
 SHORT_COLUMN = 8
-#: A shingle in so many texts of one block counts as frequent.
-FREQUENT_IN_BLOCK = 64
+#: A shingle in so many texts of one block counts as frequent; the counts of all blocks are then added.
+FREQUENT_IN_BLOCK = 8
 #: Most shingles that can be called frequent; any choice gives the same result, so this bounds the broadcast only.
 MOST_FREQUENT = 200_000
 SALTS = 16
