@@ -3,8 +3,9 @@
 Rows of the matrix are documents, columns are 5-word shingles. A size-derived
 bound cuts the columns: two sets with Jaccard similarity t share a shingle among
 the first ``n - ceil(t n) + 1`` of each in any common order, so only those
-entries of the product are formed. Shingles frequent within a block come last in
-the order, which keeps passages that many documents share out of these prefixes.
+entries of the product are formed. A count sketch of all shingles of all texts
+gives each a level, and the order is by level, then hash: passages that many
+documents share come last, which keeps them out of these prefixes.
 
 * Columns with few rows add 1 to the overlap count of every pair of their rows.
 * Columns with many rows are not multiplied out: each row is paired with the
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from runledger.llm.common import materialize, minimal_labels, parts, prepare, shingle_hashes, word_slices
 
 SHORT_COLUMN = 8
-#: A shingle in so many texts of one block counts as frequent; the counts of all blocks are then added.
-FREQUENT_IN_BLOCK = 8
-#: Most shingles that can be called frequent; any choice gives the same result, so this bounds the broadcast only.
-MOST_FREQUENT = 200_000
+#: The sketch has 2 ** SKETCH_BITS counters, whatever the input; a task sends them in chunks of 2 ** CHUNK_BITS.
+SKETCH_BITS, CHUNK_BITS = 21, 15
+#: Counters of at least so many texts, and of so many times the mean counter, have a level above 0. Any order of shingles gives the same result.
+FREQUENT, ABOVE_MEAN = 8, 4
 SALTS = 16
 SIGN = np.uint64(1 << 63)
 
@@ -46,49 +47,67 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, l
             yield ids[first : first + count], [np.unique(shingle_hashes(hashes[bounds[i] : bounds[i + 1]], size)) for i in range(count)]
 
 
+def _counters(unique: np.ndarray) -> np.ndarray:
+    return (unique * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _measure(size: int):
+    """Set sizes and signatures, then the task's counters: ``h`` is the chunk, ``sig`` its counters' places and counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = []
-            for ids, sets in _sets(iter([batch]), size):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_signature(x) if len(x) else None for x in sets], pa.binary()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], names=["doc_id", "n", "sig", "h", "df"])
-                merged, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                keep = counts >= 2
-                seen.append((merged[keep], counts[keep]))
-            if seen:
-                all_h, all_c = np.concatenate([x[0] for x in seen]), np.concatenate([x[1] for x in seen])
-                merged, where = np.unique(all_h, return_inverse=True)
-                total = np.bincount(where, all_c, len(merged)).astype(np.int64)
-                hot = total >= FREQUENT_IN_BLOCK
-                k = int(hot.sum())
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(merged[hot].view(np.int64)), pa.array(total[hot])], names=["doc_id", "n", "sig", "h", "df"])
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        for ids, sets in _sets(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_signature(x) if len(x) else None for x in sets], pa.binary()), pa.nulls(len(ids), pa.int64())], names=["doc_id", "n", "sig", "h"])
+            if sets:
+                np.add.at(sketch, _counters(np.concatenate(sets)), 1)
+        for chunk, part in enumerate(sketch.reshape(-1, 1 << CHUNK_BITS)):
+            at = np.flatnonzero(part)
+            if len(at):
+                packed = np.concatenate((at, part[at])).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary()), pa.array([chunk], pa.int64())], names=["doc_id", "n", "sig", "h"])
 
     return run
 
 
-def _prefixes(size: int, hot_b):
+def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, counts = np.frombuffer(packed, np.int64).reshape(2, -1)
+            total.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))[at] += counts
+    for chunk, counts in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["h", "sig"])
+
+
+def _levels(measured: DataFrame) -> np.ndarray:
+    """One byte a counter: 0 if it is not frequent, else 1 and one more for each doubling. What the driver gets has a fixed size."""
+    chunks = measured.where("h is not null").select("h", "sig").repartition(1 << (SKETCH_BITS - CHUNK_BITS), "h").mapInArrow(_add_chunks, "h long, sig binary")
+    counts = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
+    for row in chunks.collect():
+        counts[row["h"]] = np.frombuffer(row["sig"], np.int64)
+    counts = counts.ravel()
+    over = counts / max(FREQUENT, ABOVE_MEAN * counts.mean())
+    return np.where(over >= 1, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
+
+
+def _prefixes(size: int, levels_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = hot_b.value
+        levels = levels_b.value
         for ids, sets in _sets(batches, size):
-            h, d, kind, salt = [], [], [], []
+            h, d, kind = [], [], []
             for doc, unique in zip(ids, sets, strict=True):
                 n = len(unique)
                 if not n:
                     continue
-                at = np.minimum(np.searchsorted(hot, unique), max(len(hot) - 1, 0))
-                late = hot[at] == unique if len(hot) else np.zeros(n, bool)
-                p = n - (3 * n + 3) // 4 + 1
-                plain = unique[~late][:p]
-                rest = unique[late][: p - len(plain)]
-                last = rest[-1] if len(rest) else plain[-1]
-                h += [plain, rest, np.array([last], np.uint64)]
-                d.append(np.full(p + 1, doc, np.int64))
-                kind += [np.zeros(len(plain), np.int8), np.ones(len(rest), np.int8), np.array([3 if len(rest) else 2], np.int8)]
+                level = levels[_counters(unique)]
+                first = np.argsort(level, kind="stable")[: n - (3 * n + 3) // 4 + 1]
+                h += [unique[first], unique[first[-1:]]]
+                d.append(np.full(len(first) + 1, doc, np.int64))
+                kind += [(level[first] > 0).astype(np.int8), (2 + level[first[-1:]]).astype(np.int8)]
             if h:
-                flags = np.concatenate(kind)
-                docs = np.concatenate(d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(docs), pa.array(np.where(flags == 0, 0, 1 + (docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).astype(np.int8) % SALTS).astype(np.int8)), pa.array(flags)], names=["h", "doc_id", "salt", "kind"])
+                flags, docs = np.concatenate(kind), np.concatenate(d)
+                salt = 1 + (docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).astype(np.int8) % SALTS
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(docs), pa.array(np.where(flags == 0, 0, salt).astype(np.int8)), pa.array(flags)], names=["h", "doc_id", "salt", "kind"])
 
     return run
 
@@ -97,7 +116,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by column; what it holds of a column between batches is at most SHORT_COLUMN rows.
 
     Gives kind 0: a pair (a, b) of one short column; 1: an entry (a: column, b: row) of a
-    long or frequent one; 2 and 3: where the prefix of b ends.
+    long or frequent one; 2 and more: where the prefix of b ends, 2 plus the level.
     """
     names = ["kind", "a", "b"]
 
@@ -188,21 +207,20 @@ def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    measured = materialize(docs.mapInArrow(_measure(size), "doc_id long, n long, sig binary, h long, df long"), "jaccard-sizes")
-    frequent = measured.where("h is not null").groupBy("h").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
-    hot = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
+    measured = materialize(docs.mapInArrow(_measure(size), "doc_id long, n long, sig binary, h long"), "jaccard-sizes")
+    levels = spark.sparkContext.broadcast(_levels(measured))
     nodes = measured.where("doc_id is not null").select("doc_id", "n", "sig")
     first = nodes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = materialize(nodes.where("n > 0").join(first.where("copies > 1"), "sig").select("doc_id", "rep"), "jaccard-copies")
 
-    entries = docs.mapInArrow(_prefixes(size, hot), "h long, doc_id long, salt byte, kind byte")
+    entries = docs.mapInArrow(_prefixes(size, levels), "h long, doc_id long, salt byte, kind byte")
     product = materialize(entries.repartition(parts(docs), "h", "salt").sortWithinPartitions("h").mapInArrow(_columns, "kind byte, a long, b long"), "jaccard-product")
 
     def to_rep(df: DataFrame, col: str) -> DataFrame:
         other = copies.select(F.col("doc_id").alias(col), F.col("rep").alias("_rep"))
         return df.join(other, col, "left").withColumn(col, F.coalesce("_rep", col)).drop("_rep")
 
-    ends = product.where("kind >= 2").select(F.col("b").alias("doc_id"), (F.col("kind") == 3).alias("late"), F.col("a").alias("end"))
+    ends = product.where("kind >= 2").select(F.col("b").alias("doc_id"), (F.col("kind") - 2).alias("level"), F.col("a").alias("end"))
     entry = materialize(to_rep(product.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("doc_id")), "doc_id").distinct(), "jaccard-entries")
     pivots = entry.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).where("pivot <> other").select("h", "pivot")
     star = entry.join(pivots, "h").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct().withColumn("c", F.lit(0))
@@ -210,13 +228,13 @@ def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
     short = to_rep(to_rep(product.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("c")), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c")
     long_columns = entry.groupBy("doc_id").agg(F.count("*").alias("long"))
     # signed order of the end marks is enough to compare them: flip the sign bit to compare as unsigned
-    facts = materialize(nodes.where("n > 0").join(ends, "doc_id").join(long_columns, "doc_id", "left").select("doc_id", "n", F.coalesce("long", F.lit(0)).alias("long"), "late", F.col("end").bitwiseXOR(F.lit(-(1 << 63))).alias("end")), "jaccard-facts")
+    facts = materialize(nodes.where("n > 0").join(ends, "doc_id").join(long_columns, "doc_id", "left").select("doc_id", "n", F.coalesce("long", F.lit(0)).alias("long"), "level", F.col("end").bitwiseXOR(F.lit(-(1 << 63))).alias("end")), "jaccard-facts")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, c) that can still reach the needed overlap."""
         for side in ("a", "b"):
-            pairs = pairs.join(facts.select(F.col("doc_id").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("n", "long", "late", "end"))), side)
-        a_first = F.struct("late_a", "end_a") <= F.struct("late_b", "end_b")
+            pairs = pairs.join(facts.select(F.col("doc_id").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("n", "long", "level", "end"))), side)
+        a_first = F.struct("level_a", "end_a") <= F.struct("level_b", "end_b")
         beyond = F.when(a_first, F.floor((3 * F.col("n_a") + 3) / 4) - 1).otherwise(F.floor((3 * F.col("n_b") + 3) / 4) - 1)
         most = F.col("c") + F.least("long_a", "long_b") + beyond
         needed = F.ceil(3 * (F.col("n_a") + F.col("n_b")) / F.lit(7))
