@@ -13,7 +13,9 @@ documents share come last, which keeps them out of these prefixes.
   components are paired, as the other pairs can't change a component. The overlap
   of a pair is at least 6/7 of its smaller set, so that set's entry must be among
   its first ``n - ceil(6 n / 7) + 1``, its lead; texts that share a long passage
-  but are less alike have their own shingles there and form no pairs.
+  but are less alike have their own shingles there and form no pairs. A pair's
+  first shared column has no overlap before it in either set, so its place in
+  each must leave room for ``3 (nx + ny) / 7``.
 * Pairs whose count plus what may lie beyond the prefix stays below
   ``3 (nx + ny) / 7`` are discarded; the rest of the product is then completed
   from the whole texts, block by block.
@@ -97,7 +99,7 @@ def _prefixes(size: int, levels_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = levels_b.value
         for ids, sets in _sets(batches, size):
-            h, d, kind, lead = [], [], [], []
+            h, d, kind, place = [], [], [], []
             for doc, unique in zip(ids, sets, strict=True):
                 n = len(unique)
                 if not n:
@@ -106,12 +108,12 @@ def _prefixes(size: int, levels_b):
                 first = np.argsort(level, kind="stable")[: n - (3 * n + 3) // 4 + 1]
                 h += [unique[first], unique[first[-1:]]]
                 d.append(np.full(len(first) + 1, doc, np.int64))
-                lead += [np.arange(len(first)) <= n - (6 * n + 6) // 7, [False]]
+                place += [np.arange(len(first)), [0]]
                 kind += [(level[first] > 0).astype(np.int8), (2 + level[first[-1:]]).astype(np.int8)]
             if h:
                 flags, docs = np.concatenate(kind), np.concatenate(d)
                 salt = 1 + (docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).astype(np.int8) % SALTS
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(docs), pa.array(np.where(flags == 0, 0, salt).astype(np.int8)), pa.array(flags), pa.array(np.concatenate(lead).astype(np.int8))], names=["h", "doc_id", "salt", "kind", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(docs), pa.array(np.where(flags == 0, 0, salt).astype(np.int8)), pa.array(flags), pa.array(np.concatenate(place).astype(np.int32))], names=["h", "doc_id", "salt", "kind", "place"])
 
     return run
 
@@ -122,18 +124,18 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Gives kind 0: a pair (a, b) of one short column; 1: an entry (a: column, b: row) of a
     long or frequent one; 2 and more: where the prefix of b ends, 2 plus the level.
     """
-    names = ["kind", "a", "b", "lead"]
+    names = ["kind", "a", "b", "place"]
 
     def out(kind, a, b):
-        """``b``: rows, or rows and whether the column is in their lead."""
-        b, lead = (b, np.zeros(len(b), np.int64)) if b.ndim == 1 else (b[:, 0], b[:, 1])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8) if np.isscalar(kind) else kind), pa.array(a), pa.array(b), pa.array(lead.astype(np.int8))], names=names)
+        """``b``: rows, or rows and the column's place in each."""
+        b, place = (b, np.zeros(len(b), np.int64)) if b.ndim == 1 else (b[:, 0], b[:, 1])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8) if np.isscalar(kind) else kind), pa.array(a), pa.array(b), pa.array(place.astype(np.int32))], names=names)
 
     held_h, held_d = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
     long_column = None
     for batch in batches:
-        h, d, kind, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-        d = np.stack((d, lead.astype(np.int64)), axis=1)
+        h, d, kind, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+        d = np.stack((d, place.astype(np.int64)), axis=1)
         other = kind > 0
         if other.any():
             yield out(kind[other].astype(np.int8), h[other], d[other])
@@ -220,15 +222,15 @@ def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
     first = nodes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = materialize(nodes.where("n > 0").join(first.where("copies > 1"), "sig").select("doc_id", "rep"), "jaccard-copies")
 
-    entries = docs.mapInArrow(_prefixes(size, levels), "h long, doc_id long, salt byte, kind byte, lead byte")
-    product = materialize(entries.repartition(parts(docs), "h", "salt").sortWithinPartitions("h").mapInArrow(_columns, "kind byte, a long, b long, lead byte"), "jaccard-product")
+    entries = docs.mapInArrow(_prefixes(size, levels), "h long, doc_id long, salt byte, kind byte, place int")
+    product = materialize(entries.repartition(parts(docs), "h", "salt").sortWithinPartitions("h").mapInArrow(_columns, "kind byte, a long, b long, place int"), "jaccard-product")
 
     def to_rep(df: DataFrame, col: str) -> DataFrame:
         other = copies.select(F.col("doc_id").alias(col), F.col("rep").alias("_rep"))
         return df.join(other, col, "left").withColumn(col, F.coalesce("_rep", col)).drop("_rep")
 
     ends = product.where("kind >= 2").select(F.col("b").alias("doc_id"), (F.col("kind") - 2).alias("level"), F.col("a").alias("end"))
-    entry = materialize(to_rep(product.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("doc_id"), "lead"), "doc_id").distinct(), "jaccard-entries")
+    entry = materialize(to_rep(product.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("doc_id"), "place"), "doc_id").distinct(), "jaccard-entries")
     pivots = entry.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).where("pivot <> other").select("h", "pivot")
     star = entry.join(pivots, "h").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct().withColumn("c", F.lit(0))
     # a pair of rows that stand for others may count a column several times; that only loosens the bound
@@ -261,12 +263,12 @@ def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
 
     # columns that still hold rows of different components
     member = entry.join(facts.select("doc_id", "n"), "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_columns = member.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("lead").alias("leads")).where("lo <> hi and leads = 1").select("h")
+    open_columns = member.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(7 * F.col("place") - F.col("n")).alias("lead")).where("lo <> hi and lead <= 0").select("h")
     rest = materialize(member.join(open_columns, "h", "left_semi").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)))), "jaccard-open")
     # the smaller set, by size and id, has the column in its lead; the larger is in its band or the next two
-    x = rest.where("lead = 1").select("h", F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)).alias("band"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("h", "band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    smaller = x.join(y, ["h", "band"]).where("ca <> cb and 4 * na >= 3 * nb and (na < nb or na = nb and a < b)")
+    x = rest.where("7 * place <= n").select("h", F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)).alias("band"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
+    y = rest.select("h", "band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"))
+    smaller = x.join(y, ["h", "band"]).where("ca <> cb and 4 * na >= 3 * nb and (na < nb or na = nb and a < b) and 7 * pa <= 4 * na - 3 * nb and 7 * pb <= 4 * nb - 3 * na")
     late_pairs = smaller.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.lit(0).alias("c")).join(tried, ["a", "b"], "left_anti")
     more = linked(bounded(late_pairs.join(short.groupBy("a", "b").agg(F.sum("c").alias("s")), ["a", "b"], "left").select("a", "b", F.coalesce("s", F.lit(0)).alias("c"))), "jaccard-more")
     labels = minimal_labels(links.union(more).union(same), "jaccard-all")

@@ -268,6 +268,21 @@ def test_jaccard_planted(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+def test_jaccard_around_the_bound(spark):
+    """Texts that share one long passage and own a part that puts pairs on both sides of the bound."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for d in range(160):
+        own = [f"o{d}x{i}" for i in range(rng.choice([2, 8, 11, 13, 15, 18, 30]))]
+        cut = rng.randrange(0, 8)
+        rows.append((d * 3, " ".join(own + passage[cut:] if rng.random() < 0.5 else passage[: 90 - cut] + own)))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_components(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert 2 < len({c for _, c in want.values()}) < len(rows)
+
+
 def test_jaccard_odd(spark):
     docs = odd_documents(spark)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()}
