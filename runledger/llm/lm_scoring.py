@@ -9,8 +9,10 @@ is its spelling's and its known frequency's, weighed by the Good-Turing estimate
 how often a word is new. A spelling stands for a new word, so its counts take
 every distinct word once.
 
-Counts come from every training text. Only the weights and the refinement are
-fitted on a bounded sample, SAMPLE words with their own counts left out.
+Counts come from every training text. The weights and the refinement are fitted on
+every distinct training word with its own counts left out: in each of PASSES rounds
+every partition learns online from the weights of the round before, and these are
+averaged by the bits that each gate met; then one pass counts the refinement.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ SLOTS = int(BASES[-1])
 CHUNK = 1 << 15
 FAN_IN = 64
 END = 32
-SAMPLE = 20_000
 #: Words that are looked up without a join; the rest are joined, so this bounds the broadcast only.
 MOST_FREQUENT = 500_000
 CONFIDENCES = 3
@@ -42,6 +43,7 @@ PASSES = 3
 RATE = 0.25
 BUCKETS = 33
 PIECE = 1 << 17
+FIT_PIECE = 1 << 14
 
 
 def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,11 +75,11 @@ def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slots.reshape(len(ORDERS), -1), bits.ravel(), np.repeat(word, 8)
 
 
-def _pieces(words: list[bytes]) -> Iterator[slice]:
+def _pieces(words: list[bytes], size: int = PIECE) -> Iterator[slice]:
     at, total = 0, 0
     for i, w in enumerate(words):
         total += len(w) + 1
-        if total >= PIECE:
+        if total >= size:
             yield slice(at, i + 1)
             at, total = i + 1, 0
     if at < len(words):
@@ -85,7 +87,7 @@ def _pieces(words: list[bytes]) -> Iterator[slice]:
 
 
 class Mixer:
-    """The model that is fitted on the sample: gated weights and the refinement table."""
+    """The model that is fitted on the training words: gated weights and the refinement table."""
 
     def __init__(self):
         self.weights = np.tile(np.array([0.05, 0.15, 0.25, 0.3, 0.3, 0.0]), (GATES, 1))
@@ -113,20 +115,21 @@ class Mixer:
         table = self.refined[gate, low] * (low + 1 - at) + self.refined[gate, low + 1] * (at - low)
         return np.clip((1 / (1 + np.exp(-z)) + table) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, step: int = 1024) -> None:
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float, step: int = 1024) -> None:
         """Online: each step predicts, then moves the weights of the gates it met by its errors."""
-        steps = -(-len(bit) // step)
-        for n in range(PASSES * steps):
-            at = n % steps * step
+        for at in range(0, len(bit), step):
             own, g, b = x[:, at : at + step], gate[at : at + step], bit[at : at + step]
             error = b - 1 / (1 + np.exp(-self.mixed(own, g)))
-            rate = RATE / (1 + 4 * n / (PASSES * steps))
             moved = np.stack([np.bincount(g, row * error, GATES) for row in own], axis=1)
             self.weights += rate * moved / np.maximum(np.bincount(g, minlength=GATES), 32)[:, None]
-        z = self.mixed(x, gate)
-        near = np.rint(np.clip((z + 8) / 16 * (BUCKETS - 1), 0, BUCKETS - 1)).astype(np.int64)
+
+    def outcomes(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Bits and ones by gate and bucket of the mixed log-odds."""
+        near = np.rint(np.clip((self.mixed(x, gate) + 8) / 16 * (BUCKETS - 1), 0, BUCKETS - 1)).astype(np.int64)
         key = gate * BUCKETS + near
-        n, ones = np.bincount(key, minlength=GATES * BUCKETS), np.bincount(key, bit, GATES * BUCKETS)
+        return np.stack([np.bincount(key, minlength=GATES * BUCKETS), np.bincount(key, bit, GATES * BUCKETS)])
+
+    def refine(self, n: np.ndarray, ones: np.ndarray) -> None:
         self.refined = (ones.reshape(GATES, BUCKETS) + 30 * self.refined) / (n.reshape(GATES, BUCKETS) + 30)
 
 
@@ -170,9 +173,49 @@ def _added(key, rows):
     return pd.DataFrame({"chunk": [key[0]], "task": [0], "counts": [total.tobytes()]})
 
 
-def _spelled(model):
+def _fitted(mixer: Mixer, shared, rate: float | None):
+    """One row a partition: its learned weights times the bits met by gate, and those bits; without a rate the outcomes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts = shared.value
+        own = Mixer()
+        own.weights, own.refined = mixer.weights.copy(), mixer.refined
+        met, found = np.zeros(GATES), np.zeros((2, GATES * BUCKETS))
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            for part in _pieces(words, FIT_PIECE):
+                slots, bits, _ = spelling(words[part])
+                x, gate = Mixer.inputs(np.maximum(counts[0][slots] - (bits == 0), 0), np.maximum(counts[1][slots] - (bits == 1), 0))
+                if rate is None:
+                    found += own.outcomes(x, gate, bits)
+                else:
+                    own.learn(x, gate, bits.astype(np.float32), rate)
+                    met += np.bincount(gate, minlength=GATES)
+        sums = found.ravel() if rate is None else np.concatenate([(own.weights * met[:, None]).ravel(), met])
+        if sums.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["task", "sums"])
+
+    return run
+
+
+def _joined(rows):
+    # in the order of the partitions, as sums of fractions depend on it
+    total = sum(np.frombuffer(x) for x in rows.sort_values("task")["sums"])
+    return pd.DataFrame({"task": [int(rows["task"].min())], "sums": [total.tobytes()]})
+
+
+def _over_all(known: DataFrame, mixer: Mixer, shared, rate: float | None, size: int) -> np.ndarray:
+    """Sums over all partitions; FAN_IN rows of a fixed size reach the driver."""
+    found = known.mapInArrow(_fitted(mixer, shared, rate), "task int, sums binary")
+    found = found.groupBy(F.pmod("task", F.lit(FAN_IN))).applyInPandas(_joined, "task int, sums binary")
+    return sum((np.frombuffer(r["sums"]) for r in sorted(found.collect())), np.zeros(size))
+
+
+def _spelled(mixer: Mixer, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, counts = model.value
+        counts = shared.value
         for batch in batches:
             words = batch.column(0).to_pylist()
             logs = np.zeros(len(words))
@@ -215,8 +258,8 @@ def _scored(lexicon):
     return run
 
 
-def fit_spelling(lexicon: DataFrame) -> tuple[Mixer, np.ndarray]:
-    """Slot counts over all words with a count and the mixer: what reaches the driver has a fixed size."""
+def fit_spelling(lexicon: DataFrame):
+    """The mixer and the broadcast slot counts over all words with a count: what reaches the driver has a fixed size."""
     known = lexicon.where("n > 0").select("word")
     chunks = known.mapInArrow(_slot_counts, "chunk int, task int, counts binary")
     for key in ((F.col("chunk"), F.pmod("task", F.lit(FAN_IN))), (F.col("chunk"),)):
@@ -225,14 +268,14 @@ def fit_spelling(lexicon: DataFrame) -> tuple[Mixer, np.ndarray]:
     for r in chunks.select("chunk", "counts").toLocalIterator():
         counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
     counts = np.ascontiguousarray(counts.reshape(-1, 2).T.astype(np.float32))
+    shared = lexicon.sparkSession.sparkContext.broadcast(counts)
     mixer = Mixer()
-    sample = known.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()
-    if sample:
-        slots, bits, word = spelling([bytes(r["word"]) for r in sample])
-        n0, n1 = counts[0][slots], counts[1][slots]
-        x, gate = mixer.inputs(np.maximum(n0 - (bits == 0), 0), np.maximum(n1 - (bits == 1), 0))
-        mixer.learn(x, gate, bits.astype(np.float32))
-    return mixer, counts
+    for n in range(PASSES):
+        sums = _over_all(known, mixer, shared, RATE / (1 + 4 * n / PASSES), GATES * (len(ORDERS) + 2))
+        weights, met = sums[:-GATES].reshape(GATES, -1), sums[-GATES:]
+        mixer.weights = np.where(met[:, None] > 0, weights / np.maximum(met, 1)[:, None], mixer.weights)
+    mixer.refine(*_over_all(known, mixer, shared, None, 2 * GATES * BUCKETS).reshape(2, -1))
+    return mixer, shared
 
 
 def score_texts(docs: DataFrame, held_out: F.Column, text: str = "text") -> DataFrame:
@@ -255,12 +298,12 @@ def score_texts(docs: DataFrame, held_out: F.Column, text: str = "text") -> Data
     tokens, distinct = total["n"] + ends, total["v"] + (ends > 0)
     fresh = max(total["once"], 1) / (tokens + 1)
     bottom = np.log10(tokens + 0.1 * (distinct + 1))
-    model = spark.sparkContext.broadcast(fit_spelling(lexicon))
+    mixer, shared = fit_spelling(lexicon)
     n = F.col("n").cast("double")
     whole = (1 - fresh) * n / max(tokens, 1) + fresh * F.pow(F.lit(10.0), F.col("spelled"))
     # an unknown word may be so long that its probability underflows: only the logarithm is used
     score = F.when(F.col("n") == 0, F.lit(float(np.log10(fresh))) + F.col("spelled")).otherwise(F.log10(whole))
-    scored = materialize(lexicon.select("word", "n_all", "n").mapInArrow(_spelled(model), "h long, n_all long, n long, spelled double").select("h", "n_all", F.when(F.col("n") > 0, 1).otherwise(0).cast("long").alias("known"), (F.log10(n + 0.1) - F.lit(float(bottom))).alias("base"), score.alias("score")), "lm-lexicon")
+    scored = materialize(lexicon.select("word", "n_all", "n").mapInArrow(_spelled(mixer, shared), "h long, n_all long, n long, spelled double").select("h", "n_all", F.when(F.col("n") > 0, 1).otherwise(0).cast("long").alias("known"), (F.log10(n + 0.1) - F.lit(float(bottom))).alias("base"), score.alias("score")), "lm-lexicon")
 
     sizes = scored.groupBy(F.least("n_all", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
     least, held = 100_001, 0

@@ -17,7 +17,7 @@ from runledger.llm.decontaminate import contaminated
 from runledger.llm.jaccard_join import jaccard_components
 from runledger.llm.language_id import identify, identify_documents, language_prototypes
 from runledger.llm.license_scan import TEXTS, scan_licenses
-from runledger.llm.lm_scoring import score_texts
+from runledger.llm.lm_scoring import BUCKETS, GATES, Mixer, fit_spelling, score_texts, spelling
 from runledger.llm.mixing import mix, mix_rows, targets
 from runledger.llm.sharding import shard_by_bytes
 from runledger.llm.token_ids import Coder, decode_ids, load_tokenizer, pack, read_token_files, unpack, write_token_files
@@ -356,6 +356,25 @@ def test_lm_prefers_the_corpus(spark):
     assert score_texts(docs, F.lit(True)).where("n_known > 0 or train_tokens > 0").count() == 0
 
 
+def test_lm_is_fitted_on_every_word(spark):
+    """The refinement counts the bits of all 24,000 words, each without its own counts."""
+    rng = random.Random(5)
+    lexicon = sorted({"".join(rng.choices("abcdeinorst", k=rng.randint(2, 9))).encode() for _ in range(40_000)})[:24_000]
+    mixer, shared = fit_spelling(spark.createDataFrame([(bytearray(w), 1) for w in lexicon], "word binary, n long").repartition(3))
+    counts = shared.value
+    slots, bits, _ = spelling(lexicon)
+    x, gate = Mixer.inputs(np.maximum(counts[0][slots] - (bits == 0), 0), np.maximum(counts[1][slots] - (bits == 1), 0))
+    near = np.rint((np.clip(mixer.mixed(x, gate), -8, 8) + 8) / 16 * (BUCKETS - 1)).astype(int)
+    n, ones = np.zeros((GATES, BUCKETS)), np.zeros((GATES, BUCKETS))
+    np.add.at(n, (gate, near), 1)
+    np.add.at(ones, (gate, near), bits)
+    assert n.sum() == sum(8 * (len(w) + 1) for w in lexicon) and len(lexicon) == 24_000
+    assert np.allclose(mixer.refined, (ones + 30 * Mixer().refined) / (n + 30), atol=1e-3)
+    plain, fitted = Mixer(), mixer.probability(x, gate)
+    loss = lambda p: -np.log2(np.where(bits == 1, p, 1 - p)).mean()
+    assert loss(fitted) < loss(plain.probability(x, gate))
+
+
 # all
 
 
