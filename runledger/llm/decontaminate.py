@@ -3,7 +3,9 @@
 Numbers, names and units become typed placeholders, so that a question and the
 same question with other parameters have the same template. Windows of template
 tokens are joined by hash; along each alignment of a document with an item, one
-value of a slot in the item must always stand for one value in the document.
+value of a slot in the item must always stand for one value in the document, within
+each run of overlapping windows. Equal numbers of different things (2 apples, 2
+hours) are different slots.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from runledger.llm.common import materialize, mix64, prepare, slices, words_of
 
@@ -105,6 +108,11 @@ def _windows(sizes: list[int] | None, passes):
                 counts = np.diff(bounds)
                 words = np.concatenate(([0], np.cumsum(~slot)))
                 text_of = np.repeat(np.arange(len(rows)), counts)
+                things = np.zeros(len(tokens), np.uint64)
+                things[:-1] = np.where(slot, values, tokens)[1:]
+                things[bounds[1:][counts > 0] - 1] = 0
+                # a number is the same quantity only before the same thing
+                keys = np.where(tokens == NUMBER, mix64(values + mix64(things)), values)
                 for size in sizes or range(SHORTEST, WINDOW + 1):
                     h = window_hashes(tokens, size)
                     if not len(h):
@@ -119,13 +127,13 @@ def _windows(sizes: list[int] | None, passes):
                     at = np.flatnonzero(ok)
                     if not len(at):
                         continue
-                    slots = [values[i : i + size][slot[i : i + size]].view(np.int64) for i in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + text_of[at]]), pa.array((at - bounds[text_of[at]]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(h[at].view(np.int64)), pa.array(slots, pa.list_(pa.int64()))], names=["id", "pos", "size", "h", "slots"])
+                    slots, own = ([x[i : i + size][slot[i : i + size]].view(np.int64) for i in at] for x in (values, keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + text_of[at]]), pa.array((at - bounds[text_of[at]]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(h[at].view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64()))], names=["id", "pos", "size", "h", "slots", "keys"])
 
     return run
 
 
-WINDOW_SCHEMA = "id long, pos int, size int, h long, slots array<long>"
+WINDOW_SCHEMA = "id long, pos int, size int, h long, slots array<long>, keys array<long>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -149,12 +157,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     passes = spark.sparkContext.broadcast(bits)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null and id is not null")
     met = texts.mapInArrow(_windows(sizes or [WINDOW], passes), WINDOW_SCHEMA)
-    pairs = met.join(known.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "size", "h", F.col("slots").alias("item_slots")), ["h", "size"]).select(F.col("id").alias("doc_id"), "item_id", "pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("z"))
+    pairs = met.join(known.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "size", "h", F.col("slots").alias("item_slots"), F.col("keys").alias("item_keys")), ["h", "size"]).select(F.col("id").alias("doc_id"), "item_id", "pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("item_keys", "item_slots", "slots").alias("z"))
     pairs = materialize(pairs, "window-pairs")
-    along = pairs.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("windows"), F.min("pos").alias("doc_pos"))
-    values = pairs.select("doc_id", "item_id", "shift", F.explode("z").alias("s")).select("doc_id", "item_id", "shift", F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).distinct()
-    per_value = values.groupBy("doc_id", "item_id", "shift", "a").agg(F.count("*").alias("values"), F.max((F.col("a") != F.col("b")).cast("int")).alias("differs"))
-    checked = per_value.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("slots"), F.sum("differs").alias("changed"), F.max("values").alias("most"))
-    good = along.join(checked, ["doc_id", "item_id", "shift"], "left").where("coalesce(most, 1) = 1")
+    # an alignment has no more windows than the item
+    order = Window.partitionBy("doc_id", "item_id", "shift").orderBy("pos")
+    breaks = F.when(F.col("pos") - F.lag("pos").over(order) <= 1, 0).otherwise(1)
+    pairs = materialize(pairs.withColumn("breaks", breaks).withColumn("run", F.sum("breaks").over(order)), "window-runs")
+    along = ["doc_id", "item_id", "shift"]
+    values = pairs.select(*along, "run", F.explode("z").alias("s")).select(*along, "run", F.col("s.item_keys").alias("k"), F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).distinct()
+    bad = values.groupBy(*along, "run", "k").agg(F.countDistinct("b").alias("values")).where("values > 1").select(*along, "run").distinct()
+    windows = pairs.join(bad, [*along, "run"], "left_anti").groupBy(*along).agg(F.count("*").alias("windows"), F.min("pos").alias("doc_pos"))
+    per_value = values.join(bad, [*along, "run"], "left_anti").groupBy(*along, "a").agg(F.max((F.col("a") != F.col("b")).cast("int")).alias("differs"))
+    checked = per_value.groupBy(*along).agg(F.count("*").alias("slots"), F.sum("differs").alias("changed"))
+    good = windows.join(checked, along, "left")
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("windows", (-F.col("doc_pos")).alias("p"), F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("changed", F.lit(0)).alias("changed"))).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.windows").alias("windows"), (-F.col("x.p")).alias("doc_pos"), F.col("x.slots").alias("slots"), F.col("x.changed").alias("changed"))

@@ -127,6 +127,20 @@ def test_decontamination(spark):
     assert contaminated(docs, bench.where("item_id < 0")).count() == 0 and contaminated(docs.where("doc_id < 0"), bench).count() == 0
 
 
+def test_decontamination_drops_only_the_inconsistent_run(spark):
+    """Equal numbers of different things may get two values; an inconsistent run leaves the other runs of its alignment."""
+    question = "a farmer picks 2 apples from every tree in the orchard and then rests for 2 hours beside the river before walking home again"
+    first = "in the old harbour a captain called Harold counted every rope and then Harold slept until the morning bell"
+    last = "while the tired sailors carried all of the heavy barrels slowly down towards the empty store behind the church"
+    passage = f"{first} and after breakfast {last}"
+    edited = passage.replace("called Harold", "called Miriam").replace("after breakfast", "before supper")
+    docs = spark.createDataFrame([(1, "We know that " + question.replace("2 apples", "3 apples").replace("2 hours", "5 hours")), (2, "Now then, " + edited)], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, question), (11, passage)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 10), (2, 11)}
+    assert got[1, 10]["changed"] == 1 and got[2, 11]["changed"] == 0
+
+
 def test_decontamination_finds_whole_items(spark, small):
     docs, bench = documents(spark, small), spark.read.parquet(f"{small}/benchmark.parquet")
     items = {r["item_id"]: words(r["text"]) for r in bench.collect()}
