@@ -141,6 +141,17 @@ def test_decontamination_drops_only_the_inconsistent_run(spark):
     assert got[1, 10]["changed"] == 1 and got[2, 11]["changed"] == 0
 
 
+def test_decontamination_finds_plain_copies_and_opening_names(spark):
+    """Copies of items full of placeholders, in capitals, or short and within a sentence; names that also begin sentences."""
+    sums = "add 3 and 4 then 5 or 6 by 7 to 8 at 9 of 10 in 11"
+    story = "the little boat drifted past seven green islands while an old keeper lit every lamp along the silent northern shore"
+    short = "Which planet has the most moons"
+    named = "Yesterday the baker met Harold near a mill. Harold sold bread. Harold bought two old carts"
+    docs = spark.createDataFrame([(1, f"So now {sums} and stop"), (2, story.upper()), (3, story.title()), (4, f"he asked: well, {short} and left"), (5, f"Before that. {named.replace('Harold', 'Miriam')} again."), (6, " ".join(story.split()[:12]).upper())], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, sums), (11, story), (12, short), (13, named)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()} == {(1, 10), (2, 11), (3, 11), (4, 12), (5, 13)}
+
+
 def test_decontamination_finds_whole_items(spark, small):
     docs, bench = documents(spark, small), spark.read.parquet(f"{small}/benchmark.parquet")
     items = {r["item_id"]: words(r["text"]) for r in bench.collect()}
