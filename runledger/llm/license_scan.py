@@ -2,7 +2,8 @@
 
 Texts are normalised (case, punctuation and white space, copyright lines,
 equivalent spellings) and their SHA-256 is joined with the digests of known
-licences. The same lookup over single lines finds licence notices.
+licences, with and without their titles. The same lookup over single lines and
+sentences finds licence notices.
 """
 
 from __future__ import annotations
@@ -36,13 +37,20 @@ NAMES = {
     "CC0-1.0": ("CC0 1.0", "Creative Commons Zero 1.0"), "CC-BY-4.0": ("CC BY 4.0",), "CC-BY-SA-4.0": ("CC BY-SA 4.0",), "CC-BY-NC-4.0": ("CC BY-NC 4.0",), "CC-BY-ND-4.0": ("CC BY-ND 4.0",), "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0",), "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0",),
 }
 NOTICES = ("licensed under {}", "licensed under the {}", "released under {}", "released under the {}", "distributed under the {}", "this work is licensed under {}", "this work is licensed under the {}", "this software is licensed under the {}", "this project is licensed under the {}", "available under the {}")
+# fixed values: title lines above whole texts
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"), "Zlib": ("zlib License", "The zlib License"),
+}
+MARKS = r"(?:(?://+|#+|/?\*+|;+|--+)[ \t]*)*"
+SENTENCE = r"(?<=[.;!?])[ \t]+"
 MOST_BROADCAST = 100_000
 
 
 def canonical(text: Column) -> Column:
     """Lower case without copyright lines; words of ASCII letters and digits, single spaces, one spelling."""
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.regexp_replace(out, r"(^|\n)[ \t]*(copyright|\(c\)|©|portions copyright)[^\n]*", "$1")
+    out = F.regexp_replace(out, rf"(^|\n)[ \t]*{MARKS}(copyright|\(c\)|©|portions copyright)[^\n]*", "$1")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " ")), F.lit(" "))
     for spelling, plain in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {plain} "))
@@ -52,6 +60,9 @@ def canonical(text: Column) -> Column:
 def known_licences(spark: SparkSession) -> DataFrame:
     """Digests of the known texts and notices: ``kind, license, digest``."""
     rows = [("text", k, v) for k, v in TEXTS.items()] + [("notice", k, form.format(name)) for k, names in NAMES.items() for name in names for form in NOTICES]
+    rows += [("text", k, f"{title}\n{TEXTS[k]}") for k, titles in TITLES.items() for title in titles]
+    rows += [("notice", k, f'{form.format(name)} (the "License")') for k, names in NAMES.items() for name in names for form in NOTICES]
+    rows += [("notice", k, f"SPDX-License-Identifier: {k}{end}") for k in {**NAMES, **TEXTS} for end in (("", "-only", "-or-later") if "GPL" in k else ("",))]
     known = spark.createDataFrame(rows, "kind string, license string, text string")
     return known.select("kind", "license", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
 
@@ -60,7 +71,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Licence of every whole text and notices among its lines: ``doc_id, license, notices``.
 
     ``license`` is null where the whole text is no known licence; ``notices`` are
-    the licences that its lines name, in order, joined by commas (empty: none).
+    the licences that its lines or their sentences name, in order, joined by commas (empty: none).
     Null and empty texts have neither. Repeated ids must not occur. Where several
     licences share a digest the first in code point order counts.
     """
@@ -71,6 +82,6 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text"))
     whole = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known.where("kind = 'text'").select("digest", "license"), "digest", "left").select("doc_id", "license")
-    lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.explode(F.array_distinct(F.concat(F.array("line"), F.split("line", SENTENCE)))).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
     named = lines.join(known.where("kind = 'notice'").select("digest", "license"), "digest").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     return whole.join(named, "doc_id", "left").select("doc_id", "license", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -243,6 +243,12 @@ def test_licenses(spark):
 # n-gram Jaccard join
 
 
+def test_licenses_with_titles_marks_and_sentences(spark):
+    texts = ["MIT License\n\nCopyright (c) 2020 X\n\n" + TEXTS["MIT"], "// Copyright 2021 Y\n" + TEXTS["ISC"], "# SPDX-License-Identifier: MIT", 'Licensed under the Apache License, Version 2.0 (the "License");', "Made by us. Released under the MIT License. Have fun."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: (r["license"], r["notices"]) for r in scan_licenses(docs).collect()} == {0: ("MIT", ""), 1: ("ISC", ""), 2: (None, "MIT"), 3: (None, "Apache-2.0"), 4: (None, "MIT")}
+
+
 def brute_components(rows):
     sets = {}
     for doc_id, text in rows:
