@@ -8,14 +8,13 @@ gives each a level, and the order is by level, then hash: passages that many
 documents share come last, which keeps them out of these prefixes.
 
 * Columns with few rows add 1 to the overlap count of every pair of their rows.
-* Columns with many rows are not multiplied out: each row is paired with the
-  column's smallest row, and after components are known only rows of different
-  components are paired, as the other pairs can't change a component. The overlap
-  of a pair is at least 6/7 of its smaller set, so that set's entry must be among
-  its first ``n - ceil(6 n / 7) + 1``, its lead; texts that share a long passage
-  but are less alike have their own shingles there and form no pairs. A pair's
-  first shared column has no overlap before it in either set, so its place in
-  each must leave room for ``3 (nx + ny) / 7``.
+* Columns with many rows are not multiplied out: of each column's rows of about one
+  size the one with the least of its prefix in short columns is the pivot, as it has
+  the fewest shingles of its own. Each row is paired with its pivot, and pivots of
+  neighbouring sizes with each other. After components are known only rows of
+  different components are paired, as the other pairs can't change a component, and
+  of these only rows that have enough long columns, by size, before they are joined:
+  texts that share a long passage but are less alike have too few.
 * Pairs whose count plus what may lie beyond the prefix stays below
   ``3 (nx + ny) / 7`` are discarded; the rest of the product is then completed
   from the whole texts, block by block.
@@ -35,9 +34,11 @@ from runledger.llm.common import materialize, minimal_labels, parts, prepare, sh
 SHORT_COLUMN = 8
 #: The sketch has 2 ** SKETCH_BITS counters, whatever the input; a task sends them in chunks of 2 ** CHUNK_BITS.
 SKETCH_BITS, CHUNK_BITS = 21, 15
-#: Counters of at least so many texts, and of so many times the mean counter, have a level above 0. Any order of shingles gives the same result.
-FREQUENT, ABOVE_MEAN = 8, 4
+#: Counters of so many texts above the mean counter, and of so many of its roots, have a level above 0. Any order of shingles gives the same result.
+FREQUENT, ABOVE_NOISE = 8, 6
 SALTS = 16
+#: Steps of size between a set and one of 4/3 of its size.
+STEPS = 8
 SIGN = np.uint64(1 << 63)
 
 
@@ -91,7 +92,8 @@ def _levels(measured: DataFrame) -> np.ndarray:
     for row in chunks.collect():
         counts[row["h"]] = np.frombuffer(row["sig"], np.int64)
     counts = counts.ravel()
-    over = counts / max(FREQUENT, ABOVE_MEAN * counts.mean())
+    mean = counts.mean()
+    over = (counts - mean) / max(FREQUENT, ABOVE_NOISE * np.sqrt(mean))
     return np.where(over >= 1, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
 
 
@@ -203,6 +205,35 @@ def _complete(size: int):
     return run
 
 
+def _late_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs of rows (h, doc_id, place, n, fine, component, long, level, end) of one column and different components that may still be linked.
+
+    A pair shares long columns only. Let x be the smaller set and y be ``k`` steps of
+    size above it. The prefix that ends first bounds the overlap by the long columns
+    of either set and what lies beyond that prefix, so both need at least
+    ``3 (nx + ny) / 7 - 3 ny / 4`` long columns; and the first shared column's place
+    leaves room for the overlap. Both are asked of each row before the join, by ``k``,
+    and of each pair in it.
+    """
+    n, slack = F.col("n"), 1e-6
+    x_side, y_side = [], []
+    for k in range(STEPS + 2):
+        least, most = (4 / 3) ** (max(k - 1, 0) / STEPS), (4 / 3) ** ((k + 1) / STEPS)
+        x_side.append(F.when((7 * F.col("place") <= n * (4 - 3 * least + slack)) & (F.col("long") >= n * (3 / 7 - 9 / 28 * most - slack)), F.lit(k)))
+        y_side.append(F.when((7 * F.col("place") <= n * (4 - 3 / most + slack)) & (F.col("long") >= n * (3 / 7 / most - 9 / 28 - slack)), F.lit(k)))
+
+    def side(steps: list, s: str) -> DataFrame:
+        facts = [F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "place", "long", "level", "end")]
+        return rest.select("h", "fine", F.explode(F.array_compact(F.array(*steps))).alias("k"), *facts)
+
+    x, y = side(x_side, "x").withColumn("fine", F.col("fine") + F.col("k")), side(y_side, "y")
+    beyond = F.when(F.struct("level_x", "end_x") <= F.struct("level_y", "end_y"), F.floor((3 * F.col("n_x") + 3) / 4)).otherwise(F.floor((3 * F.col("n_y") + 3) / 4)) - 1
+    room = F.least("long_x", "long_y") + beyond >= F.ceil(3 * (F.col("n_x") + F.col("n_y")) / F.lit(7))
+    smaller = F.expr("component_x <> component_y and 4 * n_x >= 3 * n_y and (n_x < n_y or n_x = n_y and doc_id_x < doc_id_y) and 7 * place_x <= 4 * n_x - 3 * n_y and 7 * place_y <= 4 * n_y - 3 * n_x")
+    met = x.join(y, ["h", "fine", "k"]).where(smaller & room)
+    return met.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
     """Links texts whose shingle sets have Jaccard similarity 0.75 or more and groups them by reachability.
 
@@ -230,15 +261,19 @@ def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
         return df.join(other, col, "left").withColumn(col, F.coalesce("_rep", col)).drop("_rep")
 
     ends = product.where("kind >= 2").select(F.col("b").alias("doc_id"), (F.col("kind") - 2).alias("level"), F.col("a").alias("end"))
-    entry = materialize(to_rep(product.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("doc_id"), "place"), "doc_id").distinct(), "jaccard-entries")
-    pivots = entry.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).where("pivot <> other").select("h", "pivot")
-    star = entry.join(pivots, "h").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct().withColumn("c", F.lit(0))
-    # a pair of rows that stand for others may count a column several times; that only loosens the bound
-    short = to_rep(to_rep(product.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("c")), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c")
-    long_columns = entry.groupBy("doc_id").agg(F.count("*").alias("long"))
+    listed = materialize(to_rep(product.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("doc_id"), "place"), "doc_id").distinct(), "jaccard-entries")
+    long_columns = listed.groupBy("doc_id").agg(F.count("*").alias("long"))
     # signed order of the end marks is enough to compare them: flip the sign bit to compare as unsigned
     facts = materialize(nodes.where("n > 0").join(ends, "doc_id").join(long_columns, "doc_id", "left").select("doc_id", "n", F.coalesce("long", F.lit(0)).alias("long"), "level", F.col("end").bitwiseXOR(F.lit(-(1 << 63))).alias("end")), "jaccard-facts")
-
+    entry = listed.join(facts, "doc_id").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
+    # the row with the least of its prefix in short columns has the fewest shingles of its own
+    own = (F.floor(F.col("n") / 4) + 1 - F.col("long")) / F.col("n")
+    pivots = entry.groupBy("h", "band").agg(F.min(F.struct(own, "doc_id")).alias("x"), F.count("*").alias("rows")).select("h", "band", "rows", F.col("x.doc_id").alias("pivot"))
+    spokes = entry.join(pivots.where("rows > 1"), ["h", "band"]).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    rims = pivots.join(pivots.select("h", (F.col("band") - 1).alias("band"), F.col("pivot").alias("b")), ["h", "band"]).select(F.col("pivot").alias("a"), "b")
+    star = spokes.union(rims).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("c", F.lit(0))
+    # a pair of rows that stand for others may count a column several times; that only loosens the bound
+    short = to_rep(to_rep(product.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("c")), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c")
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, c) that can still reach the needed overlap."""
         for side in ("a", "b"):
@@ -261,15 +296,11 @@ def jaccard_components(docs: DataFrame, size: int = 5) -> DataFrame:
     same = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = minimal_labels(links, "jaccard")
 
-    # columns that still hold rows of different components
-    member = entry.join(facts.select("doc_id", "n"), "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # columns that still hold rows of different components; pairs with a short column in common are settled, so what is left shares long ones only
+    member = entry.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_columns = member.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(7 * F.col("place") - F.col("n")).alias("lead")).where("lo <> hi and lead <= 0").select("h")
-    rest = materialize(member.join(open_columns, "h", "left_semi").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)))), "jaccard-open")
-    # the smaller set, by size and id, has the column in its lead; the larger is in its band or the next two
-    x = rest.where("7 * place <= n").select("h", F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)).alias("band"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
-    y = rest.select("h", "band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"))
-    smaller = x.join(y, ["h", "band"]).where("ca <> cb and 4 * na >= 3 * nb and (na < nb or na = nb and a < b) and 7 * pa <= 4 * na - 3 * nb and 7 * pb <= 4 * nb - 3 * na")
-    late_pairs = smaller.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.lit(0).alias("c")).join(tried, ["a", "b"], "left_anti")
-    more = linked(bounded(late_pairs.join(short.groupBy("a", "b").agg(F.sum("c").alias("s")), ["a", "b"], "left").select("a", "b", F.coalesce("s", F.lit(0)).alias("c"))), "jaccard-more")
+    rest = materialize(member.join(open_columns, "h", "left_semi").withColumn("fine", F.floor(STEPS * F.log("n") / F.log(F.lit(4 / 3)))), "jaccard-open")
+    late_pairs = _late_pairs(rest).join(tried, ["a", "b"], "left_anti")
+    more = linked(late_pairs, "jaccard-more")
     labels = minimal_labels(links.union(more).union(same), "jaccard-all")
     return nodes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
