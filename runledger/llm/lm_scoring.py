@@ -1,18 +1,27 @@
 """Language-model scores by online logistic context mixing.
 
-A word is spelled bit by bit. For each bit, predictors look up how often it was 1
-after their hashed context (1, 2, 3, 4 and 6 bytes of the word, and the bits so
-far); their log-odds are combined by weights that a gate picks (the longest
-context seen before), trained online, and the result is refined by an adaptive
-table. Words of the training texts are also known as wholes: a word's probability
-is its spelling's and its known frequency's, weighed by the Good-Turing estimate of
-how often a word is new. A spelling stands for a new word, so its counts take
-every distinct word once.
-
-Counts come from every training text. The weights and the refinement are fitted on
-every distinct training word with its own counts left out: in each of PASSES rounds
-every partition learns online from the weights of the round before, and these are
-averaged by the bits that each gate met; then one pass counts the refinement.
+Tokens are coded bit by bit. The ``CODED`` most frequent words of the training texts,
+the end of a text and an escape have a Huffman code; each bit of a code is predicted
+from the node of the code alone, the node with the last function word before it, and
+the node with the word before it, both hashed. The log-odds of the predictors are
+combined by weights that a gate picks (how often the contexts were met), trained
+online, and the result is refined by an adaptive table. An escaped word has its
+count's probability among the escaped ones, or is new, by the Good-Turing estimate,
+and spelled: again bit by bit, from hashed contexts of 1, 2, 3, 4 and 6 bytes, with
+a mixer of its own. As a spelling stands for a new word, its counts take every
+distinct word once.
+
+Above the words are passages (up to a full stop, 32 words at most). A passage is
+either made of words, or is one that training texts hold already; the two
+probabilities are added, weighed by how often training passages are repeated.
+
+Everything is counted over all training texts: words and passages in tables that
+grow with them, hashed predictors in tables of a fixed size. Training texts are
+scored with the token's or passage's own occurrence left out, so that their
+scores are comparable with those of held-out texts. Weights are learned by one
+pass over every training text: each partition learns online, and its weights are
+averaged by the bits that each gate met; a last pass counts the refinement. White
+space isn't scored.
 """
 
 from __future__ import annotations
@@ -26,7 +35,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import materialize, prepare, word_slices, words_of
+from runledger.llm.common import materialize, mix64, prepare, word_slices, words_of
+
+#: Words with a code of their own; others are escaped, so this is a size of the model and leaves no word out.
+CODED = 1 << 16
+#: Words that count as function words for the context.
+FUNCTION = 64
+CONTEXT_BITS = 20
+WORD_SLOTS = CODED + 2 + 2 * (1 << CONTEXT_BITS)
+LEVELS = 4
+WORD_GATES = LEVELS * LEVELS
+WORD_WEIGHTS = (0.3, 0.4, 0.3, 0.0)
+TOKEN_PIECE = 1 << 14
+PASSAGE = 32
+#: Bits of the filter that tells passages which may be repeated. Its size is fixed; a full filter lets every passage through.
+FILTER_BITS = 24
+BITMAP = 1 << 15
 
 ORDERS = (1, 2, 3, 4, 6)
 SLOT_BITS = (16, 19, 19, 19, 19)
@@ -36,15 +60,20 @@ CHUNK = 1 << 15
 FAN_IN = 64
 END = 32
 #: Words that are looked up without a join; the rest are joined, so this bounds the broadcast only.
-MOST_FREQUENT = 500_000
+MOST_FREQUENT = 1 << 18
 CONFIDENCES = 3
 GATES = CONFIDENCES * (len(ORDERS) + 1)
-PASSES = 3
+SPELLING_WEIGHTS = (0.05, 0.15, 0.25, 0.3, 0.3, 0.0)
+PASSES = 2
 RATE = 0.25
 BUCKETS = 33
 PIECE = 1 << 17
 FIT_PIECE = 1 << 14
 
+_STOPS = np.zeros(256, bool)
+_STOPS[[ord(x) for x in ".!?:"]] = True
+_PLACES = mix64(np.arange(1, PASSAGE + 1, dtype=np.uint64)) | np.uint64(1)
+
 
 def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every bit of every word with its end mark: slots of the predictors, the bit, and the word's number."""
@@ -86,26 +115,47 @@ def _pieces(words: list[bytes], size: int = PIECE) -> Iterator[slice]:
         yield slice(at, len(words))
 
 
+def spelling_inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    seen = n0 + n1
+    known = (seen > 0).sum(axis=0)
+    # a longer context is seen only where the shorter ones are, but for collisions
+    deepest = seen[np.maximum(known - 1, 0), np.arange(n0.shape[1])]
+    return _log_odds(n0, n1), CONFIDENCES * known + (deepest > 2) + (deepest > 12)
+
+
+def word_inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    seen = n0[1:] + n1[1:]
+    level = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 30)
+    return _log_odds(n0, n1), LEVELS * level[0] + level[1]
+
+
+def _log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    x = np.empty((len(n0) + 1, n0.shape[1]), np.float32)
+    x[:-1] = np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2)))
+    x[-1] = 0.3
+    return x
+
+
 class Mixer:
-    """The model that is fitted on the training words: gated weights and the refinement table."""
-
-    def __init__(self):
-        self.weights = np.tile(np.array([0.05, 0.15, 0.25, 0.3, 0.3, 0.0]), (GATES, 1))
-        self.refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS))), (GATES, 1))
-
-    @staticmethod
-    def inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen = n0 + n1
-        x = np.empty((len(ORDERS) + 1, n0.shape[1]), np.float32)
-        x[:-1] = np.log((n1 + 0.2) / (n0 + 0.2))
-        x[-1] = 0.3
-        known = (seen > 0).sum(axis=0)
-        # a longer context is seen only where the shorter ones are, but for collisions
-        deepest = seen[np.maximum(known - 1, 0), np.arange(n0.shape[1])]
-        return x, CONFIDENCES * known + (deepest > 2) + (deepest > 12)
+    """What is learned on the training texts: gated weights and the refinement table."""
+
+    inputs = staticmethod(spelling_inputs)
+
+    def __init__(self, weights: tuple[float, ...] = SPELLING_WEIGHTS, gates: int = GATES):
+        self.gates = gates
+        self.weights = np.tile(np.array(weights), (gates, 1))
+        self.refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS))), (gates, 1))
+
+    def copy(self) -> Mixer:
+        other = Mixer(gates=self.gates)
+        other.weights, other.refined = self.weights.copy(), self.refined.copy()
+        return other
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("in,ni->n", x, self.weights[gate]), -12, 12)
+        z = np.zeros(x.shape[1], np.float32)
+        for row, own in zip(x, self.weights.T.astype(np.float32), strict=True):
+            z += row * own[gate]
+        return np.clip(z, -12, 12)
 
     def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a 1."""
@@ -115,22 +165,22 @@ class Mixer:
         table = self.refined[gate, low] * (low + 1 - at) + self.refined[gate, low + 1] * (at - low)
         return np.clip((1 / (1 + np.exp(-z)) + table) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float, step: int = 1024) -> None:
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float, step: int = 2048) -> None:
         """Online: each step predicts, then moves the weights of the gates it met by its errors."""
         for at in range(0, len(bit), step):
             own, g, b = x[:, at : at + step], gate[at : at + step], bit[at : at + step]
             error = b - 1 / (1 + np.exp(-self.mixed(own, g)))
-            moved = np.stack([np.bincount(g, row * error, GATES) for row in own], axis=1)
-            self.weights += rate * moved / np.maximum(np.bincount(g, minlength=GATES), 32)[:, None]
+            moved = np.stack([np.bincount(g, row * error, self.gates) for row in own], axis=1)
+            self.weights += rate * moved / np.maximum(np.bincount(g, minlength=self.gates), 32)[:, None]
 
     def outcomes(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Bits and ones by gate and bucket of the mixed log-odds."""
         near = np.rint(np.clip((self.mixed(x, gate) + 8) / 16 * (BUCKETS - 1), 0, BUCKETS - 1)).astype(np.int64)
         key = gate * BUCKETS + near
-        return np.stack([np.bincount(key, minlength=GATES * BUCKETS), np.bincount(key, bit, GATES * BUCKETS)])
+        return np.stack([np.bincount(key, minlength=self.gates * BUCKETS), np.bincount(key, bit, self.gates * BUCKETS)])
 
     def refine(self, n: np.ndarray, ones: np.ndarray) -> None:
-        self.refined = (ones.reshape(GATES, BUCKETS) + 30 * self.refined) / (n.reshape(GATES, BUCKETS) + 30)
+        self.refined = (ones.reshape(self.gates, BUCKETS) + 30 * self.refined) / (n.reshape(self.gates, BUCKETS) + 30)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,19 +201,156 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()), pa.array(sums[0]), pa.array(sums[1])], names=["word", "n_all", "n"])
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of at least two symbols: where each one's begins, and for every bit its node (0: the root) and its value."""
+    n = len(counts)
+    order = np.argsort(counts, kind="stable")
+    weight = np.concatenate((counts[order], np.zeros(n - 1, np.int64))).tolist()
+    parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8)
+    leaf, inner = 0, n
+    for new in range(n, 2 * n - 1):
+        for bit in (0, 1):
+            if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                child, leaf = leaf, leaf + 1
+            else:
+                child, inner = inner, inner + 1
+            parent[child], side[child] = new, bit
+            weight[new] += weight[child]
+    root, steps, at, who = 2 * n - 2, [], np.arange(n), np.arange(n)
+    while len(at):
+        steps.append((who, parent[at], side[at]))
+        left = parent[at] != root
+        who, at = who[left], parent[at][left]
+    sizes = np.zeros(n, np.int64)
+    for own, _, _ in steps:
+        sizes[own] += 1
+    begins = np.cumsum(sizes) - sizes
+    nodes, bits = np.zeros(sizes.sum(), np.int64), np.zeros(sizes.sum(), np.int8)
+    for k, (own, node, bit) in enumerate(steps):
+        place = begins[own] + sizes[own] - 1 - k
+        nodes[place], bits[place] = root - node, bit
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    whole = np.concatenate((begins, [len(nodes)]))
+    sizes, begins = sizes[back], begins[back]
+    take = np.repeat(begins, sizes) + np.arange(whole[-1]) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.concatenate(([0], np.cumsum(sizes))), nodes[take], bits[take]
+
+
+class Codes:
+    """Codes of the frequent words (by their hashes, most frequent first), of the end and of the escape."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, escaped: int):
+        self.begins, self.nodes, self.bits = huffman(np.concatenate((counts, [max(ends, 1), max(escaped, 1)])).astype(np.int64))
+        self.end, self.escape = len(hashes), len(hashes) + 1
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def symbols(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(h), self.escape)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.order[at], self.escape)
+
+    def tokens(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of the words of some texts and of their ends, hashes of their two contexts, and the text of each."""
+        count = len(bounds) - 1
+        sizes = np.diff(bounds) + 1
+        text = np.repeat(np.arange(count), sizes)
+        starts = np.cumsum(sizes) - sizes
+        n = len(text)
+        word = np.ones(n, bool)
+        word[starts + sizes - 1] = False
+        symbol, before = np.full(n, self.end), np.zeros(n, np.uint64)
+        symbol[word] = self.symbols(h)
+        before[word] = h
+        before = np.concatenate((np.zeros(1, np.uint64), before[:-1]))
+        before[starts] = 0
+        last = np.maximum.accumulate(np.where(symbol < min(FUNCTION, self.end), np.arange(n), -1))
+        last = np.concatenate(([-1], last[:-1]))
+        function = np.where(last >= starts[text], symbol[np.maximum(last, 0)] + 1, 0).astype(np.uint64)
+        return symbol, mix64(function + np.uint64(1)), mix64(before + np.uint64(7)), text
+
+    def spread(self, symbol: np.ndarray, function: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every bit of every token: slots of the predictors, the bit, and the token's number."""
+        begins = self.begins[symbol]
+        sizes = self.begins[symbol + 1] - begins
+        token = np.repeat(np.arange(len(symbol)), sizes)
+        at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begins[token]
+        node = self.nodes[at]
+        slots = np.empty((3, len(token)), np.int64)
+        slots[0] = node
+        salted = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for k, context in ((1, function), (2, before)):
+            key = (context[token] ^ salted) * np.uint64(0xBF58476D1CE4E5B9)
+            key = (key ^ key >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+            slots[k] = (key >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64) + (CODED + 2 + (k - 1) * (1 << CONTEXT_BITS))
+        return slots, self.bits[at], token
+
+
+def passages(buf: np.ndarray, ends: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the passages of some texts: they end with a word's full stop, with the text, or after PASSAGE words."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first = np.zeros(len(h), bool)
+    first[1:] = _STOPS[buf[ends[:-1] - 1]]
+    first[bounds[:-1][bounds[:-1] < len(h)]] = True
+    place = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    starts = np.flatnonzero(place % PASSAGE == 0)
+    sums = np.add.reduceat(h * _PLACES[place % PASSAGE], starts)
+    return starts, mix64(sums + np.diff(np.concatenate((starts, [len(h)]))).astype(np.uint64))
+
+
+def _passage_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        train = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+        for first, _, buf, _, ends, h, bounds in word_slices(batch.column(1)):
+            starts, own = passages(buf, ends, h, bounds)
+            if not len(starts):
+                continue
+            learned = train[first + np.searchsorted(bounds, starts, side="right") - 1]
+            unique, back, n = np.unique(own, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n), pa.array(np.bincount(back, learned, len(unique)).astype(np.int64))], names=["h", "n_all", "n"])
+
+
+def _chunked(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    counts = np.zeros(2 * SLOTS)
+    if counts.any():
+        rows = np.concatenate((counts, np.zeros(-len(counts) % CHUNK, counts.dtype))).astype(np.int64).reshape(-1, CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), TaskContext.get().partitionId()), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["chunk", "task", "counts"])
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(2 * SLOTS, np.int32)
     for batch in batches:
         words = batch.column(0).to_pylist()
         for part in _pieces(words):
             slots, bits, _ = spelling(words[part])
             for own in slots:
-                counts += np.bincount(2 * own + bits, minlength=2 * SLOTS)
-    if counts.any():
-        rows = counts.astype(np.int64).reshape(-1, CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), TaskContext.get().partitionId()), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["chunk", "task", "counts"])
+                np.add.at(counts, 2 * own + bits, 1)
+    yield from _chunked(counts)
+
+
+def _word_pieces(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for _, _, _, _, _, h, bounds in word_slices(batch.column(0)):
+            symbol, function, before, _ = codes.tokens(h, bounds)
+            for at in range(0, len(symbol), TOKEN_PIECE):
+                part = slice(at, at + TOKEN_PIECE)
+                slots, bits, _ = codes.spread(symbol[part], function[part], before[part])
+                yield slots, bits
+
+
+def _word_counts(codes_b):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * WORD_SLOTS, np.int32)
+        for slots, bits in _word_pieces(batches, codes_b.value):
+            for own in slots:
+                np.add.at(counts, 2 * own + bits, 1)
+        yield from _chunked(counts)
+
+    return run
 
 
 def _added(key, rows):
@@ -173,26 +360,44 @@ def _added(key, rows):
     return pd.DataFrame({"chunk": [key[0]], "task": [0], "counts": [total.tobytes()]})
 
 
-def _fitted(mixer: Mixer, shared, rate: float | None):
+def _summed(chunks: DataFrame, slots: int) -> np.ndarray:
+    """Counts of zeros and ones by slot, added up in a tree; what reaches the driver has a fixed size."""
+    for key in ((F.col("chunk"), F.pmod("task", F.lit(FAN_IN))), (F.col("chunk"),)):
+        chunks = chunks.groupBy(*key).applyInPandas(_added, "chunk int, task int, counts binary")
+    counts = np.zeros((-(-2 * slots // CHUNK), CHUNK), np.float32)
+    for r in chunks.select("chunk", "counts").toLocalIterator():
+        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    return np.ascontiguousarray(counts.ravel()[: 2 * slots].reshape(-1, 2).T)
+
+
+def left_out(counts: np.ndarray, slots: np.ndarray, bits: np.ndarray, own: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones by slot without the bit's own occurrence, where it has one."""
+    return np.maximum(counts[0][slots] - (own & (bits == 0)), 0), np.maximum(counts[1][slots] - (own & (bits == 1)), 0)
+
+
+def _spelling_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        for part in _pieces(words, FIT_PIECE):
+            slots, bits, _ = spelling(words[part])
+            yield slots, bits
+
+
+def _fitted(mixer: Mixer, inputs, pieces, shared, rate: float | None):
     """One row a partition: its learned weights times the bits met by gate, and those bits; without a rate the outcomes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = shared.value
-        own = Mixer()
-        own.weights, own.refined = mixer.weights.copy(), mixer.refined
-        met, found = np.zeros(GATES), np.zeros((2, GATES * BUCKETS))
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            for part in _pieces(words, FIT_PIECE):
-                slots, bits, _ = spelling(words[part])
-                x, gate = Mixer.inputs(np.maximum(counts[0][slots] - (bits == 0), 0), np.maximum(counts[1][slots] - (bits == 1), 0))
-                if rate is None:
-                    found += own.outcomes(x, gate, bits)
-                else:
-                    own.learn(x, gate, bits.astype(np.float32), rate)
-                    met += np.bincount(gate, minlength=GATES)
+        counts, own = shared.value, mixer.copy()
+        met, found = np.zeros(own.gates), np.zeros((2, own.gates * BUCKETS))
+        for slots, bits in pieces(batches):
+            x, gate = inputs(*left_out(counts, slots, bits))
+            if rate is None:
+                found += own.outcomes(x, gate, bits)
+            else:
+                own.learn(x, gate, bits.astype(np.float32), rate)
+                met += np.bincount(gate, minlength=own.gates)
         sums = found.ravel() if rate is None else np.concatenate([(own.weights * met[:, None]).ravel(), met])
         if sums.any():
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["task", "sums"])
@@ -206,11 +411,20 @@ def _joined(rows):
     return pd.DataFrame({"task": [int(rows["task"].min())], "sums": [total.tobytes()]})
 
 
-def _over_all(known: DataFrame, mixer: Mixer, shared, rate: float | None, size: int) -> np.ndarray:
-    """Sums over all partitions; FAN_IN rows of a fixed size reach the driver."""
-    found = known.mapInArrow(_fitted(mixer, shared, rate), "task int, sums binary")
-    found = found.groupBy(F.pmod("task", F.lit(FAN_IN))).applyInPandas(_joined, "task int, sums binary")
-    return sum((np.frombuffer(r["sums"]) for r in sorted(found.collect())), np.zeros(size))
+def learn(rows: DataFrame, mixer: Mixer, inputs, pieces, shared, passes: int) -> Mixer:
+    """Weights by ``passes`` rounds over all partitions, then the refinement; FAN_IN rows of a fixed size reach the driver each time."""
+
+    def over_all(rate: float | None, size: int) -> np.ndarray:
+        found = rows.mapInArrow(_fitted(mixer, inputs, pieces, shared, rate), "task int, sums binary")
+        found = found.groupBy(F.pmod("task", F.lit(FAN_IN))).applyInPandas(_joined, "task int, sums binary")
+        return sum((np.frombuffer(r["sums"]) for r in sorted(found.collect())), np.zeros(size))
+
+    for n in range(passes):
+        sums = over_all(RATE / (1 + 4 * n / passes), mixer.weights.size + mixer.gates)
+        weights, met = sums[: -mixer.gates].reshape(mixer.gates, -1), sums[-mixer.gates :]
+        mixer.weights = np.where(met[:, None] > 0, weights / np.maximum(met, 1)[:, None], mixer.weights)
+    mixer.refine(*over_all(None, 2 * mixer.gates * BUCKETS).reshape(2, -1))
+    return mixer
 
 
 def _spelled(mixer: Mixer, shared):
@@ -218,12 +432,13 @@ def _spelled(mixer: Mixer, shared):
         counts = shared.value
         for batch in batches:
             words = batch.column(0).to_pylist()
+            learned = batch.column(2).to_numpy(zero_copy_only=False) > 0
             logs = np.zeros(len(words))
             hashes = np.zeros(len(words), np.uint64)
             for part in _pieces(words):
                 own = words[part]
                 slots, bits, word = spelling(own)
-                x, gate = mixer.inputs(counts[0][slots], counts[1][slots])
+                x, gate = spelling_inputs(*left_out(counts, slots, bits, learned[part][word]))
                 p = mixer.probability(x, gate)
                 logs[part] = np.bincount(word, np.log10(np.where(bits == 1, p, 1 - p)), len(own))
                 hashes[part] = words_of(np.frombuffer(b" ".join(own), np.uint8))[2]
@@ -232,50 +447,89 @@ def _spelled(mixer: Mixer, shared):
     return run
 
 
-def _scored(lexicon):
-    names = ["doc_id", "h", "n_tokens", "n_known", "base", "score", "held_out", "bytes"]
+PARTS = "key long, doc_id long, held_out boolean, seq int, h long, n_tokens long, n_known long, base double, score double, bytes long"
+
+
+def _scored(lexicon_b, codes_b, counts_b, mixer: Mixer, repeated_b, made: float):
+    """Rows of each text. Its sums have ``n_tokens``; a passage that may be repeated has ``seq`` and ``h``; a word to be joined has ``h`` and no ``score``.
+
+    ``made`` is the logarithm of the share of passages that are made of words.
+    """
+    names = [x.split()[0] for x in PARTS.split(", ")]
+
+    def rows(key, ids, held, seq=None, h=None, tokens=None, known=None, base=None, score=None, size=None):
+        n = len(key)
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        columns = (key, ids, held, seq, h, tokens, known, base, score, size)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_h, known, base, score = lexicon.value
+        from pyspark import TaskContext
+
+        known_h, known, base, trained, unseen = lexicon_b.value
+        codes, counts, repeated = codes_b.value, counts_b.value, repeated_b.value
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             lengths = pc.binary_length(batch.column(1)).cast(pa.int64()).fill_null(0)
-            for first, count, _, _, _, h, bounds in word_slices(batch.column(1)):
-                own, sizes = ids[first : first + count], np.diff(bounds)
-                text = np.repeat(np.arange(count), sizes)
-                unique, back = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(known_h, unique), max(len(known_h) - 1, 0))
-                hit = known_h[at] == unique if len(known_h) else np.zeros(len(unique), bool)
-                met = hit[back]
-                index, on = at[back][met], text[met]
-                sums = [np.bincount(on, v[index], count) for v in (known, base, score)] if len(known_h) else [np.zeros(count)] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(count, pa.int64()), pa.array(sizes + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), batch.column(2).slice(first, count), lengths.slice(first, count)], names=names)
-                rare = h[~met]
-                if len(rare):
-                    n = len(rare)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[text[~met]]), pa.array(rare.view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64())], names=names)
+            for first, count, buf, _, ends, h, bounds in word_slices(batch.column(1)):
+                key = number + np.arange(count)
+                number += count
+                ids = batch.column(0).slice(first, count)
+                held = batch.column(2).slice(first, count).to_numpy(zero_copy_only=False).astype(bool)
+                symbol, function, before, text = codes.tokens(h, bounds)
+                logs = np.zeros(len(symbol))
+                for at in range(0, len(symbol), TOKEN_PIECE):
+                    part = slice(at, at + TOKEN_PIECE)
+                    slots, bits, token = codes.spread(symbol[part], function[part], before[part])
+                    x, gate = word_inputs(*left_out(counts, slots, bits, ~held[text[part]][token]))
+                    p = mixer.probability(x, gate)
+                    logs[part] = np.bincount(token, np.log10(np.where(bits == 1, p, 1 - p)), len(symbol[part]))
+                is_word = symbol != codes.end
+                total = np.bincount(text[~is_word], logs[~is_word], count)
+                symbol, logs, text = symbol[is_word], logs[is_word], text[is_word]
+                at = np.minimum(np.searchsorted(known_h, h), max(len(known_h) - 1, 0))
+                met = known_h[at] == h if len(known_h) else np.zeros(len(h), bool)
+                if len(known_h):
+                    logs += np.where(met & (symbol == codes.escape), np.where(held[text], unseen[at], trained[at]), 0.0)
+                    n_known, n_base = (np.bincount(text[met], x[at[met]], count) for x in (known, base))
+                else:
+                    n_known, n_base = np.zeros(count), np.zeros(count)
+                starts, own = passages(buf, ends, h, bounds)
+                sums = np.add.reduceat(logs, starts) if len(starts) else np.zeros(0)
+                of = text[starts] if len(starts) else np.zeros(0, np.int64)
+                bit = own >> np.uint64(64 - FILTER_BITS)
+                maybe = (repeated[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                total += np.bincount(of[~maybe], sums[~maybe] + made, count)
+                yield rows(key, ids, held, tokens=np.diff(bounds) + 1, known=n_known.astype(np.int64), base=n_base, score=total, size=lengths.slice(first, count))
+                seq = np.arange(len(starts))
+                if maybe.any():
+                    yield rows(key[of[maybe]], None, held[of[maybe]], seq[maybe], own[maybe].view(np.int64), score=sums[maybe])
+                if not met.all():
+                    place = np.searchsorted(starts, np.flatnonzero(~met), side="right") - 1
+                    yield rows(key[text[~met]], None, held[text[~met]], np.where(maybe[place], seq[place], -1), h[~met].view(np.int64))
 
     return run
 
 
 def fit_spelling(lexicon: DataFrame):
-    """The mixer and the broadcast slot counts over all words with a count: what reaches the driver has a fixed size."""
+    """The mixer and the broadcast slot counts of spellings over all words with a count."""
     known = lexicon.where("n > 0").select("word")
-    chunks = known.mapInArrow(_slot_counts, "chunk int, task int, counts binary")
-    for key in ((F.col("chunk"), F.pmod("task", F.lit(FAN_IN))), (F.col("chunk"),)):
-        chunks = chunks.groupBy(*key).applyInPandas(_added, "chunk int, task int, counts binary")
-    counts = np.zeros((SLOTS * 2 // CHUNK, CHUNK), np.int64)
-    for r in chunks.select("chunk", "counts").toLocalIterator():
-        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    counts = np.ascontiguousarray(counts.reshape(-1, 2).T.astype(np.float32))
-    shared = lexicon.sparkSession.sparkContext.broadcast(counts)
-    mixer = Mixer()
-    for n in range(PASSES):
-        sums = _over_all(known, mixer, shared, RATE / (1 + 4 * n / PASSES), GATES * (len(ORDERS) + 2))
-        weights, met = sums[:-GATES].reshape(GATES, -1), sums[-GATES:]
-        mixer.weights = np.where(met[:, None] > 0, weights / np.maximum(met, 1)[:, None], mixer.weights)
-    mixer.refine(*_over_all(known, mixer, shared, None, 2 * GATES * BUCKETS).reshape(2, -1))
-    return mixer, shared
+    shared = lexicon.sparkSession.sparkContext.broadcast(_summed(known.mapInArrow(_slot_counts, "chunk int, task int, counts binary"), SLOTS))
+    return learn(known, Mixer(), spelling_inputs, _spelling_pieces, shared, PASSES), shared
+
+
+def fit_words(texts: DataFrame, codes: Codes):
+    """The codes, slot counts and mixer of words over all training texts (a column of texts)."""
+    spread = texts.sparkSession.sparkContext.broadcast
+    codes_b = spread(codes)
+    shared = spread(_summed(texts.mapInArrow(_word_counts(codes_b), "chunk int, task int, counts binary"), WORD_SLOTS))
+    mixer = learn(texts, Mixer(WORD_WEIGHTS, WORD_GATES), word_inputs, lambda batches: _word_pieces(batches, codes_b.value), shared, 1)
+    return codes_b, shared, mixer
+
+
+def _plus(a, b):
+    """log10(10 ** a + 10 ** b)."""
+    return F.greatest(a, b) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(a - b)))
 
 
 def score_texts(docs: DataFrame, held_out: F.Column, text: str = "text") -> DataFrame:
@@ -283,27 +537,41 @@ def score_texts(docs: DataFrame, held_out: F.Column, text: str = "text") -> Data
 
     ``docs`` has ``doc_id`` (long) and ``text``; rows where ``held_out`` isn't
     true are learned from. Returns ``doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score, bits_per_byte``. A null text is empty: only
-    the end is scored. Rows of one ``doc_id`` are scored as one text; rows without
-    an id are learned from but not scored. Without any
+    train_tokens, base_score, score, bits_per_byte``, one row for each of ``docs``, be
+    its id null or repeated. A null text is empty: only the end is scored. Without any
     training text all bits are even. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
+    spread = spark.sparkContext.broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    training = rows.where("not held_out").select("text")
     words = rows.select(~F.col("held_out"), "text").mapInArrow(_counted, "word binary, n_all long, n long").groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
     lexicon = materialize(words, "lm-words")
-    ends = rows.where("not held_out").count()
+    repeats = materialize(rows.select(~F.col("held_out"), "text").mapInArrow(_passage_counts, "h long, n_all long, n long").groupBy("h").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n")).select("h", F.when((F.col("n") > 0) & (F.col("n_all") > 1), F.col("n")).alias("n"), F.col("n").alias("all")).groupBy(F.when(F.col("n").isNotNull(), F.col("h")).alias("h")).agg(F.sum("n").alias("n"), F.sum("all").alias("all")), "lm-passages")
+    ends = training.count()
     total = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     tokens, distinct = total["n"] + ends, total["v"] + (ends > 0)
-    fresh = max(total["once"], 1) / (tokens + 1)
     bottom = np.log10(tokens + 0.1 * (distinct + 1))
-    mixer, shared = fit_spelling(lexicon)
+
+    coded = lexicon.where("n > 0").orderBy(F.desc("n"), "word").limit(CODED).toPandas()
+    hashes = words_of(np.frombuffer(b" ".join(bytes(w) for w in coded["word"]), np.uint8))[2]
+    counts = coded["n"].to_numpy(np.int64)
+    escaped = total["n"] - int(counts.sum())
+    # words counted once: those with a code are all above any that have none, or as frequent
+    once = total["once"] - int((counts == 1).sum())
+    codes_b, shared, word_mixer = fit_words(training, Codes(hashes, counts, ends, escaped))
+
+    mixer, letters = fit_spelling(lexicon)
+    fresh = (once + 1) / (escaped + 2)
     n = F.col("n").cast("double")
-    whole = (1 - fresh) * n / max(tokens, 1) + fresh * F.pow(F.lit(10.0), F.col("spelled"))
-    # an unknown word may be so long that its probability underflows: only the logarithm is used
-    score = F.when(F.col("n") == 0, F.lit(float(np.log10(fresh))) + F.col("spelled")).otherwise(F.log10(whole))
-    scored = materialize(lexicon.select("word", "n_all", "n").mapInArrow(_spelled(mixer, shared), "h long, n_all long, n long, spelled double").select("h", "n_all", F.when(F.col("n") > 0, 1).otherwise(0).cast("long").alias("known"), (F.log10(n + 0.1) - F.lit(float(bottom))).alias("base"), score.alias("score")), "lm-lexicon")
+    spelled = F.lit(float(np.log10(fresh))) + F.col("spelled")
+
+    def among_escaped(n):
+        # a new word may be so long that its probability underflows: only logarithms are used
+        return F.when(n <= 0, spelled).otherwise(_plus(F.log10(n * ((1 - fresh) / max(escaped, 1))), spelled))
+
+    scored = materialize(lexicon.select("word", "n_all", "n").mapInArrow(_spelled(mixer, letters), "h long, n_all long, n long, spelled double").select("h", "n_all", F.when(F.col("n") > 0, 1).otherwise(0).cast("long").alias("known"), (F.log10(n + 0.1) - F.lit(float(bottom))).alias("base"), among_escaped(n - 1).alias("trained"), among_escaped(n).alias("unseen")), "lm-lexicon")
 
     sizes = scored.groupBy(F.least("n_all", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
     least, held = 100_001, 0
@@ -312,16 +580,34 @@ def score_texts(docs: DataFrame, held_out: F.Column, text: str = "text") -> Data
         if held > MOST_FREQUENT:
             break
         least = r["n"]
-    top = scored.where(F.col("n_all") >= least).select("h", "known", "base", "score").toPandas()
+    top = scored.where(F.col("n_all") >= least).select("h", "known", "base", "trained", "unseen").toPandas()
     top["h"] = top["h"].to_numpy(np.int64).view(np.uint64)
-    top = top.sort_values("h")
-    frequent = spark.sparkContext.broadcast((top["h"].to_numpy(), top["known"].to_numpy(float), top["base"].to_numpy(), top["score"].to_numpy()))
-    first = materialize(rows.where("doc_id is not null").select("doc_id", "text", "held_out").mapInArrow(_scored(frequent), "doc_id long, h long, n_tokens long, n_known long, base double, score double, held_out boolean, bytes long"), "lm-parts")
-    rest = first.where("h is not null").select("doc_id", "h").join(scored.where(F.col("n_all") < least).select("h", "known", "base", "score"), "h")
-    rest = rest.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("texts"))
-    sums = first.where("h is null").drop("h").withColumn("texts", F.lit(1)).union(rest).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "bytes", "texts")), F.max("held_out").alias("held_out"))
+    own = pd.DataFrame({"h": hashes, "known": 1, "base": np.log10(counts + 0.1) - bottom, "trained": 0.0, "unseen": 0.0})
+    top = pd.concat([top, own]).drop_duplicates("h").sort_values("h")
+    frequent = spread((top["h"].to_numpy(np.uint64), *(top[c].to_numpy(float) for c in ("known", "base", "trained", "unseen"))))
+    del top, own, coded
+
+    seen = repeats.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("again")).first()
+    copied = (seen["again"] + 0.5) / (seen["n"] + 1)
+    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS) + 1
+    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in repeats.where("h is not null").groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).toLocalIterator():
+        bitmap[(r["b"] - 1) * BITMAP // 8 : r["b"] * BITMAP // 8] = np.frombuffer(r["m"], np.uint8)
+    parts = materialize(rows.mapInArrow(_scored(frequent, codes_b, shared, word_mixer, spread(bitmap), float(np.log10(1 - copied))), PARTS), "lm-parts")
+
+    rare = parts.where("n_tokens is null and score is null").select("key", "held_out", "seq", "h").join(scored.where(F.col("n_all") < least).select("h", "known", "base", "trained", "unseen"), "h")
+    rare = rare.groupBy("key", "seq").agg(F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum(F.when(F.col("held_out"), F.col("unseen")).otherwise(F.col("trained"))).alias("more"))
+    rare = materialize(rare, "lm-rare")
+    again = parts.where("seq is not null and score is not null").select("key", "held_out", "seq", "h", "score")
+    again = again.join(rare.where("seq >= 0").select("key", "seq", "more"), ["key", "seq"], "left").join(repeats.where("h is not null").select("h", "n"), "h", "left")
+    others = F.coalesce("n", F.lit(0)) - F.when(F.col("held_out"), 0).otherwise(1)
+    made = F.col("score") + F.coalesce("more", F.lit(0.0)) + F.lit(float(np.log10(1 - copied)))
+    passage = F.when(others <= 0, made).otherwise(_plus(made, F.log10(others * (copied / max(seen["n"], 1)))))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"))]
+    zero = F.lit(0).cast("long")
+    sums = parts.where("n_tokens is not null").select("key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bytes")
+    sums = sums.unionByName(rare.select("key", *none, "n_known", "base", F.when(F.col("seq") < 0, F.col("more")).otherwise(0.0).alias("score"), zero.alias("bytes")))
+    sums = sums.unionByName(again.groupBy("key").agg(F.sum(passage).alias("score")).select("key", *none, zero.alias("n_known"), F.lit(0.0).alias("base"), "score", zero.alias("bytes")))
+    sums = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "bytes")))
     end_base = float(np.log10(ends + 0.1) - bottom)
-    end_score = float(np.log10((ends + 0.5) / (tokens + 1)))
-    known_end = F.col("texts") if ends else F.lit(0)
-    score = F.col("score") + F.col("texts") * end_score
-    return sums.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + known_end).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + F.col("texts") * end_base).alias("base_score"), score.alias("score"), (-score * float(np.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"))
+    return sums.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + (1 if ends else 0)).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"))

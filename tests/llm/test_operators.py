@@ -12,6 +12,7 @@ import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
 
+from runledger.llm import lm_scoring
 from runledger.llm import queries as Q
 from runledger.llm.decontaminate import contaminated
 from runledger.llm.jaccard_join import jaccard_components
@@ -406,6 +407,79 @@ def test_lm_is_fitted_on_every_word(spark):
     assert loss(fitted) < loss(plain.probability(x, gate))
 
 
+def test_lm_score_by_brute_force(spark, small, monkeypatch):
+    """The learned parts are taken as given; words, contexts, passages and counts are gone through one by one."""
+    docs = odd_documents(spark).where("doc_id <> 8").select("doc_id", "text").union(documents(spark, small).select("doc_id", "text").where("doc_id % 10 = 3"))
+    docs = docs.union(spark.createDataFrame([(None, "a line. a line. and one more"), (1, "a line. qqqq")], "doc_id long, text string"))
+    rows = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
+    out = [d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows]
+    counts = Counter(w for (_, t), held in zip(rows, out, strict=True) if not held for w in t)
+    ends, whole = sum(not held for held in out), sum(counts.values())
+    coded = sorted(counts, key=lambda w: (-counts[w], w))[:lm_scoring.CODED]
+    hash_of = lambda ws: lm_scoring.words_of(np.frombuffer(b" ".join(ws), np.uint8))[2]
+    lm_scoring.prepare(spark)
+    codes = lm_scoring.Codes(hash_of(coded), np.array([counts[w] for w in coded]), ends, whole - sum(counts[w] for w in coded))
+    training = docs.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))).select("text")
+    fitted = lm_scoring.fit_words(training, codes)
+    letters, spelled = fit_spelling(spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long"))
+    monkeypatch.setattr(lm_scoring, "fit_words", lambda *_: fitted)
+    monkeypatch.setattr(lm_scoring, "fit_spelling", lambda *_: (letters, spelled))
+    _, shared, mixer = fitted
+    table = shared.value
+
+    def pieces(t):
+        own, size = [], 0
+        for i, w in enumerate(t):
+            own.append((i, w))
+            size += 1
+            if w[-1:] in b".!?:" or size == lm_scoring.PASSAGE:
+                yield own
+                own, size = [], 0
+        if own:
+            yield own
+
+    seen = Counter(tuple(w for _, w in p) for (_, t), held in zip(rows, out, strict=True) if not held for p in pieces(t))
+    everywhere = Counter(tuple(w for _, w in p) for _, t in rows for p in pieces(t))
+    n = sum(seen.values())
+    copied = (sum(v for k, v in seen.items() if v > 1 and everywhere[k] > 1) + 0.5) / (n + 1)
+    fresh = 1 / 2  # every word has a code, so no escape was ever met
+    wanted = []
+    for (d, t), held in zip(rows, out, strict=True):
+        h = hash_of(t) if t else np.zeros(0, np.uint64)
+        symbol, function, before, _ = codes.tokens(h, np.array([0, len(t)]))
+        marks = [0]
+        for w in t:
+            marks.append(coded.index(w) + 1 if w in coded[: lm_scoring.FUNCTION] else marks[-1])
+        assert function.tolist() == lm_scoring.mix64(np.array(marks, np.uint64) + np.uint64(1)).tolist() and len(set(before[1:].tolist())) == len(set(h.tolist()))
+        logs = []
+        for i in range(len(symbol)):
+            slots, bits, _ = codes.spread(symbol[i : i + 1], function[i : i + 1], before[i : i + 1])
+            n0, n1 = ([[max(table[v][s] - (not held and b == v), 0) for s, b in zip(row, bits, strict=True)] for row in slots] for v in (0, 1))
+            p = mixer.probability(*lm_scoring.word_inputs(np.array(n0, np.float32), np.array(n1, np.float32)))
+            logs.append(sum(math.log10(x if b else 1 - x) for x, b in zip(p, bits, strict=True)))
+            if symbol[i] == codes.escape:
+                slots, bits, _ = spelling([t[i]])
+                p = letters.probability(*Mixer.inputs(spelled.value[0][slots], spelled.value[1][slots]))
+                logs[-1] += math.log10(fresh) + sum(math.log10(x if b else 1 - x) for x, b in zip(p, bits, strict=True))
+        total = logs[-1]
+        for p in pieces(t):
+            others = seen[tuple(w for _, w in p)] - (not held)
+            made = (1 - copied) * 10 ** sum(logs[i] for i, _ in p)
+            total += math.log10(made + copied * max(others, 0) / n)
+        wanted.append((-1 if d is None else d, len(t) + 1, held, total))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["held_out"], r["score"]) for r in score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0).collect())
+    assert len(got) == len(wanted)
+    for a, b in zip(got, sorted(wanted), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-5)
+
+
+def test_codes_are_prefix_free():
+    codes = lm_scoring.Codes(np.arange(1, 40, dtype=np.uint64), np.arange(40, 1, -1), 3, 1)
+    paths = ["".join(map(str, codes.bits[codes.begins[i] : codes.begins[i + 1]])) for i in range(41)]
+    assert all(not b.startswith(a) for a in paths for b in paths if a is not b) and sum(2.0 ** -len(p) for p in paths) == 1
+    assert len({(n, b[: len(b)]) for n, b in zip(codes.nodes.tolist(), map(str, codes.bits), strict=True)}) == 2 * 40
+
+
 # all
 
 
