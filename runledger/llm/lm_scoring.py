@@ -20,8 +20,7 @@ grow with them, hashed predictors in tables of a fixed size. Training texts are
 scored with the token's or passage's own occurrence left out, so that their
 scores are comparable with those of held-out texts. Weights are learned by one
 pass over every training text: each partition learns online, and its weights are
-averaged by the bits that each gate met; a last pass counts the refinement. White
-space isn't scored.
+averaged by the bits that each gate met. White space isn't scored.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from runledger.llm.common import materialize, mix64, prepare, word_slices, words_of
 
 #: Words with a code of their own; others are escaped, so this is a size of the model and leaves no word out.
-CODED = 1 << 16
+CODED = 1 << 13
 #: Words that count as function words for the context.
 FUNCTION = 64
 CONTEXT_BITS = 20
@@ -64,7 +63,7 @@ MOST_FREQUENT = 1 << 18
 CONFIDENCES = 3
 GATES = CONFIDENCES * (len(ORDERS) + 1)
 SPELLING_WEIGHTS = (0.05, 0.15, 0.25, 0.3, 0.3, 0.0)
-PASSES = 2
+PASSES = 1
 RATE = 0.25
 BUCKETS = 33
 PIECE = 1 << 17
@@ -165,7 +164,7 @@ class Mixer:
         table = self.refined[gate, low] * (low + 1 - at) + self.refined[gate, low + 1] * (at - low)
         return np.clip((1 / (1 + np.exp(-z)) + table) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float, step: int = 2048) -> None:
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float, step: int = 4096) -> None:
         """Online: each step predicts, then moves the weights of the gates it met by its errors."""
         for at in range(0, len(bit), step):
             own, g, b = x[:, at : at + step], gate[at : at + step], bit[at : at + step]
@@ -328,7 +327,7 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(words):
             slots, bits, _ = spelling(words[part])
             for own in slots:
-                np.add.at(counts, 2 * own + bits, 1)
+                np.add.at(counts, 2 * own + bits, np.int32(1))
     yield from _chunked(counts)
 
 
@@ -347,7 +346,7 @@ def _word_counts(codes_b):
         counts = np.zeros(2 * WORD_SLOTS, np.int32)
         for slots, bits in _word_pieces(batches, codes_b.value):
             for own in slots:
-                np.add.at(counts, 2 * own + bits, 1)
+                np.add.at(counts, 2 * own + bits, np.int32(1))
         yield from _chunked(counts)
 
     return run
@@ -372,7 +371,11 @@ def _summed(chunks: DataFrame, slots: int) -> np.ndarray:
 
 def left_out(counts: np.ndarray, slots: np.ndarray, bits: np.ndarray, own: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones by slot without the bit's own occurrence, where it has one."""
-    return np.maximum(counts[0][slots] - (own & (bits == 0)), 0), np.maximum(counts[1][slots] - (own & (bits == 1)), 0)
+    ones = bits == 1
+    n0, n1 = (np.take(own_counts, slots, mode="clip") for own_counts in counts)
+    n0 -= own & ~ones
+    n1 -= own & ones
+    return np.maximum(n0, 0, out=n0), np.maximum(n1, 0, out=n1)
 
 
 def _spelling_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -384,7 +387,7 @@ def _spelling_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.nda
 
 
 def _fitted(mixer: Mixer, inputs, pieces, shared, rate: float | None):
-    """One row a partition: its learned weights times the bits met by gate, and those bits; without a rate the outcomes."""
+    """One row a partition: its learned weights times the bits met by gate, those bits, and the outcomes; without a rate nothing is learned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -393,13 +396,12 @@ def _fitted(mixer: Mixer, inputs, pieces, shared, rate: float | None):
         met, found = np.zeros(own.gates), np.zeros((2, own.gates * BUCKETS))
         for slots, bits in pieces(batches):
             x, gate = inputs(*left_out(counts, slots, bits))
-            if rate is None:
-                found += own.outcomes(x, gate, bits)
-            else:
+            if rate is not None:
                 own.learn(x, gate, bits.astype(np.float32), rate)
-                met += np.bincount(gate, minlength=own.gates)
-        sums = found.ravel() if rate is None else np.concatenate([(own.weights * met[:, None]).ravel(), met])
-        if sums.any():
+            found += own.outcomes(x, gate, bits)
+            met += np.bincount(gate, minlength=own.gates)
+        if met.any():
+            sums = np.concatenate([(own.weights * met[:, None]).ravel(), met, found.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["task", "sums"])
 
     return run
@@ -411,19 +413,21 @@ def _joined(rows):
     return pd.DataFrame({"task": [int(rows["task"].min())], "sums": [total.tobytes()]})
 
 
-def learn(rows: DataFrame, mixer: Mixer, inputs, pieces, shared, passes: int) -> Mixer:
-    """Weights by ``passes`` rounds over all partitions, then the refinement; FAN_IN rows of a fixed size reach the driver each time."""
+def learn(rows: DataFrame, mixer: Mixer, inputs, pieces, shared, passes: int, anew: bool) -> Mixer:
+    """Weights by ``passes`` rounds over all partitions; the refinement by the last round's outcomes, or by those of the final weights (``anew``).
 
-    def over_all(rate: float | None, size: int) -> np.ndarray:
+    FAN_IN rows of a fixed size reach the driver each time.
+    """
+    rates = [RATE / (1 + 4 * n / passes) for n in range(passes)]
+    outcomes = np.zeros((2, mixer.gates * BUCKETS))
+    for rate in [*rates, None] if anew else rates:
         found = rows.mapInArrow(_fitted(mixer, inputs, pieces, shared, rate), "task int, sums binary")
         found = found.groupBy(F.pmod("task", F.lit(FAN_IN))).applyInPandas(_joined, "task int, sums binary")
-        return sum((np.frombuffer(r["sums"]) for r in sorted(found.collect())), np.zeros(size))
-
-    for n in range(passes):
-        sums = over_all(RATE / (1 + 4 * n / passes), mixer.weights.size + mixer.gates)
-        weights, met = sums[: -mixer.gates].reshape(mixer.gates, -1), sums[-mixer.gates :]
-        mixer.weights = np.where(met[:, None] > 0, weights / np.maximum(met, 1)[:, None], mixer.weights)
-    mixer.refine(*over_all(None, 2 * mixer.gates * BUCKETS).reshape(2, -1))
+        sums = sum((np.frombuffer(r["sums"]) for r in sorted(found.collect())), np.zeros(mixer.weights.size + mixer.gates + outcomes.size))
+        weights, met, outcomes = np.split(sums, [mixer.weights.size, mixer.weights.size + mixer.gates])
+        if rate is not None:
+            mixer.weights = np.where(met[:, None] > 0, weights.reshape(mixer.gates, -1) / np.maximum(met, 1)[:, None], mixer.weights)
+    mixer.refine(*outcomes.reshape(2, -1))
     return mixer
 
 
@@ -515,7 +519,7 @@ def fit_spelling(lexicon: DataFrame):
     """The mixer and the broadcast slot counts of spellings over all words with a count."""
     known = lexicon.where("n > 0").select("word")
     shared = lexicon.sparkSession.sparkContext.broadcast(_summed(known.mapInArrow(_slot_counts, "chunk int, task int, counts binary"), SLOTS))
-    return learn(known, Mixer(), spelling_inputs, _spelling_pieces, shared, PASSES), shared
+    return learn(known, Mixer(), spelling_inputs, _spelling_pieces, shared, PASSES, True), shared
 
 
 def fit_words(texts: DataFrame, codes: Codes):
@@ -523,7 +527,7 @@ def fit_words(texts: DataFrame, codes: Codes):
     spread = texts.sparkSession.sparkContext.broadcast
     codes_b = spread(codes)
     shared = spread(_summed(texts.mapInArrow(_word_counts(codes_b), "chunk int, task int, counts binary"), WORD_SLOTS))
-    mixer = learn(texts, Mixer(WORD_WEIGHTS, WORD_GATES), word_inputs, lambda batches: _word_pieces(batches, codes_b.value), shared, 1)
+    mixer = learn(texts, Mixer(WORD_WEIGHTS, WORD_GATES), word_inputs, lambda batches: _word_pieces(batches, codes_b.value), shared, 1, False)
     return codes_b, shared, mixer
 
 
