@@ -7,18 +7,16 @@ Words are always the maximal runs of bytes other than the ASCII white space
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from runledger.storage import prepare, shared_dir, written  # noqa: F401  (used by the operators)
+
 SLICE_BYTES = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 POLY = np.uint64(0xD6E8FEB86659FD93)
@@ -30,31 +28,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package from the driver's copy where it isn't installed."""
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="runledger-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so that its lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+materialize = written
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from runledger.llm.common import materialize, mix64, prepare, slices, words_of
 WINDOW = 10
 #: So many tokens of a window must be words and not placeholders.
 LITERALS = 6
-#: Items of fewer tokens are one window each, if they have this many tokens.
+#: Items of fewer tokens than WINDOW are one window each: a template from so many tokens on, else plain words. Items of one or two words match only texts that are just these.
 SHORTEST = 6
 #: So many equal words in a row tell a copy whatever its placeholders. Shorter equal stretches count only with consistent slots around them.
 EXACT = 20
@@ -141,7 +141,9 @@ def _windows(sizes: list[int] | None, passes):
                     things[bounds[1:][counts > 0] - 1] = 0
                     # a number is the same quantity only before the same thing
                     keys = np.where(tokens == NUMBER, mix64(values + mix64(things)), values)
-                    for size in sizes or range(SHORTEST, WINDOW + 1):
+                    for size in sizes or range(1, WINDOW + 1):
+                        if size < SHORTEST and kind != PLAIN:
+                            continue
                         h = window_hashes(tokens, size)
                         if not len(h):
                             continue
@@ -149,7 +151,7 @@ def _windows(sizes: list[int] | None, passes):
                             h = mix64(h + np.uint64(PLAIN))
                         literal = words[size : size + len(h)] - words[: len(h)]
                         ok = (text_of[: len(h)] == text_of[size - 1 : size - 1 + len(h)]) & (literal >= min(LITERALS, size - 1))
-                        if sizes is None and size < WINDOW:
+                        if sizes is None and size < WINDOW or size < 3:
                             ok &= counts[text_of[: len(h)]] == size
                         if kind != PLAIN:
                             covered[text_of[: len(h)][ok]] = True
@@ -179,7 +181,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``text``; other columns are ignored. Returns ``doc_id, item_id, windows``
     (most windows on one alignment), ``doc_pos`` (its first token in the
     document), ``slots`` and ``changed`` (slots of other values: above 0 means
-    re-parameterised; both 0 for copies that only plain words tell). Null and empty texts, items of fewer than six tokens and
+    re-parameterised; both 0 for copies that only plain words tell). Items of fewer than
+    SHORTEST tokens are found word for word, those of one or two words only as whole texts. Null and empty texts and
     empty tables give no rows; repeated ids give the rows of all their texts.
     """
     spark = docs.sparkSession

@@ -52,9 +52,11 @@ def canonical(text: Column) -> Column:
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = F.regexp_replace(out, rf"(^|\n)[ \t]*{MARKS}(copyright|\(c\)|©|portions copyright)[^\n]*", "$1")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " ")), F.lit(" "))
+    # with two spaces between them neighbours have a space of their own
+    out = F.replace(out, F.lit(" "), F.lit("  "))
     for spelling, plain in SPELLINGS:
-        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {plain} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {plain.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -72,16 +74,20 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     ``license`` is null where the whole text is no known licence; ``notices`` are
     the licences that its lines or their sentences name, in order, joined by commas (empty: none).
-    Null and empty texts have neither. Repeated ids must not occur. Where several
+    Null and empty texts have neither. Each row is judged by itself, be its id null or repeated. Where several
     licences share a digest the first in code point order counts.
     """
     known = known_licences(docs.sparkSession) if known is None else known
     known = known.groupBy("kind", "digest").agg(F.min("license").alias("license"))
     if known.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
-    text = F.col("text").cast("string")
-    rows = docs.select("doc_id", text.alias("text"))
-    whole = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known.where("kind = 'text'").select("digest", "license"), "digest", "left").select("doc_id", "license")
-    lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.explode(F.array_distinct(F.concat(F.array("line"), F.split("line", SENTENCE)))).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
-    named = lines.join(known.where("kind = 'notice'").select("digest", "license"), "digest").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    return whole.join(named, "doc_id", "left").select("doc_id", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    piece = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    whole_and_lines = F.concat(F.array(piece("text", F.col("text"))), F.transform(F.split("text", "\n"), lambda line: piece("notice", line)))
+    pieces = rows.select("doc_id", "row", F.explode(whole_and_lines).alias("x")).select("doc_id", "row", "x.kind", "x.text")
+    sentences = F.array_distinct(F.concat(F.array("text"), F.split("text", SENTENCE)))
+    pieces = pieces.select("doc_id", "row", "kind", F.explode(F.when(F.col("kind") == "text", F.array("text")).otherwise(sentences)).alias("text"))
+    found = pieces.select("doc_id", "row", "kind", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known, ["kind", "digest"], "left")
+    named = lambda kind: F.when(F.col("kind") == kind, F.col("license"))
+    notices = F.array_join(F.array_sort(F.collect_set(named("notice"))), ",")
+    return found.groupBy("row", "doc_id").agg(F.max(named("text")).alias("license"), notices.alias("notices")).drop("row")

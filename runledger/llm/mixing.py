@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from runledger.llm.common import materialize, prepare, word_slices
 
@@ -31,10 +32,11 @@ MOST_BROADCAST = 100_000
 
 
 def word_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), text: str = "text") -> DataFrame:
-    """Adds ``size``, the number of words of a text (null: 0), to the columns in ``keep``."""
+    """Adds ``size``, the number of words of a text (null: 0), and ``text_hash`` to the columns in ``keep``."""
     prepare(docs.sparkSession)
     keep = tuple(keep)
-    chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    chosen = docs.select(*keep, F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("__text"))
+    keep = (*keep, "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
 
     ``docs`` has ``doc_id`` (long), ``source`` (null is a source of its own,
     last in order) and ``text``. Returns ``doc_id, source, size, source_size,
-    target, copies, taken``, one row a document. Documents without words and
+    target, copies, taken, text_hash``, one row a document. Documents without words and
     sources without words give nothing; a source at its limit gives every document
     twice. An empty table gives an empty result.
     """
@@ -110,8 +112,8 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
     plan = [(r.source, r.source_size, t, int(c := t / r.source_size if r.source_size else 0), float(c - int(c)), int(max(1, -(-r.n // BLOCK)))) for r, t in zip(rows, goals, strict=True)]
     small = len(plan) <= MOST_BROADCAST
     plan = spark.createDataFrame(plan, "source string, source_size long, target double, whole int, fraction double, blocks int")
-    known = sized.join(F.broadcast(plan) if small else plan, sized.source.eqNullSafe(plan.source)).select("doc_id", sized.source, "size", "source_size", "target", "whole", "blocks", F.when(F.col("size") > 0, F.col("fraction")).otherwise(0.0).alias("p")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("long"))
-    schema = "doc_id long, source string, size long, source_size long, target double, whole int, blocks int, p double, block long"
+    known = sized.join(F.broadcast(plan) if small else plan, sized.source.eqNullSafe(plan.source)).select("doc_id", sized.source, "size", "text_hash", "source_size", "target", "whole", "blocks", F.when(F.col("size") > 0, F.col("fraction")).otherwise(0.0).alias("p")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("long"))
+    schema = "doc_id long, source string, size long, text_hash long, source_size long, target double, whole int, blocks int, p double, block long"
     leaves = materialize(known.groupBy("source", "block").applyInPandas(_round_group, schema), "mix-leaves")
     most = max((r.n for r in rows), default=0)
     blocks = -(-most // BLOCK)
@@ -126,10 +128,21 @@ def mix(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
     last = left.withColumn("p", F.round("p"))
     final = (last if done is None else done.union(last)).unionByName(leaves.where("p <= 0 or p >= 1"))
     copies = (F.col("whole") + F.round("p")).cast("int")
-    return final.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return final.select("doc_id", "source", "size", "text_hash", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix_rows(docs: DataFrame, text: str = "text", seed: int = 7) -> DataFrame:
-    """The mixed table itself: each row of ``docs`` as many times as the mix takes it. ``doc_id`` must be distinct (null counts as an id)."""
-    wanted = mix(docs, text, seed).where("copies > 0").select(F.col("doc_id").alias("__id"), F.expr("sequence(1, copies)").alias("__copy"))
-    return docs.join(wanted, docs.doc_id.eqNullSafe(wanted["__id"])).withColumn("__copy", F.explode("__copy")).drop("__id", "__copy")
+    """The mixed table itself: each row of ``docs`` as many times as the mix takes it.
+
+    Ids may be null or repeated: rows of one id, source and text are numbered and each
+    takes one grant, so none comes more often than the mix allows. The names
+    ``_id``, ``_source``, ``_hash``, ``_turn`` and ``_copy`` must not be columns of ``docs``.
+    """
+    alike = Window.partitionBy("_id", "_source", "_hash")
+    hash_ = F.xxhash64(F.col(text).cast("string"))
+    granted = mix(docs, text, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copy"))
+    granted = granted.withColumn("_turn", F.row_number().over(alike.orderBy(F.desc("_copy")))).where("_copy > 0")
+    own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_hash": hash_})
+    own = own.withColumn("_turn", F.row_number().over(alike.orderBy(F.lit(0))))
+    same = own["_id"].eqNullSafe(granted["_id"]) & own["_source"].eqNullSafe(granted["_source"]) & (own["_hash"] == granted["_hash"]) & (own["_turn"] == granted["_turn"])
+    return own.join(granted, same).select(*[own[c] for c in docs.columns], F.explode(F.expr("sequence(1, _copy)")).alias("_copy")).drop("_copy")

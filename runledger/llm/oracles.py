@@ -44,9 +44,10 @@ def _canonical(column: str) -> str:
     out = f"translate({column}, '{UPPER}', '{LOWER}')"
     out = rf"regexp_replace({out}, '(^|\n)[ \t]*(copyright|\(c\)|©|portions copyright)[^\n]*', '\1', 'g')"
     out = f"' ' || trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g')) || ' '"
+    out = f"replace({out}, ' ', '  ')"
     for spelling, plain in SPELLINGS:
-        out = f"replace({out}, ' {spelling} ', ' {plain} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {spelling.replace(' ', '  ')} ', ' {plain.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def license_scan() -> str:

@@ -17,7 +17,7 @@ from runledger.llm import queries as Q
 from runledger.llm.decontaminate import contaminated
 from runledger.llm.jaccard_join import jaccard_components
 from runledger.llm.language_id import identify, identify_documents, language_prototypes
-from runledger.llm.license_scan import TEXTS, scan_licenses
+from runledger.llm.license_scan import TEXTS, canonical, scan_licenses
 from runledger.llm.lm_scoring import BUCKETS, GATES, Mixer, fit_spelling, score_texts, spelling
 from runledger.llm.mixing import mix, mix_rows, targets
 from runledger.llm.sharding import shard_by_bytes
@@ -153,6 +153,12 @@ def test_decontamination_finds_plain_copies_and_opening_names(spark):
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()} == {(1, 10), (2, 11), (3, 11), (4, 12), (5, 13)}
 
 
+def test_decontamination_of_short_items(spark):
+    docs = spark.createDataFrame([(1, "he asked who built the old tower, then left"), (2, "Yes"), (3, "yes we can"), (4, "who built the new tower")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, "Who built the old tower?"), (11, "yes")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()} == {(1, 10), (2, 11)}
+
+
 def test_decontamination_finds_whole_items(spark, small):
     docs, bench = documents(spark, small), spark.read.parquet(f"{small}/benchmark.parquet")
     items = {r["item_id"]: words(r["text"]) for r in bench.collect()}
@@ -166,7 +172,8 @@ def test_decontamination_finds_whole_items(spark, small):
 
 
 def test_targets():
-    assert targets([100, 100, 100]) == [200.0, 166.66666666666666, 83.33333333333333] or sum(targets([100, 100, 100])) == pytest.approx(450)
+    assert targets([100, 100, 100]) == pytest.approx([200, 500 / 3, 250 / 3])
+    assert targets([100, 100, 100, 100]) == pytest.approx([200, 400 / 3, 200 / 3, 200])
     assert sum(targets([10, 1000, 5, 0, 700])) == pytest.approx(1.5 * 1715)
     assert all(t <= 2 * s for t, s in zip(targets([10, 1000, 5, 0, 700]), [10, 1000, 5, 0, 700], strict=True))
     assert targets([]) == [] and targets([0, 0]) == [0.0, 0.0]
@@ -189,6 +196,14 @@ def test_mixing(spark, small, which):
     assert mix_rows(docs).count() == sum(r["copies"] for r in rows)
 
 
+def test_mixed_rows_with_repeated_and_null_ids(spark):
+    rows = [(1, "a b c", "s")] * 9 + [(None, "d e", "s"), (None, "f g h", "t"), (None, "d e", "s")] + [(2, "a b c", None), (1, "x y", "t")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, size int")
+    wanted = sum(r["copies"] for r in mix(docs).collect())
+    got = Counter(tuple(r) for r in mix_rows(docs).collect())
+    assert sum(got.values()) == wanted and max(got.values()) <= 2 and set(got) <= {tuple(r) for r in docs.collect()}
+
+
 def test_mixing_is_unbiased_over_seeds(spark):
     docs = spark.createDataFrame([(i, "w " * (10 + i % 7), "abc"[i % 3]) for i in range(60)], "doc_id long, text string, source string")
     totals = Counter()
@@ -250,6 +265,12 @@ def test_licenses_with_titles_marks_and_sentences(spark):
     assert {r["doc_id"]: (r["license"], r["notices"]) for r in scan_licenses(docs).collect()} == {0: ("MIT", ""), 1: ("ISC", ""), 2: (None, "MIT"), 3: (None, "Apache-2.0"), 4: (None, "MIT")}
 
 
+def test_licenses_of_repeated_and_null_ids_and_neighbouring_words(spark):
+    docs = spark.createDataFrame([(1, "This work is licensed under the MIT License", 5), (1, "nothing", 5), (None, "Released under the MIT License", 5), (None, None, 5), (2, "x " * 60_000 + "\nLicensed under the MIT License", 5)], "doc_id long, text string, license int")
+    assert sorted((r["doc_id"] or 0, r["notices"]) for r in scan_licenses(docs).collect()) == [(0, ""), (0, "MIT"), (1, ""), (1, "MIT"), (2, "MIT")]
+    assert spark.range(1).select(canonical(F.lit("Licence licence LICENCE sub licence"))).first()[0] == "license license license sublicense"
+
+
 def brute_components(rows):
     sets = {}
     for doc_id, text in rows:
