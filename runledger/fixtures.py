@@ -46,6 +46,40 @@ union all select concat('order:', cast(l_orderkey as varchar(20))), concat('part
     "fx_ledger": """
 select event_id as seq, user_id as submission_id, ts as at_time, value,
   case event_type when 'purchase' then 'uploaded' when 'view' then 'scored' when 'error' then 'errored' when 'click' then 'foreign' else 'staged' end as event from {events}""",
+    "fx_readings": """
+select event_id as seq, concat('run', cast(user_id % 20 as varchar(20))) as run_id,
+  case event_id % 3 when 0 then 'valA' when 1 then 'valB' else 'holdout' end as subset, case when event_id % 2 = 0 then 'accuracy' else 'loss' end as metric,
+  date_trunc('day', ts) as ts, cast(event_id % 101 as double) / 100 as value from {events}""",
+    "fx_platform": """
+select event_id as seq, user_id as submission_id, ts, case when event_type = 'view' and event_id % 5 = 0 then null else date_trunc('hour', ts) end as at_time,
+  case when event_type in ('purchase', 'click') and event_id % 3 = 0 then concat('p', cast(event_id % 500 as varchar(20))) end as ref, value,
+  case event_type when 'purchase' then 'uploaded' when 'view' then 'scored' when 'error' then 'errored' when 'click' then 'foreign' else 'staged' end as event from {events}""",
+    "fx_named_values": """
+select l_orderkey as sample_id, concat('k', cast(l_linenumber as varchar(20))) as name, cast(l_partkey % 11 as double) / 5 as value from {lineitem} where l_suppkey % 7 <> 0""",
+    "fx_vertices": """
+select l_orderkey as polygon_id, l_linenumber as place, cast(max(l_partkey % 700) as double) as x, cast(max((l_suppkey * 37) % 500) as double) as y from {lineitem} group by l_orderkey, l_linenumber""",
+    "fx_changes": """
+select o_orderkey as sample_id, concat('d', cast(o_custkey % 6 as varchar(20))) as dataset_id,
+  case when o_orderkey % 1009 = 0 then 'SPLIT_AFFECTING' when o_orderkey % 31 = 0 then 'TRAINING_AFFECTING' when o_orderkey % 29 = 0 then 'EVALUATION_AFFECTING'
+    when o_orderkey % 23 = 0 then 'INPUT_AFFECTING' when o_orderkey % 19 = 0 then 'UNKNOWN' else 'DISPLAY_ONLY' end as effect
+from {orders} where o_orderkey % 37 = 1 and o_custkey % 6 < 4""",
+    "fx_split_rows": """
+select concat('split:', cast(s.k as varchar(20))) as split_id, concat('d', cast(s.k % 6 as varchar(20))) as dataset_id, concat('plan', cast(s.k % 12 as varchar(20))) as plan_id, o.o_orderkey as sample_id,
+  case (o.o_orderkey + s.k) % 4 when 0 then 'train' when 1 then 'valA' when 2 then 'valB' else 'holdout' end as subset
+from {orders} o join (select p_partkey as k from {part} where p_partkey % 10 = 0 and p_partkey <= 120) s on o.o_custkey % 6 = s.k % 6""",
+    "fx_entities": """
+select concat(entity_type, ':', cast(k as varchar(20))) as entity_id, entity_type, concat('d', cast(k % 6 as varchar(20))) as dataset_id,
+  case when entity_type in ('run', 'fusion_run', 'reading') then concat('plan', cast(k % 12 as varchar(20))) end as plan_id,
+  case when entity_type = 'reading' then concat('run:', cast(k - 2 as varchar(20))) end as run_ref,
+  case when entity_type = 'reading' then case k % 4 when 0 then 'train' when 1 then 'valA' when 2 then 'valB' else 'holdout' end end as subset,
+  case when k % 97 = 0 then 'missing file' end as broken_reason, k
+from (select p_partkey as k, case p_partkey % 10 when 0 then 'split' when 1 then 'run' when 2 then 'fusion_run' when 3 then 'reading' when 4 then 'artifact'
+  when 5 then 'export' when 6 then 'judgement' when 7 then 'submission' when 8 then 'backup' else 'materialized_cache' end as entity_type from {part}) q""",
+    "fx_run_subsets": """
+select entity_id as run_id, s.subset, s.role from {fx_entities} cross join (values ('train', 'trained'), ('valA', 'trained'), ('valB', 'predicted')) s(subset, role)
+where entity_type in ('run', 'fusion_run') and (s.subset <> 'valA' or k % 3 = 0)""",
+    "fx_links": """
+select distinct a.entity_id as source_id, b.entity_id as target_id from {fx_entities} a join {fx_entities} b on b.k = a.k * 2 + 1 or b.k = a.k + 3""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -7,6 +7,8 @@ most; none is NaN: what is undefined is null.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,3 +95,70 @@ def mask_overlap(runs: DataFrame) -> DataFrame:
     shared = met.groupBy("category_id").agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).alias("both"))
     full = area.join(shared, "category_id", "left").na.fill(0, ["gold", "predicted", "both"])
     return full.select("category_id", F.col("both").alias("shared"), F.try_divide(2.0 * F.col("both"), F.col("gold") + F.col("predicted")).alias("dice"), F.try_divide(1.0 * F.col("both"), F.col("gold") + F.col("predicted") - F.col("both")).alias("iou"))
+
+
+POINTS = 101
+
+
+def _matched(ious: tuple[float, ...]):
+    """Detections of one image and category by falling score, each with the thresholds at which it has a gold box of its own (as bits)."""
+
+    def run(key, rows):
+        gold, said = rows[rows["side"] == "gold"], rows[rows["side"] == "predicted"]
+        said = said.sort_values(["score", "turn"], ascending=[False, True], kind="stable")
+        g, p = (x[["x", "y", "w", "h"]].to_numpy(float) for x in (gold, said))
+        crowd = gold["crowd"].to_numpy(bool)
+        order = np.argsort(crowd, kind="stable")
+        g, crowd = g[order], crowd[order]
+        if len(g) and len(p):
+            low = np.maximum(p[:, None, :2], g[None, :, :2])
+            high = np.minimum(p[:, None, :2] + p[:, None, 2:], g[None, :, :2] + g[None, :, 2:])
+            both = np.prod(np.clip(high - low, 0, None), axis=2)
+            own, other = np.prod(p[:, 2:], axis=1)[:, None], np.prod(g[:, 2:], axis=1)[None]
+            iou = both / np.maximum(np.where(crowd[None], own, own + other - both), 1e-300)
+        else:
+            iou = np.zeros((len(p), len(g)))
+        hit, out = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        for k, least in enumerate(ious):
+            free = np.ones(len(g), bool)
+            for i in range(len(p)):
+                open_ = (iou[i] >= min(least, 1 - 1e-10)) & (free | crowd)
+                plain = np.flatnonzero(open_ & ~crowd)
+                best = plain if len(plain) else np.flatnonzero(open_)
+                if not len(best):
+                    continue
+                # of equal overlaps the last one counts
+                j = best[len(best) - 1 - int(np.argmax(iou[i][best][::-1]))]
+                free[j] = False
+                (out if crowd[j] else hit)[i] |= 1 << k
+        return pd.DataFrame({"category_id": key[1], "image_id": key[0], "score": said["score"].to_numpy(float), "turn": said["turn"].to_numpy(np.int64), "hit": hit, "ignored": out})
+
+    return run
+
+
+def average_precision(boxes: DataFrame, ious: tuple[float, ...] = tuple(round(0.5 + 0.05 * i, 2) for i in range(10)), max_dets: int = 100) -> DataFrame:
+    """Average precision of every category and threshold, interpolated at 101 recalls.
+
+    ``boxes``: side (gold or predicted), image_id, category_id, x, y, w, h, score,
+    crowd and turn (the order among equal scores). The ``max_dets`` best of an image and category
+    count. A detection that only meets a crowd box is neither right nor wrong. Categories without gold boxes
+    are left out. One image and category is matched in one task; precision over all images is
+    accumulated over distinct scores' counts, but for the order within equal scores, which is by image and turn.
+    """
+    best = F.row_number().over(Window.partitionBy("image_id", "category_id", "side").orderBy(F.desc("score"), "turn"))
+    kept = boxes.withColumn("place", best).where(f"side = 'gold' or place <= {max_dets}").drop("place")
+    kept = kept.select("side", F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), *[F.col(c).cast("double").alias(c) for c in "xywh"], F.col("score").cast("double").alias("score"), F.col("crowd").cast("boolean").alias("crowd"), F.col("turn").cast("long").alias("turn"))
+    marked = kept.groupBy("image_id", "category_id").applyInPandas(_matched(ious), "category_id int, image_id long, score double, turn long, hit long, ignored long")
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("iou")) for k, v in enumerate(ious)])).alias("t")
+    each = marked.select("*", at).select("category_id", "image_id", "score", "turn", F.col("t.iou").alias("iou"), F.expr("shiftright(hit, t.k) & 1").alias("tp"), F.expr("shiftright(ignored, t.k) & 1").alias("out")).where("out = 0")
+    gold = kept.where("side = 'gold' and not crowd").groupBy("category_id").agg(F.count("*").alias("gold"))
+    down = Window.partitionBy("category_id", "iou").orderBy(F.desc("score"), "image_id", "turn")
+    curve = each.withColumns({"right": F.sum("tp").over(down.rowsBetween(Window.unboundedPreceding, 0)), "all": F.row_number().over(down)}).where("tp = 1").join(gold, "category_id")
+    # the best precision at a recall is the largest at this or a later hit; each hit stands for the recalls that it is the first to reach
+    precision = F.col("right") / F.col("all")
+    later = F.max(precision).over(Window.partitionBy("category_id", "iou").orderBy("right").rowsBetween(0, Window.unboundedFollowing))
+    reached = lambda n: F.floor((POINTS - 1) * n / F.col("gold") + 1e-9)
+    points = reached(F.col("right")) - reached(F.col("right") - 1) + F.when(F.col("right") == 1, 1).otherwise(0)
+    sums = curve.withColumns({"best": later, "points": points}).groupBy("category_id", "iou").agg((F.sum(F.col("best") * F.col("points")) / POINTS).alias("ap"))
+    all_ = gold.select("category_id", F.explode(F.array(*map(F.lit, ious))).alias("iou"))
+    return all_.join(sums, ["category_id", "iou"], "left").select("category_id", "iou", F.coalesce("ap", F.lit(0.0)).alias("ap"))

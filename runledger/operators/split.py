@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from runledger.functions.columns import draw_key
+from runledger.storage import written
 
 
 def strata_quota(rows: DataFrame, stratum: str, wanted: int) -> DataFrame:
@@ -31,7 +32,7 @@ def take_quota(rows: DataFrame, stratum: str, key: str, quotas: DataFrame, seed:
     before = Window.partitionBy(stratum).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).join(quotas.select(stratum, "quota"), stratum)
     met = counts.where("before < quota").select(stratum, "prefix", "before", "count", "quota")
-    near = marked.join(F.broadcast(met) if met.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true" else met, [stratum, "prefix"])
+    near = marked.join(met, [stratum, "prefix"])
     sure = near.where("before + count <= quota").withColumn("rank", F.lit(0))
     edge = near.where("before + count > quota").withColumn("rank", F.row_number().over(Window.partitionBy(stratum, "prefix").orderBy("draw", key)) + F.col("before"))
     return sure.union(edge.where("rank <= quota")).select(*rows.columns)
@@ -52,3 +53,21 @@ def group_split(samples: DataFrame, seed: int = 0) -> DataFrame:
     """Whole groups to subsets by digest: 70 % train, 10 % each of valA, valB and holdout, in expectation."""
     b = F.pmod(F.conv(F.substring(draw_key(seed, F.col("grp")), 1, 8), 16, 10).cast("long"), F.lit(1000))
     return samples.select("sample_id", "cls", "grp", F.when(b < 700, "train").when(b < 800, "valA").when(b < 900, "valB").otherwise("holdout").alias("subset"))
+
+
+def fixed_split(samples: DataFrame, subsets: list[tuple[str, float]], rest: str = "train", seed: int = 0) -> DataFrame:
+    """Exact sizes: each subset takes its share (halves to even) of the eligible samples from what is left, by strata.
+
+    Samples without a gold label are never held out. ``subsets`` are carved in the
+    order given (sealed ones first). A pass a subset; each ranks only the digest prefix in
+    which a stratum's quota ends.
+    """
+    eligible = samples.where("label_source = 'gold' and cls is not null").select("sample_id", "cls")
+    n = eligible.count()
+    taken, left = None, eligible
+    for step, (name, ratio) in enumerate(subsets):
+        quotas = strata_quota(left, "cls", round(ratio * n))
+        own = written(take_quota(left, "cls", "sample_id", quotas, seed * 1000 + step).select("sample_id", F.lit(name).alias("subset")), "subset")
+        taken = own if taken is None else taken.union(own)
+        left = left.join(own, "sample_id", "left_anti")
+    return samples.select("sample_id").join(taken, "sample_id", "left").select("sample_id", F.coalesce("subset", F.lit(rest)).alias("subset"))

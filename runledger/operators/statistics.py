@@ -15,7 +15,7 @@ def numbered(rows: DataFrame, group: str, order: str, pieces: int = 64) -> DataF
     Pieces are hash-free: they are cut by the first characters of ``order``'s digest,
     which only has to be the same everywhere; the number's order is (piece, order).
     """
-    cut = rows.withColumn("piece", F.pmod(F.conv(F.substring(F.md5(F.col(order).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(pieces)))
+    cut = rows.withColumn("piece", F.pmod(F.conv(F.substring(F.md5(F.col(order).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(pieces)))
     sizes = cut.groupBy(group, "piece").count()
     before = Window.partitionBy(group).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(group, "piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy(group)).alias("n"))

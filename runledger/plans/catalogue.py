@@ -15,7 +15,7 @@ from runledger.sources import records
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 HELD = ("valA", "valB", "holdout")
 WEIGHTS = {"baseline": 1.0, "candidate": 2.0, "third": 1.0}
-DRAWS = 100
+DRAWS = 200
 
 
 def query(sql: str | None = None):
@@ -266,12 +266,12 @@ def report_delta_lag(spark, d):
 _LAST = "l as (select submission_id, event, arg_max(value, (at_time, seq)) as value, max(at_time) as at_time, arg_max(seq, (at_time, seq)) as seq from {fx_ledger} group by all)"
 
 
-@query(f"with {_LAST}, t as (select s.submission_id, s.value, s.at_time from l u join l s on u.event = 'uploaded' and s.event = 'scored' and u.submission_id = s.submission_id left join l e on e.event = 'errored' and e.submission_id = s.submission_id where s.value is not null and (e.at_time is null or e.at_time < s.at_time)) select row_number() over (order by value desc, at_time, submission_id)::int as rank, submission_id, value from t order by value desc, at_time, submission_id limit 10")
+@query(f"with {_LAST}, t as (select s.submission_id, s.value, s.at_time from l u join l s on u.event = 'uploaded' and s.event = 'scored' and u.submission_id = s.submission_id left join l e on e.event = 'errored' and e.submission_id = s.submission_id where s.value is not null and (e.at_time is null or (e.at_time, e.seq) < (s.at_time, s.seq))) select row_number() over (order by value desc, at_time, submission_id)::int as rank, submission_id, value from t order by value desc, at_time, submission_id limit 10")
 def final_ranking(spark, d):
     return ledger.final_ranking(fixtures.table(spark, d, "fx_ledger"))
 
 
-@query("with g as (select submission_id, bool_or(event = 'uploaded') as up, max((at_time, seq)) filter (event = 'scored') as s, max((at_time, seq)) filter (event = 'errored') as e from {fx_ledger} group by all) select submission_id, case when not up then 'not_uploaded' when s is null then 'no_reading' when e >= s then 'errored' else 'eligible' end as why from g")
+@query("with g as (select submission_id, bool_or(event = 'uploaded') as up, max((at_time, seq)) filter (event = 'scored') as s, arg_max(value, (at_time, seq)) filter (event = 'scored') as v, max((at_time, seq)) filter (event = 'errored') as e from {fx_ledger} group by all) select submission_id, case when not up then 'not_uploaded' when s is null then 'no_reading' when e >= s then 'errored' when v is null then 'no_value' else 'eligible' end as why from g")
 def final_gate_reasons(spark, d):
     return ledger.gate_reasons(fixtures.table(spark, d, "fx_ledger"))
 
@@ -302,9 +302,15 @@ def export_ids(spark, d):
     return records.export_ids(fixtures.table(spark, d, "fx_boxes"))
 
 
+def _all() -> dict:
+    from runledger.plans import catalogue_records  # noqa: F401  (registers its queries here)
+
+    return CATALOGUE
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in CATALOGUE.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: fixtures.duckdb_sql(sql) for name, (_, sql) in CATALOGUE.items() if sql}
+    return {name: fixtures.duckdb_sql(sql) for name, (_, sql) in _all().items() if sql}
