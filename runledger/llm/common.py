@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from runledger.storage import prepare, shared_dir, written  # noqa: F401  (used by the operators)
 
-SLICE_BYTES = 1 << 20
+#: Texts are handled in runs of so many bytes, and their words in pieces of half of that, so that a worker's arrays stay small.
+SLICE_BYTES = 1 << 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 POLY = np.uint64(0xD6E8FEB86659FD93)
 SHINGLE_MULTIPLIERS = np.array(
@@ -75,7 +76,7 @@ def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words in a byte buffer, which is taken in pieces cut at white space."""
     parts, at = [], 0
     while at < len(buf):
-        end = min(len(buf), at + 2 * SLICE_BYTES)
+        end = min(len(buf), at + SLICE_BYTES // 2)
         if end < len(buf):
             gaps = np.flatnonzero(_SPACE[buf[at:end]])
             if len(gaps):
@@ -94,7 +95,7 @@ def words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def slices(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """Cuts a column of texts into runs of about a megabyte.
+    """Cuts a column of texts into runs of about SLICE_BYTES.
 
     Gives the index of the first text, the texts as bytes (null: empty), one
     buffer of them with a space after each, and the offsets of the texts in it.

@@ -69,7 +69,7 @@ def _measure(size: int):
         for chunk, part in enumerate(sketch.reshape(-1, 1 << CHUNK_BITS)):
             at = np.flatnonzero(part)
             if len(at):
-                packed = np.concatenate((at, part[at])).tobytes()
+                packed = at.astype(np.uint16).tobytes() + part[at].astype(np.uint32).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary()), pa.array([chunk], pa.int64())], names=["doc_id", "n", "sig", "h"])
 
     return run
@@ -79,8 +79,8 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, counts = np.frombuffer(packed, np.int64).reshape(2, -1)
-            total.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))[at] += counts
+            n = len(packed) // 6
+            total.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.uint32, n, 2 * n)
     for chunk, counts in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["h", "sig"])
 
