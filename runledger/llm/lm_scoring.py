@@ -124,8 +124,8 @@ def spelling_inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def word_inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     seen = n0[1:] + n1[1:]
-    level = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 30)
-    return _log_odds(n0, n1), LEVELS * level[0] + level[1]
+    level = (seen > 0).astype(np.int8) + (seen > 3) + (seen > 30)
+    return _log_odds(n0, n1), (LEVELS * level[0] + level[1]).astype(np.int64)
 
 
 def _log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -159,12 +159,14 @@ class Mixer:
     def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a 1."""
         z = self.mixed(x, gate)
-        at = np.clip((z + 8) / 16 * (BUCKETS - 1), 0, BUCKETS - 1.001)
-        low = at.astype(np.int64)
-        table = self.refined[gate, low] * (low + 1 - at) + self.refined[gate, low + 1] * (at - low)
+        at = np.clip((z + 8) / 16 * (BUCKETS - 1), 0, BUCKETS - 1.001).astype(np.float32)
+        low = at.astype(np.int32)
+        known, place = self.refined.astype(np.float32).ravel(), gate * BUCKETS + low
+        table = known[place]
+        table += (known[place + 1] - table) * (at - low.astype(np.float32))
         return np.clip((1 / (1 + np.exp(-z)) + table) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float, step: int = 4096) -> None:
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float, step: int = 8192) -> None:
         """Online: each step predicts, then moves the weights of the gates it met by its errors."""
         for at in range(0, len(bit), step):
             own, g, b = x[:, at : at + step], gate[at : at + step], bit[at : at + step]
