@@ -80,6 +80,32 @@ select entity_id as run_id, s.subset, s.role from {fx_entities} cross join (valu
 where entity_type in ('run', 'fusion_run') and (s.subset <> 'valA' or k % 3 = 0)""",
     "fx_links": """
 select distinct a.entity_id as source_id, b.entity_id as target_id from {fx_entities} a join {fx_entities} b on b.k = a.k * 2 + 1 or b.k = a.k + 3""",
+    "fx_label_ids": """
+select case when doc_id % 13 = 0 then concat('x', cast(doc_id as varchar(20)))
+  else concat('s', lpad(cast(case when doc_id % 50 = 1 then doc_id - 1 else doc_id end as varchar(20)), 8, '0')) end as id from {documents}""",
+    "fx_declared": """
+select subset, role from (values ('train', 'train'), ('valA', 'eval'), ('valB', 'eval'), ('holdout', 'sealed'), ('spare', 'eval')) s(subset, role)""",
+    "fx_notes": """
+select o_orderkey as note_id, concat(case o_orderkey % 3 when 0 then ' ' when 1 then 'see ' else '' end, 'S', cast(o_custkey as varchar(20)),
+  case o_orderkey % 5 when 0 then '0' when 1 then '-b' else ', as' end, ' S', cast(o_orderkey % 97 as varchar(20)), ' (S', cast(o_custkey % 41 as varchar(20)), ')') as description from {orders}""",
+    "fx_claims": """
+select l_orderkey as authorization_id, concat('k', cast(l_linenumber as varchar(20))) as name, cast(l_partkey % 7 as varchar(20)) as want,
+  case when l_suppkey % 11 = 0 then null else cast((l_partkey + case when l_suppkey % 17 = 0 then 1 else 0 end) % 7 as varchar(20)) end as got,
+  l_suppkey % 5 > 0 as bound, l_suppkey % 7 > 0 as given from {lineitem}""",
+    "fx_registered": """
+select concat('run', cast(l_orderkey as varchar(20))) as run_id, concat('f', cast(l_partkey as varchar(20))) as path, l_shipdate as at_time,
+  l_orderkey * 10 + l_linenumber as place, case when l_linenumber % 3 > 0 then concat('h', cast(l_suppkey as varchar(20))) end as digest,
+  case when l_linenumber % 2 > 0 then cast(l_quantity as bigint) end as bytes from {lineitem}""",
+    "fx_cards": """
+select concat('run', cast(n_nationkey as varchar(20))) as run_id, case when n_nationkey % 4 > 0 then concat('p', cast(n_nationkey % 3 as varchar(20))) end as prediction_sha from {nation}""",
+    "fx_costs": """
+select o_orderkey as id, o_custkey * o_custkey as edges, o_totalprice as incremental_predicted, o_totalprice * (1e0 + (o_orderkey % 21 - 10) * 1e-2) as incremental_actual,
+  o_totalprice + 500 as full_predicted, o_totalprice + 500 + o_custkey % 13 as full_actual from {orders}""",
+    "fx_head_statuses": """
+select h.head, e.entity_id, case (e.k * h.head + e.k % 7) % 4 when 0 then 'ACTIVE' when 1 then 'REVIEW_REQUIRED' when 2 then 'STALE' else 'BROKEN' end as status
+from (select entity_id, cast(k as int) as k from {fx_entities}) e cross join (values (1), (2), (3)) h(head)""",
+    "fx_paths": """
+select sample_id, case sample_id % 7 when 0 then 'views[0].width' when 1 then 'labels.cls' when 2 then 'label_source' when 3 then 'group' when 4 then 'meta.site' when 5 then '*' else 'labels.boxes[2].x' end as path from {fx_v1}""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

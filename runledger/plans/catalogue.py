@@ -303,7 +303,7 @@ def export_ids(spark, d):
 
 
 def _all() -> dict:
-    from runledger.plans import catalogue_records  # noqa: F401  (registers its queries here)
+    from runledger.plans import catalogue_records, catalogue_registers  # noqa: F401  (they register their queries here)
 
     return CATALOGUE
 
