@@ -66,7 +66,7 @@ SPELLING_WEIGHTS = (0.05, 0.15, 0.25, 0.3, 0.3, 0.0)
 PASSES = 1
 RATE = 0.25
 BUCKETS = 33
-PIECE = 1 << 17
+PIECE = 1 << 14
 FIT_PIECE = 1 << 14
 
 _STOPS = np.zeros(256, bool)
@@ -130,7 +130,10 @@ def word_inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     x = np.empty((len(n0) + 1, n0.shape[1]), np.float32)
-    x[:-1] = np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2)))
+    own = x[:-1]
+    np.add(n1, np.float32(0.2), out=own)
+    own /= n0 + np.float32(0.2)
+    np.log(own, out=own)
     x[-1] = 0.3
     return x
 
@@ -153,8 +156,8 @@ class Mixer:
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         z = np.zeros(x.shape[1], np.float32)
         for row, own in zip(x, self.weights.T.astype(np.float32), strict=True):
-            z += row * own[gate]
-        return np.clip(z, -12, 12)
+            z += row * np.take(own, gate)
+        return np.clip(z, -12, 12, out=z)
 
     def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a 1."""
@@ -246,6 +249,8 @@ class Codes:
         self.end, self.escape = len(hashes), len(hashes) + 1
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
+        self.sizes = np.diff(self.begins)
+        self.salted = (self.nodes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -274,19 +279,22 @@ class Codes:
 
     def spread(self, symbol: np.ndarray, function: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every bit of every token: slots of the predictors, the bit, and the token's number."""
-        begins = self.begins[symbol]
-        sizes = self.begins[symbol + 1] - begins
+        sizes = np.take(self.sizes, symbol)
         token = np.repeat(np.arange(len(symbol)), sizes)
-        at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begins[token]
-        node = self.nodes[at]
+        at = np.repeat(np.take(self.begins, symbol) - np.cumsum(sizes) + sizes, sizes)
+        at += np.arange(len(token))
         slots = np.empty((3, len(token)), np.int64)
-        slots[0] = node
-        salted = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        slots[0] = np.take(self.nodes, at)
+        salted = np.take(self.salted, at)
         for k, context in ((1, function), (2, before)):
-            key = (context[token] ^ salted) * np.uint64(0xBF58476D1CE4E5B9)
-            key = (key ^ key >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-            slots[k] = (key >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64) + (CODED + 2 + (k - 1) * (1 << CONTEXT_BITS))
-        return slots, self.bits[at], token
+            key = np.repeat(context, sizes)
+            key ^= salted
+            key *= np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+            key *= np.uint64(0x94D049BB133111EB)
+            key >>= np.uint64(64 - CONTEXT_BITS)
+            np.add(key.view(np.int64), CODED + 2 + (k - 1) * (1 << CONTEXT_BITS), out=slots[k])
+        return slots, np.take(self.bits, at), token
 
 
 def passages(buf: np.ndarray, ends: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,21 +370,22 @@ def _added(key, rows):
 
 
 def _summed(chunks: DataFrame, slots: int) -> np.ndarray:
-    """Counts of zeros and ones by slot, added up in a tree; what reaches the driver has a fixed size."""
+    """Counts of zeros and ones by slot, side by side in memory, added up in a tree; what reaches the driver has a fixed size."""
     for key in ((F.col("chunk"), F.pmod("task", F.lit(FAN_IN))), (F.col("chunk"),)):
         chunks = chunks.groupBy(*key).applyInPandas(_added, "chunk int, task int, counts binary")
     counts = np.zeros((-(-2 * slots // CHUNK), CHUNK), np.float32)
     for r in chunks.select("chunk", "counts").toLocalIterator():
         counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return np.ascontiguousarray(counts.ravel()[: 2 * slots].reshape(-1, 2).T)
+    return counts.ravel()[: 2 * slots].reshape(-1, 2).T
 
 
 def left_out(counts: np.ndarray, slots: np.ndarray, bits: np.ndarray, own: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones by slot without the bit's own occurrence, where it has one."""
     ones = bits == 1
-    n0, n1 = (np.take(own_counts, slots, mode="clip") for own_counts in counts)
-    n0 -= own & ~ones
-    n1 -= own & ones
+    # both counts of a slot lie together, so that one look-up finds them
+    both = np.take(np.ascontiguousarray(counts.T).view(np.complex64).ravel(), slots, mode="clip")
+    n0 = both.real - (own & ~ones).astype(np.float32)
+    n1 = both.imag - (own & ones).astype(np.float32)
     return np.maximum(n0, 0, out=n0), np.maximum(n1, 0, out=n1)
 
 
