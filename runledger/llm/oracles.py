@@ -35,6 +35,35 @@ r as (select query_id, cast(row_number() over (partition by query_id order by sc
 select * from r where rank <= 5
 """
 
+FILTER_AUDIT = r"""
+with words as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+copies as (select t, min(doc_id) as first_id from words group by t),
+marks as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+cells as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, count(*) as n,
+    case when len(w) < 200 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+    + case when 100 * length(regexp_replace(words.t, '[^A-Z]', '', 'g')) > 3 * length(words.t) then 4 else 0 end
+    + case when regexp_matches(words.t, '[#$%&*|]') then 8 else 0 end + case when words.doc_id > first_id then 16 else 0 end as bits
+  from words join copies on words.t = copies.t left join marks on words.doc_id = marks.doc_id group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from l a, l b, l c, l d, l e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+met as (
+  select *, list_min(list_filter([1, 2, 3, 4, 5], lambda s: (bits >> (strpos('ABCDE', substr(filter_order, s, 1)) - 1)) % 2 = 1)) as hit from cells, orders),
+steps as (
+  select part, filter_order, step, substr(filter_order, step, 1) as f,
+    sum(case when hit is null or hit > step then n else 0 end)::bigint as kept, sum(case when hit = step then n else 0 end)::bigint as removed,
+    sum(case when hit < step and (bits >> (strpos('ABCDE', substr(filter_order, step, 1)) - 1)) % 2 = 1 then n else 0 end)::bigint as redundant,
+    sum(case when bits = 1 << (strpos('ABCDE', substr(filter_order, step, 1)) - 1) then n else 0 end)::bigint as unique_fails,
+    sum(case when hit = step then n * good else 0 end)::bigint as good_lost, sum(case when hit = step then n * toxic else 0 end)::bigint as toxic_lost
+  from met, (select unnest([1, 2, 3, 4, 5]) as step) s group by part, filter_order, step)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from steps
+"""
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm import oracles
 from runledger.llm.decontaminate import contaminated
+from runledger.llm.filter_audit import audit_filters
 from runledger.llm.jaccard_join import jaccard_components
 from runledger.llm.language_id import identify_documents
 from runledger.llm.license_scan import scan_licenses
@@ -67,10 +68,15 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_minimax_sharding, op2_language_id, op3_template_decontamination, op4_pivotal_mixing, op5_token_files,
         op6_license_scan, op7_ngram_jaccard_join, op8_url_reputation, op9_bit_sliced_topk, op10_lm_scoring,
+        op11_filter_audit,
     )
     return {f.__name__: f for f in own}
 
@@ -82,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_jaccard_join": oracles.JACCARD_JOIN,
         "op8_url_reputation": oracles.url_reputation(),
         "op9_bit_sliced_topk": oracles.TOPK,
+        "op11_filter_audit": oracles.FILTER_AUDIT,
     }
