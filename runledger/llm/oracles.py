@@ -64,6 +64,34 @@ steps as (
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from steps
 """
 
+DIVERGENCE = r"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+terms as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term from terms group by lang, term having count(distinct r) >= 3),
+sizes as (select lang, count(*) as v from kept group by lang),
+own as (select distinct lang, source from docs),
+counts as (select lang, source, term, count(*) as c from terms semi join kept using (lang, term) group by lang, source, term),
+totals as (select lang, source, sum(c) as n from counts group by lang, source),
+p as (
+  select lang, source, term, coalesce(c, 0) as c, (1 + 1000000000::hugeint * (coalesce(c, 0) + 1) // (coalesce(n, 0) + v))::bigint as p
+  from own join kept using (lang) join sizes using (lang) left join totals using (lang, source) left join counts using (lang, source, term)),
+q as (
+  select lang, term, (1 + 1000000000::hugeint * (sum(c) + 1) // (sum(sum(c)) over (partition by lang) + any_value(v)))::bigint as q
+  from counts join sizes using (lang) group by lang, term),
+sums as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from own a join own b on a.lang = b.lang and a.source <> b.source left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source
+  union all
+  select p.lang, source, 'term', p.term, ((p - q) * (p - q) // q)::bigint from p join q on p.lang = q.lang and p.term = q.term where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from found)
+select * from ranked where part = 'pair' or rank <= 200
+"""
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"

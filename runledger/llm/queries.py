@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm import oracles
 from runledger.llm.decontaminate import contaminated
+from runledger.llm.divergence_audit import divergence
 from runledger.llm.filter_audit import audit_filters
 from runledger.llm.jaccard_join import jaccard_components
 from runledger.llm.language_id import identify_documents
@@ -72,11 +73,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_minimax_sharding, op2_language_id, op3_template_decontamination, op4_pivotal_mixing, op5_token_files,
         op6_license_scan, op7_ngram_jaccard_join, op8_url_reputation, op9_bit_sliced_topk, op10_lm_scoring,
-        op11_filter_audit,
+        op11_filter_audit, op12_source_divergence,
     )
     return {f.__name__: f for f in own}
 
@@ -89,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_reputation": oracles.url_reputation(),
         "op9_bit_sliced_topk": oracles.TOPK,
         "op11_filter_audit": oracles.FILTER_AUDIT,
+        "op12_source_divergence": oracles.DIVERGENCE,
     }

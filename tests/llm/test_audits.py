@@ -1,16 +1,16 @@
 """Filter interaction and source divergence audits against brute force and DuckDB."""
 
-import math
 import random
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
-import pytest
+import numpy as np
 from oracle import assert_same
 
 from runledger.llm import queries as Q
 from runledger.llm.common import SLICE_BYTES
+from runledger.llm.divergence_audit import distance, divergence, shares, terms_of
 from runledger.llm.filter_audit import audit_filters, first_failures, word_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,3 +97,64 @@ def test_words_of_long_texts():
 
 def test_filter_audit_sql(spark, small):
     assert_same(Q.op11_filter_audit(spark, small), small, Q.oracle_sql()["op11_filter_audit"])
+
+
+# source divergence
+
+
+def brute_divergence(rows, least=3):
+    found = [(lang or "", source or "", [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]) for _, text, lang, source in rows]
+    out = []
+    for lang in {x[0] for x in found}:
+        df = Counter(t for a, _, terms in found if a == lang for t in set(terms))
+        kept = {t for t, n in df.items() if n >= least}
+        counts = defaultdict(Counter)
+        for a, source, terms in found:
+            if a == lang:
+                counts[source].update(t for t in terms if t in kept)
+        whole = sum(counts.values(), Counter())
+        p = lambda c: {t: 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept)) for t in kept}
+        own, q = {s: p(c) for s, c in counts.items()}, p(whole)
+        f = lambda a, b: (a - b) * (a - b) // b
+        for s in counts:
+            pairs = [(sum(f(own[s][t], own[o][t]) for t in kept), o) for o in counts if o != s]
+            terms = [(f(own[s][t], q[t]), t) for t in kept if counts[s][t] > 0 and own[s][t] > q[t]]
+            for part, values in (("pair", pairs), ("term", terms)):
+                ordered = sorted(values, key=lambda v: (-v[0], v[1].encode()))
+                out += [(lang, s, part, o, v, k) for k, (v, o) in enumerate(ordered if part == "pair" else ordered[:200], 1)]
+    return sorted(out)
+
+
+def divergence_rows(df):
+    return sorted((r.lang, r.source, r.part, r["item"], r.value, r.rank) for r in df.collect())
+
+
+def test_divergence_brute_force(spark):
+    rng = random.Random(9)
+    pool = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(14)] + ["Été", "été", "\ue000x", "\U0001f600", "a\u00a0b"]
+    rows = odd_rows() + [(2000 + i, " ".join(rng.choice(pool[i % 5 * 40 :]) + rng.choice([" ", "1", ".", "\x00"]) for _ in range(120)), rng.choice(["en", "en", "de"]), rng.choice([None, "a", "b", "é", "z"])) for i in range(150)]
+    rows += [(5000, "few words", "solo", "x"), (5001, None, "solo", "y"), (5002, None, "alone", None)]
+    expected = brute_divergence(rows)
+    assert divergence_rows(divergence(table(spark, rows))) == expected
+    assert {(r[0], r[1], r[4]) for r in expected if r[0] == "solo"} == {("solo", "x", 0), ("solo", "y", 0)}
+    assert divergence_rows(divergence(table(spark, rows).repartition(9), chunk_cells=40)) == expected
+
+
+def test_divergence_empty(spark):
+    assert divergence(table(spark, odd_rows()).where("doc_id < -5")).count() == 0
+
+
+def test_exact_shares():
+    for total in (1, 7, 10**9 + 7, 8 * 10**15):
+        counts = sorted({0, 1, total // 3, total - 1, total})
+        assert shares(np.array(counts), total).tolist() == [1 + 10**9 * c // total for c in counts]
+    assert distance(np.array([10**9 + 1]), np.array([1])).tolist() == [10**18]
+
+
+def test_terms_of_long_texts():
+    text = b"Ab1" * SLICE_BYTES + b"x" * SLICE_BYTES + "É b".encode() * 9
+    assert [t for piece in terms_of(text) for t in piece] == re.findall(rb"[a-z\x80-\xff]+", text.replace(b"A", b"a"))
+
+
+def test_divergence_sql(spark, small):
+    assert_same(Q.op12_source_divergence(spark, small), small, Q.oracle_sql()["op12_source_divergence"])
