@@ -1,9 +1,9 @@
 """Interaction audit of five document filters under all 120 orders.
 
 A document's failures are five bits. A table of 32 by 120 gives, for every set of
-failures and every order, the step that removes the document. Each task counts its
-documents by part, failures and labels, looks the counted cells up in the table
-and adds them into one array a part; the arrays are summed across tasks.
+failures and every order, the step that removes the document. Documents are counted by
+part, failures and labels; each task looks its cells up in the table and adds them
+into one array a part and label; the arrays are summed across tasks.
 
 Filter E (copies) needs other rows: the rows that hold the smallest id of their
 text are found by digest, and all others with a larger id fail it. Texts are read
@@ -137,7 +137,9 @@ def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # rows without an id are dealt by digest, and match nothing
     rows = rows.withColumn("key", F.coalesce("doc_id", F.xxhash64("digest"))).withColumn("known", known)
     rows = rows.join(own, (F.col("key") == F.col("label_id")) & (F.col("known") == F.col("has_id")), "left")
-    counted = rows.select("part", "bits", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"), "n")
+    rows = rows.select("part", "bits", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"), "n")
+    # at most 128 cells a part are left, so that a part's arrays are few whatever the number of tasks
+    counted = rows.groupBy("part", "bits", "good", "toxic").agg(F.sum("n").alias("n")).repartition("part")
     array = "array<long>"
     partial = materialize(counted.mapInArrow(_audit, f"part string, docs {array}, fails {array}, lone {array}, removed {array}, good {array}, toxic {array}"), "audit-sums")
 
