@@ -16,6 +16,7 @@ from runledger.llm.language_id import identify_documents
 from runledger.llm.license_scan import scan_licenses
 from runledger.llm.lm_scoring import score_texts
 from runledger.llm.mixing import mix
+from runledger.llm.pii import personal_data
 from runledger.llm.sharding import shard_by_bytes
 from runledger.llm.token_ids import read_token_files, write_token_files
 from runledger.llm.topk_search import top_k
@@ -77,11 +78,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_minimax_sharding, op2_language_id, op3_template_decontamination, op4_pivotal_mixing, op5_token_files,
         op6_license_scan, op7_ngram_jaccard_join, op8_url_reputation, op9_bit_sliced_topk, op10_lm_scoring,
-        op11_filter_audit, op12_source_divergence,
+        op11_filter_audit, op12_source_divergence, op13_personal_data,
     )
     return {f.__name__: f for f in own}
 
