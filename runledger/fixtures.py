@@ -79,7 +79,15 @@ from (select p_partkey as k, case p_partkey % 10 when 0 then 'split' when 1 then
 select entity_id as run_id, s.subset, s.role from {fx_entities} cross join (values ('train', 'trained'), ('valA', 'trained'), ('valB', 'predicted')) s(subset, role)
 where entity_type in ('run', 'fusion_run') and (s.subset <> 'valA' or k % 3 = 0)""",
     "fx_links": """
-select distinct a.entity_id as source_id, b.entity_id as target_id from {fx_entities} a join {fx_entities} b on b.k = a.k * 2 + 1 or b.k = a.k + 3""",
+select a.entity_id as source_id, b.entity_id as target_id from {fx_entities} a join {fx_entities} b on b.k = a.k * 2 + 1
+union select a.entity_id, b.entity_id from {fx_entities} a join {fx_entities} b on b.k = a.k + 3""",
+    "fx_transitions": """
+select concat('d', cast(a.n_nationkey as varchar(20))) as source_id, concat('d', cast(b.n_nationkey as varchar(20))) as target_id from {nation} a join {nation} b on b.n_nationkey = a.n_nationkey * 2 + 1
+union select concat('d', cast(a.n_nationkey as varchar(20))), concat('d', cast(b.n_nationkey as varchar(20))) from {nation} a join {nation} b on b.n_nationkey = a.n_nationkey + 3""",
+    "fx_transition_changes": """
+select t.source_id, t.target_id, concat('c', cast(o.o_orderkey % 5000 as varchar(20))) as change_id
+from {fx_transitions} t join {orders} o on t.source_id = concat('d', cast(o.o_custkey % 25 as varchar(20)))
+where o.o_orderkey % 2 = length(t.target_id) % 2 or o.o_orderkey % 7 = 0""",
     "fx_label_ids": """
 select case when doc_id % 13 = 0 then concat('x', cast(doc_id as varchar(20)))
   else concat('s', lpad(cast(case when doc_id % 50 = 1 then doc_id - 1 else doc_id end as varchar(20)), 8, '0')) end as id from {documents}""",

@@ -28,3 +28,8 @@ def text_hash64(text: Column) -> Column:
     code = lambda k, more: F.ascii(F.substr(text, place(k, more), F.lit(1)))
     step = lambda a, k: F.shiftleft(a, 1).bitwiseOR(F.when(code(k, 1) > code(k, 0), F.lit(1)).otherwise(F.lit(0)).cast("long"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), step)
+
+
+def framed(*columns: str) -> Column:
+    """One text of several columns that tells every two rows apart: each value after its length, a null as ``~``."""
+    return F.concat(*[F.when(F.col(c).isNull(), "~").otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in columns])

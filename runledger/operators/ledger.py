@@ -54,8 +54,30 @@ def gate_reasons(ledger: DataFrame) -> DataFrame:
 
 
 def merge_dedupe(first: DataFrame, second: DataFrame, key: str = "seq") -> DataFrame:
-    """Both ledgers' rows once each by key; of two versions the first ledger's stays."""
-    return first.unionByName(second.join(first.select(key), key, "left_anti"))
+    """Both ledgers' rows once each by key; of two versions the first ledger's stays, within one ledger the smallest row."""
+    own = [c for c in first.columns if c != key]
+    both = first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1)))
+    once = both.groupBy(key).agg(F.min(F.struct("_side", *own)).alias("x"))
+    return once.select(*[F.col(key) if c == key else F.col(f"x.{c}").alias(c) for c in first.columns])
+
+
+def merge_ledgers(*sources: DataFrame, at: str = "at_time", place: str = "seq") -> DataFrame:
+    """All sources' rows; rows that are equal in every field are kept once, rows that differ all stay.
+
+    ``turn`` orders them by time, then source, then place. Ids that the sources
+    stage with different rows are ``staging_conflicts``.
+    """
+    columns = sources[0].columns
+    rows = [df.select(*columns).withColumn("_source", F.lit(k)) for k, df in enumerate(sources)]
+    every = rows[0]
+    for df in rows[1:]:
+        every = every.unionByName(df)
+    return every.groupBy(*columns).agg(F.min("_source").alias("_source")).withColumn("turn", F.struct(F.col(at), F.col("_source"), F.col(place))).drop("_source")
+
+
+def staging_conflicts(merged: DataFrame) -> DataFrame:
+    """Submissions with more than one different ``staged`` row."""
+    return merged.where("event = 'staged' and submission_id is not null").groupBy("submission_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def lock_state(ledger: DataFrame, lock: str = "staged", unlock: str = "errored") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.operators.lineage import reachable, reverse
+from runledger.operators.lineage import reachable, reverse, row_hash
 
 
 def common_subsets(members: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def merged_refs(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 def parity(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys whose rows differ between two copies of a table, counting repeats; no rows mean that the two are equal."""
     own = [c for c in a.columns if c != key]
-    sums = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"n_{n}"), F.sum(F.xxhash64(*own).cast("decimal(38,0)")).alias(f"h_{n}"))
+    sums = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"n_{n}"), F.sum(F.xxhash64(*[x for c in own for x in (F.col(c).isNull(), F.col(c))]).cast("decimal(38,0)")).alias(f"h_{n}"))
     both = sums(a, "a").join(sums(b, "b"), key, "full_outer").where("not (n_a <=> n_b) or not (h_a <=> h_b)")
     return both.select(key, F.when(F.col("n_a").isNull(), "only_second").when(F.col("n_b").isNull(), "only_first").otherwise("differs").alias("how"))
 
@@ -44,13 +44,14 @@ def path_diff(recorded: DataFrame, present: DataFrame) -> DataFrame:
 
 def identity(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Adds the digest of some columns; a null is told from an empty text."""
-    return rows.withColumn(name, F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]).cast("binary"), 256))
+    return rows.withColumn(name, row_hash(*columns))
 
 
 def new_rows(rows: DataFrame, ledger: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows that may be appended to a ledger: with a finite value, each key once and not there yet."""
+    """Rows that may be appended to a ledger: with a finite value, each key once (its smallest row) and not there yet."""
     finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    return rows.where(finite).dropDuplicates([key]).join(ledger.select(key).distinct(), key, "left_anti")
+    once = rows.where(finite).groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("x"))
+    return once.select(*[F.col(key) if c == key else F.col(f"x.{c}").alias(c) for c in rows.columns]).join(ledger.select(key).distinct(), key, "left_anti")
 
 
 def guarded(cells: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame:

@@ -192,7 +192,12 @@ def fuse_wbf(spark, d):
     return fusion.fuse_boxes(own.union(moved), 2)
 
 
-_DIFF = "a as (select sample_id, labels, grp, views, sha256(concat_ws('|', labels, grp, views::varchar)) as bh from {fx_v1}), b as (select sample_id, labels, grp, views, sha256(concat_ws('|', labels, grp, views::varchar)) as ah from {fx_v2}), j as (select coalesce(a.sample_id, b.sample_id) as sample_id, bh, ah, case when bh is null then 'ADDED' when ah is null then 'REMOVED' else 'MODIFIED' end as change_type, concat_ws(',', case when a.grp is distinct from b.grp then 'GRP' end, case when a.labels is distinct from b.labels then 'LABELS' end, case when a.views is distinct from b.views then 'VIEWS' end) as ch from a full join b on a.sample_id = b.sample_id where bh is distinct from ah), df as (select sample_id, change_type, case change_type when 'MODIFIED' then ch else '*' end as changed_domains, bh as before_hash, ah as after_hash, sha256(concat_ws('|', sample_id::varchar, change_type, coalesce(bh, '-'), coalesce(ah, '-'))) as change_id from j)"
+def framed_sql(*columns: str) -> str:
+    """DuckDB SQL of ``columns.framed``."""
+    return "concat(" + ", ".join(f"case when {c} is null then '~' else concat(length({c}::varchar), ':', {c}::varchar) end" for c in columns) + ")"
+
+
+_DIFF = f"a as (select sample_id, labels, grp, views, sha256({framed_sql('labels', 'grp', 'views')}) as bh from {{fx_v1}}), b as (select sample_id, labels, grp, views, sha256({framed_sql('labels', 'grp', 'views')}) as ah from {{fx_v2}}), " "j as (select coalesce(a.sample_id, b.sample_id) as sample_id, bh, ah, case when bh is null then 'ADDED' when ah is null then 'REMOVED' else 'MODIFIED' end as change_type, concat_ws(',', case when a.grp is distinct from b.grp then 'GRP' end, case when a.labels is distinct from b.labels then 'LABELS' end, case when a.views is distinct from b.views then 'VIEWS' end) as ch from a full join b on a.sample_id = b.sample_id where bh is distinct from ah), df as (select sample_id, change_type, case change_type when 'MODIFIED' then ch else '*' end as changed_domains, bh as before_hash, ah as after_hash, " + f"sha256({framed_sql('sample_id', 'change_type', 'bh', 'ah')}) as change_id from j)"
 
 
 def changes(spark, d):
@@ -238,7 +243,7 @@ def status_fixpoint(spark, d):
     return lineage.fixpoint_status(edges, nodes.select("node", F.expr(_SEVERITY).alias("severity")))
 
 
-@query("select count(*) as n, " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint)::bigint as limb{i}" for i in range(8)) + " from (select sha256(concat_ws('|', source_id, target_id, edge_type)) as h from {fx_edges})")
+@query("select count(*) as n, " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint)::bigint as limb{i}" for i in range(8)) + f" from (select sha256({framed_sql('source_id', 'target_id', 'edge_type')}) as h from {{fx_edges}})")
 def graph_fingerprint(spark, d):
     return lineage.fingerprint(fixtures.table(spark, d, "fx_edges"), "source_id", "target_id", "edge_type")
 
@@ -303,7 +308,7 @@ def export_ids(spark, d):
 
 
 def _all() -> dict:
-    from runledger.plans import catalogue_records, catalogue_registers  # noqa: F401  (they register their queries here)
+    from runledger.plans import catalogue_records, catalogue_registers, catalogue_views  # noqa: F401  (they register their queries here)
 
     return CATALOGUE
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger.fixtures import table
 from runledger.operators import ledger, lineage, metrics, relations, split, status, validate
-from runledger.plans.catalogue import _HELD, HELD, query, rounded, scores
+from runledger.plans.catalogue import _HELD, HELD, framed_sql, query, rounded, scores
 from runledger.sources import exchange
 
 _TOP = "row_number() over (partition by run_id, subset, metric order by ts desc, seq) = 1"
@@ -116,7 +116,7 @@ def path_links(spark, d):
     return relations.path_links(edges, spark.createDataFrame([("nation:3",)], "start string"), spark.createDataFrame([("part:1",), ("part:2",)], "start string"))
 
 
-@query("select seq, sha256(concat_ws('|', run_id, subset, metric, seq::varchar)) as reading_id from {fx_readings}")
+@query(f"select seq, sha256({framed_sql('run_id', 'subset', 'metric', 'seq')}) as reading_id from {{fx_readings}}")
 def reading_identity(spark, d):
     return relations.identity(table(spark, d, "fx_readings"), ["run_id", "subset", "metric", "seq"], "reading_id").select("seq", "reading_id")
 
