@@ -40,13 +40,13 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int,
         open_ = [x for x in open_ if x[0] != x[1]]
         if not open_:
             break
-        where, bin_ = F.lit(None).cast("int"), F.lit(None).cast("int")
+        where, bin_ = F, F
         for k, (a, b, _, _) in enumerate(open_):
             inside = F.col("v").between(a, b)
-            where = F.when(inside, k).otherwise(where)
             # halves keep the width of the widest intervals finite; a difference of zero leaves only the two ends
-            share = (F.col("v") / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2) if b / 2 - a / 2 > 0 else F.when(F.col("v") == b, 1.0).otherwise(0.0)
-            bin_ = F.when(inside, F.when(F.col("v") == b, BINS - 1).otherwise(F.least(F.floor(share * (BINS - 1)), F.lit(BINS - 2)).cast("int"))).otherwise(bin_)
+            share = (F.col("v") / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2) if b / 2 - a / 2 > 0 else F.lit(0.0)
+            where = where.when(inside, k)
+            bin_ = bin_.when(inside & (F.col("v") == b), BINS - 1).when(inside, F.least(F.floor(share * (BINS - 1)), F.lit(BINS - 2)).cast("int"))
         counted = values.select("v", where.alias("k"), bin_.alias("bin")).where("k is not null").groupBy("k", "bin").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
         narrowed = []
         for k, (_, _, before, own) in enumerate(open_):
