@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,40 +33,138 @@ def fuse_rank_mean(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     return fuse_mean(ranked(scores).withColumn("raw", F.col("rank")), weights)
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> float:
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    both = max(w, 0.0) * max(h, 0.0)
-    return both / (a[2] * a[3] + b[2] * b[3] - both) if both > 0 else 0.0
+ROUNDS = 2
+CELL = 16.0
 
 
-def fuse_boxes(boxes: DataFrame, members: int, iou: float = 0.55) -> DataFrame:
-    """Weighted boxes fusion per image and category.
+def _strips(rows: DataFrame, low: str, high: str, cell: float) -> DataFrame:
+    """Cuts every group of boxes (image_id, category_id, part) where a line across it meets no box.
 
-    ``boxes`` has image_id, category_id, x, y, w, h, score and weight. Boxes by
-    falling weighted score join the cluster whose fused box overlaps most, if by
-    more than ``iou``, and move it to the weighted mean of its corners.
+    Boxes are counted into cells by their lower edge first, so the window holds
+    cells of an axis and not boxes; a gap inside one cell isn't used.
     """
+    keys = ["image_id", "category_id", "part"]
+    celled = rows.withColumn("cell", F.floor(F.col(low) / cell))
+    reach = celled.groupBy(*keys, "cell").agg(F.min(low).alias("lo"), F.max(high).alias("hi"))
+    order = Window.partitionBy(*keys).orderBy("cell")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = reach.withColumn("new", (F.col("lo") >= before).cast("int")).withColumn("strip", F.coalesce(F.sum("new").over(order), F.lit(0)))
+    strips = cut.select(*keys, "cell", "strip")
+    return celled.join(strips, [*keys, "cell"]).withColumn("part", F.concat_ws(".", "part", "strip")).drop("cell", "strip")
+
+
+def _pieces(boxes: DataFrame, cell: float) -> DataFrame:
+    """Boxes with ``part``: those of different parts of an image and category, and any means of them, have no area in common."""
+    rows = boxes.withColumn("part", F.lit("").cast("string"))
+    for _ in range(ROUNDS):
+        rows = _strips(_strips(rows, "x1", "x2", cell), "y1", "y2", cell)
+    return rows
+
+
+PLACE = ["x1", "y1", "x2", "y2"]
+
+
+def _clustered(iou: float):
+    """Greedy clusters of each run of equal (image_id, category_id, part), whose boxes come by falling weighted score."""
+
+    def clusters(q: np.ndarray, place: np.ndarray):
+        size = len(q)
+        # per cluster: sums of q * corners, of corners, of q, the largest q, the count, the first box
+        heavy, plain, corners = np.zeros((size, 4)), np.zeros((size, 4)), np.zeros((size, 4))
+        total, most, count, lead = np.zeros(size), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        area = np.zeros(size)
+        n = 0
+        for i in range(size):
+            a, to = place[i], n
+            if n:
+                side = np.minimum(corners[:n, 2:], a[2:]) - np.maximum(corners[:n, :2], a[:2])
+                both = np.where((side > 0).all(axis=1), side[:, 0] * side[:, 1], 0.0)
+                union = area[:n] + (a[2] - a[0]) * (a[3] - a[1]) - both
+                share = np.divide(both, union, out=np.zeros(n), where=union > 0)
+                found = int(share.argmax())
+                to = found if share[found] > iou else n
+            if to == n:
+                lead[n] = i
+                n += 1
+            heavy[to] += q[i] * a
+            plain[to] += a
+            total[to] += q[i]
+            count[to] += 1
+            most[to] = max(most[to], q[i])
+            corners[to] = a if count[to] == 1 else heavy[to] / total[to] if total[to] > 0 else plain[to] / count[to]
+            area[to] = (corners[to, 2] - corners[to, 0]) * (corners[to, 3] - corners[to, 1])
+        return corners[:n], total[:n], most[:n], count[:n], lead[:n]
 
-    def fuse(key, rows):
-        q = (rows["score"] * rows["weight"]).to_numpy(float)
-        place = rows[["x", "y", "w", "h"]].to_numpy(float)
-        order = np.lexsort((place[:, 1], place[:, 0], -q))
-        clusters: list[list[int]] = []
-        fused: list[np.ndarray] = []
-        for i in order:
-            found = [_overlap(place[i], f) for f in fused]
-            best = int(np.argmax(found)) if found else -1
-            if best >= 0 and found[best] > iou:
-                clusters[best].append(i)
-            else:
-                clusters.append([i])
-                fused.append(place[i])
-                best = len(fused) - 1
-            own = clusters[best]
-            fused[best] = np.average(place[own], axis=0, weights=q[own] if q[own].sum() > 0 else None)
-        score = [min(1.0, q[c].mean() * min(members, len(c)) / members) for c in clusters]
-        out = pd.DataFrame(np.round(fused, 6), columns=["x", "y", "w", "h"])
-        return out.assign(image_id=key[0], category_id=key[1], score=np.round(score, 9), n=[len(c) for c in clusters])[["image_id", "category_id", "x", "y", "w", "h", "score", "n"]]
-
-    return boxes.groupBy("image_id", "category_id").applyInPandas(fuse, "image_id long, category_id int, x double, y double, w double, h double, score double, n long")
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        key = pd.factorize(pd.MultiIndex.from_frame(rows[["image_id", "category_id", "part"]]))[0]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        q, place = rows["q"].to_numpy(float), rows[PLACE].to_numpy(float)
+        found = [(a, clusters(q[a:b], place[a:b])) for a, b in zip(starts, np.r_[starts[1:], len(rows)], strict=True)]
+        first = np.concatenate([a + c[4] for a, c in found])
+        out = rows.iloc[first][["image_id", "category_id", "q", "turn_a", "turn_b"]].reset_index(drop=True)
+        out[PLACE] = np.concatenate([c[0] for _, c in found])
+        for name, k in (("total", 1), ("most", 2), ("n", 3)):
+            out[name] = np.concatenate([c[k] for _, c in found])
+        return out
+
+    def run(batches):
+        kept = None
+        for rows in batches:
+            rows = rows if kept is None else pd.concat([kept, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            last = rows.iloc[-1]
+            open_ = ((rows["image_id"] == last["image_id"]) & (rows["category_id"] == last["category_id"]) & (rows["part"] == last["part"])).to_numpy()
+            done, kept = rows[~open_], rows[open_].reset_index(drop=True)
+            if len(done):
+                yield whole(done.reset_index(drop=True))
+        if kept is not None and len(kept):
+            yield whole(kept)
+
+    return run
+
+
+def fuse_boxes(boxes: DataFrame, members: int | Sequence[float], iou: float = 0.55, *, conf: str = "avg", skip: float = 0.0, min_score: float = 0.0, top: int | None = None, turn: str | None = None, size: tuple[float, float] | None = None, cell: float = CELL) -> DataFrame:
+    """Weighted boxes fusion per image and category.
+
+    ``boxes`` has image_id, category_id, x, y, w, h, score and weight (its
+    member's). ``members`` lists the members' weights, or says how many there are
+    if all weigh 1. Boxes by falling weighted score, ties by ``turn`` (without it
+    by x, then y), join the cluster whose fused box overlaps most, if by more than
+    ``iou``, and move it to the weighted mean of its corners. A cluster's score is
+    its mean weighted score times min(members, boxes) over the sum of the weights,
+    or with ``conf='max'`` its largest weighted score over the largest weight; at
+    most 1. Boxes under ``skip`` are left out before, fused ones under
+    ``min_score`` after; ``top`` keeps an image's best by score, then category,
+    then the order in which clusters began. ``size`` (width, height) clips the
+    result. Boxes with a null in any of these columns are left out.
+
+    An image and category is first cut along lines that meet no box, so that one
+    with very many boxes is fused in parts; boxes that overlap in one chain stay
+    in one task. A part of one box needs no Python.
+    """
+    if conf not in ("avg", "max"):
+        raise ValueError("conf is avg or max")
+    weights = [1.0] * members if isinstance(members, int) else [float(x) for x in members]
+    x, y, w, h, score, weight = (F.col(c).cast("double") for c in ("x", "y", "w", "h", "score", "weight"))
+    order = (F.col(turn).cast("double"), F.lit(0.0)) if turn else (x, y)
+    rows = boxes.where(score >= skip).select(F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), (score * weight).alias("q"), order[0].alias("turn_a"), order[1].alias("turn_b")).dropna()
+    rows = _pieces(rows, cell)
+    keys = ["image_id", "category_id", "part"]
+    alone = F.count("*").over(Window.partitionBy(*keys))
+    rows = rows.withColumn("alone", alone == 1)
+    out = ["image_id", "category_id", "q", "turn_a", "turn_b", *PLACE, "total", "most", "n"]
+    singles = rows.where("alone").select("image_id", "category_id", "q", "turn_a", "turn_b", *PLACE, F.col("q").alias("total"), F.col("q").alias("most"), F.lit(1).cast("long").alias("n"))
+    many = rows.where("not alone").drop("alone").repartition(*keys).sortWithinPartitions(*keys, F.desc("q"), "turn_a", "turn_b", *PLACE)
+    fused = singles.unionByName(many.mapInPandas(_clustered(iou), "image_id long, category_id int, q double, turn_a double, turn_b double, x1 double, y1 double, x2 double, y2 double, total double, most double, n long").select(*out))
+    n, own = F.col("n"), F.lit(sum(weights))
+    value = F.col("most") / max(weights) if conf == "max" else F.col("total") / n * F.least(n, F.lit(len(weights))) / own
+    fused = fused.withColumn("score", F.least(F.lit(1.0), value)).where(F.col("score") >= min_score)
+    if top:
+        best = Window.partitionBy("image_id").orderBy(F.desc("score"), "category_id", F.desc("q"), "turn_a", "turn_b")
+        fused = fused.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
+    clip = lambda c, most: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(float(most))) if size else F.col(c)
+    wide, tall = size or (0, 0)
+    a, b, c, d = clip("x1", wide), clip("y1", tall), clip("x2", wide), clip("y2", tall)
+    near = lambda v: F.round(v, 6)
+    return fused.select("image_id", "category_id", near(a).alias("x"), near(b).alias("y"), near(c - a).alias("w"), near(d - b).alias("h"), F.round("score", 9).alias("score"), "n")

@@ -7,12 +7,12 @@ most; none is NaN: what is undefined is null.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from runledger.storage import written
+
 KEYS = ("run_id", "subset")
 
 
@@ -100,65 +100,74 @@ def mask_overlap(runs: DataFrame) -> DataFrame:
 POINTS = 101
 
 
-def _matched(ious: tuple[float, ...]):
-    """Detections of one image and category by falling score, each with the thresholds at which it has a gold box of its own (as bits)."""
-
-    def run(key, rows):
-        gold, said = rows[rows["side"] == "gold"], rows[rows["side"] == "predicted"]
-        said = said.sort_values(["score", "turn"], ascending=[False, True], kind="stable")
-        g, p = (x[["x", "y", "w", "h"]].to_numpy(float) for x in (gold, said))
-        crowd = gold["crowd"].to_numpy(bool)
-        order = np.argsort(crowd, kind="stable")
-        g, crowd = g[order], crowd[order]
-        if len(g) and len(p):
-            low = np.maximum(p[:, None, :2], g[None, :, :2])
-            high = np.minimum(p[:, None, :2] + p[:, None, 2:], g[None, :, :2] + g[None, :, 2:])
-            both = np.prod(np.clip(high - low, 0, None), axis=2)
-            own, other = np.prod(p[:, 2:], axis=1)[:, None], np.prod(g[:, 2:], axis=1)[None]
-            iou = both / np.maximum(np.where(crowd[None], own, own + other - both), 1e-300)
-        else:
-            iou = np.zeros((len(p), len(g)))
-        hit, out = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        for k, least in enumerate(ious):
-            free = np.ones(len(g), bool)
-            for i in range(len(p)):
-                open_ = (iou[i] >= min(least, 1 - 1e-10)) & (free | crowd)
-                plain = np.flatnonzero(open_ & ~crowd)
-                best = plain if len(plain) else np.flatnonzero(open_)
-                if not len(best):
-                    continue
-                # of equal overlaps the last one counts
-                j = best[len(best) - 1 - int(np.argmax(iou[i][best][::-1]))]
-                free[j] = False
-                (out if crowd[j] else hit)[i] |= 1 << k
-        return pd.DataFrame({"category_id": key[1], "image_id": key[0], "score": said["score"].to_numpy(float), "turn": said["turn"].to_numpy(np.int64), "hit": hit, "ignored": out})
-
-    return run
+def _matched(kept: DataFrame, ious: tuple[float, ...]) -> DataFrame:
+    """Detections with the thresholds at which they have a gold box of their own (bits of ``hit``) or only meet a crowd (``out``).
+
+    A detection of place k in its image and category needs its k best gold boxes
+    at most, as those before it hold fewer than k; so a group's list of pairs is
+    bounded by the detections kept, not by its gold boxes.
+    """
+    group = ["image_id", "category_id"]
+    said = kept.where("side = 'predicted'").select(*group, "place", "score", "turn", *[F.col(c).alias(f"p{c}") for c in "xywh"])
+    gold = kept.where("side = 'gold'").select(*group, "crowd", F.col("turn").alias("gturn"), *[F.col(c).alias(f"g{c}") for c in "xywh"]).withColumn("gold_id", F.struct("gturn", "gx", "gy", "gw", "gh"))
+    wide = F.least(F.expr("px + pw"), F.expr("gx + gw")) - F.greatest("px", "gx")
+    tall = F.least(F.expr("py + ph"), F.expr("gy + gh")) - F.greatest("py", "gy")
+    both = F.greatest(wide, F.lit(0.0)) * F.greatest(tall, F.lit(0.0))
+    union = F.when(F.col("crowd"), F.expr("pw * ph")).otherwise(F.expr("pw * ph + gw * gh") - both)
+    met = said.join(gold, group).withColumn("iou", both / F.greatest(union, F.lit(1e-300))).where(F.col("iou") >= min(ious))
+    # of equal overlaps the last gold box counts
+    near = Window.partitionBy(*group, "place", "crowd").orderBy(F.desc("iou"), F.desc("gold_id"))
+    pairs = met.withColumn("near", F.row_number().over(near)).where("near <= place")
+    lists = pairs.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("place", F.col("crowd").cast("int").alias("crowd"), "near", "iou", "gold_id"))).alias("pairs"))
+    # pairs by detection, gold boxes before crowds, best first: a detection takes the first free one
+    taken = "transform(filter({s}, m -> m.crowd = 0), m -> m.gold_id)"
+    step = "(s, p) -> if(size(s) > 0 and element_at(s, -1).place = p.place or p.crowd = 0 and array_contains(" + taken.format(s="s") + ", p.gold_id), s, array_append(s, p))"
+    matches = F.transform(F.array(*[F.lit(float(min(v, 1 - 1e-10))) for v in ious]), lambda t: F.filter("pairs", lambda p: p["iou"] >= t))
+    lists = lists.withColumn("open", matches)
+    lists = lists.withColumn("own", F.expr(f"transform(open, l -> aggregate(l, slice(l, 1, 0), {step}))"))
+    one = lists.select(*group, F.posexplode("own").alias("k", "l")).select(*group, "k", F.explode("l").alias("m"))
+    bit = F.expr("shiftleft(1L, k)")
+    marks = one.groupBy(*group, F.col("m.place").alias("place")).agg(F.sum(F.when(F.col("m.crowd") == 0, bit).otherwise(0)).alias("hit"), F.sum(F.when(F.col("m.crowd") == 1, bit).otherwise(0)).alias("out"))
+    return said.select(*group, "place", "score", "turn").join(marks, [*group, "place"], "left").na.fill(0, ["hit", "out"])
 
 
 def average_precision(boxes: DataFrame, ious: tuple[float, ...] = tuple(round(0.5 + 0.05 * i, 2) for i in range(10)), max_dets: int = 100) -> DataFrame:
     """Average precision of every category and threshold, interpolated at 101 recalls.
 
     ``boxes``: side (gold or predicted), image_id, category_id, x, y, w, h, score,
-    crowd and turn (the order among equal scores). The ``max_dets`` best of an image and category
-    count. A detection that only meets a crowd box is neither right nor wrong. Categories without gold boxes
-    are left out. One image and category is matched in one task; precision over all images is
-    accumulated over distinct scores' counts, but for the order within equal scores, which is by image and turn.
+    crowd and turn (the order among equal scores, and of equal overlaps). The
+    ``max_dets`` best of an image and category count. A detection that only meets
+    a crowd box is neither right nor wrong. Categories without gold boxes are left out.
+
+    Detections are cut into ranges of (category, falling score, image, turn);
+    precision is summed within a range, then ranges are put together, so no
+    category is in one task.
     """
-    best = F.row_number().over(Window.partitionBy("image_id", "category_id", "side").orderBy(F.desc("score"), "turn"))
-    kept = boxes.withColumn("place", best).where(f"side = 'gold' or place <= {max_dets}").drop("place")
-    kept = kept.select("side", F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), *[F.col(c).cast("double").alias(c) for c in "xywh"], F.col("score").cast("double").alias("score"), F.col("crowd").cast("boolean").alias("crowd"), F.col("turn").cast("long").alias("turn"))
-    marked = kept.groupBy("image_id", "category_id").applyInPandas(_matched(ious), "category_id int, image_id long, score double, turn long, hit long, ignored long")
-    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("iou")) for k, v in enumerate(ious)])).alias("t")
-    each = marked.select("*", at).select("category_id", "image_id", "score", "turn", F.col("t.iou").alias("iou"), F.expr("shiftright(hit, t.k) & 1").alias("tp"), F.expr("shiftright(ignored, t.k) & 1").alias("out")).where("out = 0")
-    gold = kept.where("side = 'gold' and not crowd").groupBy("category_id").agg(F.count("*").alias("gold"))
-    down = Window.partitionBy("category_id", "iou").orderBy(F.desc("score"), "image_id", "turn")
-    curve = each.withColumns({"right": F.sum("tp").over(down.rowsBetween(Window.unboundedPreceding, 0)), "all": F.row_number().over(down)}).where("tp = 1").join(gold, "category_id")
+    best = F.row_number().over(Window.partitionBy("image_id", "category_id").orderBy(F.desc("score"), "turn"))
+    typed = boxes.select("side", F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), *[F.col(c).cast("double").alias(c) for c in "xywh"], F.col("score").cast("double").alias("score"), F.coalesce(F.col("crowd").cast("boolean"), F.lit(False)).alias("crowd"), F.col("turn").cast("long").alias("turn"))
+    said = typed.where("side = 'predicted'").withColumn("place", best).where(F.col("place") <= max_dets)
+    kept = said.unionByName(typed.where("side = 'gold'").withColumn("place", F.lit(None).cast("int")))
+    gold = typed.where("side = 'gold' and not crowd").groupBy("category_id").agg(F.count("*").alias("gold"))
+    ranged = _matched(kept, ious).repartitionByRange("category_id", F.desc("score"), "image_id", "turn").withColumn("piece", F.spark_partition_id())
+    ranged = written(ranged, "detections").join(gold, "category_id")
+    every = range(len(ious))
+    right, live = ([F.expr(f"shiftright({c}, {k}) & 1") for k in every] for c in ("hit", "out"))
+    live = [1 - x for x in live]
+    keys = ["category_id", "piece"]
+    sums = ranged.groupBy(*keys).agg(*[F.sum(right[k]).alias(f"r{k}") for k in every], *[F.sum(live[k]).alias(f"a{k}") for k in every])
+    above = Window.partitionBy("category_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, *[F.coalesce(F.sum(f"{c}{k}").over(above), F.lit(0)).alias(f"{c}{k}") for c in "ra" for k in every])
+    down = Window.partitionBy(*keys).orderBy(F.desc("score"), "image_id", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    curve = ranged.withColumns({f"right{k}": F.sum(right[k]).over(down) for k in every} | {f"all{k}": F.sum(live[k]).over(down) for k in every}).join(before, keys)
     # the best precision at a recall is the largest at this or a later hit; each hit stands for the recalls that it is the first to reach
-    precision = F.col("right") / F.col("all")
-    later = F.max(precision).over(Window.partitionBy("category_id", "iou").orderBy("right").rowsBetween(0, Window.unboundedFollowing))
     reached = lambda n: F.floor((POINTS - 1) * n / F.col("gold") + 1e-9)
-    points = reached(F.col("right")) - reached(F.col("right") - 1) + F.when(F.col("right") == 1, 1).otherwise(0)
-    sums = curve.withColumns({"best": later, "points": points}).groupBy("category_id", "iou").agg((F.sum(F.col("best") * F.col("points")) / POINTS).alias("ap"))
-    all_ = gold.select("category_id", F.explode(F.array(*map(F.lit, ious))).alias("iou"))
-    return all_.join(sums, ["category_id", "iou"], "left").select("category_id", "iou", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    total = [F.col(f"right{k}") + F.col(f"r{k}") for k in every]
+    hits = curve.where("hit <> 0").select(*keys, "score", "image_id", "turn", *[F.when(right[k] == 1, total[k] / (F.col(f"all{k}") + F.col(f"a{k}"))).alias(f"p{k}") for k in every], *[(reached(total[k]) - reached(total[k] - 1) + F.when(total[k] == 1, 1).otherwise(0)).alias(f"n{k}") for k in every])
+    later = Window.partitionBy("category_id").orderBy("piece").rowsBetween(1, Window.unboundedFollowing)
+    tops = hits.groupBy(*keys).agg(*[F.max(f"p{k}").alias(f"m{k}") for k in every]).select(*keys, *[F.max(f"m{k}").over(later).alias(f"l{k}") for k in every])
+    up = Window.partitionBy(*keys).orderBy(F.desc("score"), "image_id", "turn").rowsBetween(0, Window.unboundedFollowing)
+    reach = hits.withColumns({f"u{k}": F.max(f"p{k}").over(up) for k in every}).join(tops, keys)
+    sums = reach.groupBy("category_id").agg(*[(F.sum(F.when(F.col(f"p{k}").isNotNull(), F.greatest(f"u{k}", f"l{k}") * F.col(f"n{k}"))) / POINTS).alias(f"ap{k}") for k in every])
+    all_ = gold.join(sums, "category_id", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("iou"), F.coalesce(f"ap{k}", F.lit(0.0)).alias("ap")) for k, v in enumerate(ious)])).alias("v")
+    return all_.select("category_id", each).select("category_id", "v.iou", "v.ap")
