@@ -163,9 +163,10 @@ def average_precision(boxes: DataFrame, ious: tuple[float, ...] = tuple(round(0.
     reached = lambda n: F.floor((POINTS - 1) * n / F.col("gold") + 1e-9)
     total = [F.col(f"right{k}") + F.col(f"r{k}") for k in every]
     hits = curve.where("hit <> 0").select(*keys, "score", "image_id", "turn", *[F.when(right[k] == 1, total[k] / (F.col(f"all{k}") + F.col(f"a{k}"))).alias(f"p{k}") for k in every], *[(reached(total[k]) - reached(total[k] - 1) + F.when(total[k] == 1, 1).otherwise(0)).alias(f"n{k}") for k in every])
-    later = Window.partitionBy("category_id").orderBy("piece").rowsBetween(1, Window.unboundedFollowing)
+    # from the end backwards: a frame that is open towards the end is summed anew for every row
+    later = Window.partitionBy("category_id").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
     tops = hits.groupBy(*keys).agg(*[F.max(f"p{k}").alias(f"m{k}") for k in every]).select(*keys, *[F.max(f"m{k}").over(later).alias(f"l{k}") for k in every])
-    up = Window.partitionBy(*keys).orderBy(F.desc("score"), "image_id", "turn").rowsBetween(0, Window.unboundedFollowing)
+    up = Window.partitionBy(*keys).orderBy("score", F.desc("image_id"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
     reach = hits.withColumns({f"u{k}": F.max(f"p{k}").over(up) for k in every}).join(tops, keys)
     sums = reach.groupBy("category_id").agg(*[(F.sum(F.when(F.col(f"p{k}").isNotNull(), F.greatest(f"u{k}", f"l{k}") * F.col(f"n{k}"))) / POINTS).alias(f"ap{k}") for k in every])
     all_ = gold.join(sums, "category_id", "left")
