@@ -58,6 +58,14 @@ select event_id as seq, user_id as submission_id, ts, case when event_type = 'vi
 select l_orderkey as sample_id, concat('k', cast(l_linenumber as varchar(20))) as name, cast(l_partkey % 11 as double) / 5 as value from {lineitem} where l_suppkey % 7 <> 0""",
     "fx_vertices": """
 select l_orderkey as polygon_id, l_linenumber as place, cast(max(l_partkey % 700) as double) as x, cast(max((l_suppkey * 37) % 500) as double) as y from {lineitem} group by l_orderkey, l_linenumber""",
+    "fx_rings": """
+select 'gold' as side, polygon_id, place, x / 7 as x, y / 5 as y from {fx_vertices}
+union all select 'predicted', polygon_id, place, x / 7 + (polygon_id % 5) * 5e-1, y / 5 from {fx_vertices}""",
+    "fx_nested": """
+select o_orderkey as sample_id, o_orderkey % 17 = 0 as relabelled, o_orderkey % 13 = 0 as regrouped, o_orderkey % 11 = 0 as widened, o_orderkey % 7 = 0 as longer, o_orderkey % 5 = 0 as retyped, o_orderkey % 3 = 0 as noted,
+  concat('{"views":[{"width":', cast(o_custkey as varchar(20)), ',"height":480}],"labels":{"cls":', cast(o_orderkey % 9 as varchar(20)), ',"boxes":[1,2]},"group":"', o_orderpriority, '","meta":{"site":{"a.b":1}}}') as before_row,
+  concat('{"views":[{"width":', cast(o_custkey + case when o_orderkey % 11 = 0 then 1 else 0 end as varchar(20)), ',"height":480.0}],"labels":{"cls":', cast(o_orderkey % 9 + case when o_orderkey % 17 = 0 then 1 else 0 end as varchar(20)), ',"boxes":[1,2', case when o_orderkey % 7 = 0 then ',3' else '' end, ']},"group":', case when o_orderkey % 13 = 0 then 'null' else concat('"', o_orderpriority, '"') end,
+    ',"meta":{"site":', case when o_orderkey % 5 = 0 then '[1]' else '{"a.b":1}' end, case when o_orderkey % 3 = 0 then ',"note":{"by":"x"}' else '' end, '}}') as after_row from {orders}""",
     "fx_changes": """
 select o_orderkey as sample_id, concat('d', cast(o_custkey % 6 as varchar(20))) as dataset_id,
   case when o_orderkey % 1009 = 0 then 'SPLIT_AFFECTING' when o_orderkey % 31 = 0 then 'TRAINING_AFFECTING' when o_orderkey % 29 = 0 then 'EVALUATION_AFFECTING'

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from runledger.operators.masks import overlap as mask_overlap  # noqa: F401  (kept under the name of before)
 from runledger.storage import written
 
 KEYS = ("run_id", "subset")
@@ -77,26 +78,6 @@ def regression(targets: DataFrame) -> DataFrame:
     return targets.groupBy("subset").agg(F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(F.abs(off)).alias("mae"), F.count("*").alias("n"))
 
 
-def mask_overlap(runs: DataFrame) -> DataFrame:
-    """Dice and intersection over union per class over run-length masks; masks of one class and image are united.
-
-    Runs of one side and image are merged first; pairs of overlapping runs then
-    give the shared pixels, so no pixel is ever a row.
-    """
-    order = Window.partitionBy("side", "image_id", "category_id").orderBy("start", "len")
-    end = F.col("start") + F.col("len")
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = runs.where("len > 0").withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    merged = opened.withColumn("island", F.sum("new").over(order)).groupBy("side", "image_id", "category_id", "island").agg(F.min("start").alias("start"), F.max(end).alias("end"))
-    area = merged.groupBy("category_id").pivot("side", ["gold", "predicted"]).agg(F.sum(F.col("end") - F.col("start")))
-    g = merged.where("side = 'gold'").select("image_id", "category_id", F.col("start").alias("s1"), F.col("end").alias("e1"))
-    p = merged.where("side = 'predicted'").select("image_id", "category_id", F.col("start").alias("s2"), F.col("end").alias("e2"))
-    met = g.join(p, ["image_id", "category_id"]).where("s1 < e2 and s2 < e1")
-    shared = met.groupBy("category_id").agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).alias("both"))
-    full = area.join(shared, "category_id", "left").na.fill(0, ["gold", "predicted", "both"])
-    return full.select("category_id", F.col("both").alias("shared"), F.try_divide(2.0 * F.col("both"), F.col("gold") + F.col("predicted")).alias("dice"), F.try_divide(1.0 * F.col("both"), F.col("gold") + F.col("predicted") - F.col("both")).alias("iou"))
-
-
 POINTS = 101
 
 

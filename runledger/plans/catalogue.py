@@ -308,7 +308,7 @@ def export_ids(spark, d):
 
 
 def _all() -> dict:
-    from runledger.plans import catalogue_records, catalogue_registers, catalogue_views  # noqa: F401  (they register their queries here)
+    from runledger.plans import catalogue_labels, catalogue_records, catalogue_registers, catalogue_views  # noqa: F401  (they register their queries here)
 
     return CATALOGUE
 
