@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,6 +55,83 @@ def group_split(samples: DataFrame, seed: int = 0) -> DataFrame:
     return samples.select("sample_id", "cls", "grp", F.when(b < 700, "train").when(b < 800, "valA").when(b < 900, "valB").otherwise("holdout").alias("subset"))
 
 
+#: Pieces in which running sums over label vectors are made.
+PIECES = 64
+
+
+def _shared(vectors: DataFrame, wanted: int, all_: int) -> DataFrame:
+    """``share``: whole numbers near wanted * open / all_ that add up to ``wanted``, by running sums in an order of pieces, then vectors."""
+    cut = vectors.withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(PIECES)))
+    own = cut.groupBy("piece").agg(F.sum("open").alias("s"))
+    own = own.select("piece", F.coalesce(F.sum("s").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    within = F.coalesce(F.sum("open").over(Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = cut.withColumn("within", within).join(F.broadcast(own), "piece").withColumn("s", F.col("within") + F.col("above"))
+    upto = lambda x: F.floor(x.cast("decimal(38,0)") * wanted / all_)
+    return below.withColumn("share", (upto(F.col("s") + F.col("open")) - upto(F.col("s"))).cast("long")).drop("piece", "within", "above", "s")
+
+
+def multilabel_quota(samples: DataFrame, key: str, labels: str, wanted: int) -> DataFrame:
+    """How many samples of each label vector are taken: (v, names, size, quota), quotas adding up to ``wanted``.
+
+    Iterative stratification on counted vectors: the label with the fewest samples
+    not yet decided goes first, and its samples are taken until the label has its
+    share of ``wanted``, spread over the vectors that hold it; then the next label.
+    Samples without labels fill up. What is still too much or too little is
+    balanced greedily: the vector that mends the labels' counts most moves first,
+    in blocks. Ties go by name, so the result doesn't depend on partitions.
+
+    A job or two a label; the driver sees one row a label and never the vectors.
+    Null labels and repeats are left out, a null list is an empty one.
+    """
+    names = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(labels), F.array().cast("array<string>")))))
+    vectors = samples.withColumn("names", names).groupBy("names").agg(F.count(F.lit(1)).alias("size"))
+    vectors = written(vectors.select(vector_key(F.col("names")).alias("v"), "names", "size", F.lit(0).cast("long").alias("quota"), F.lit(False).alias("done")), "vectors")
+    all_ = vectors.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    wanted = max(0, min(wanted, all_))
+    by_label = lambda: {r["l"]: r for r in vectors.select(F.explode("names").alias("l"), "*").groupBy("l").agg(F.sum("size").alias("size"), F.sum("quota").alias("quota"), F.sum(F.when(~F.col("done"), F.col("size")).otherwise(0)).alias("left")).collect()}
+    while True:
+        # one row a label
+        counts = by_label()
+        open_ = [(r["left"], name) for name, r in counts.items() if r["left"]]
+        if not open_:
+            break
+        left, name = min(open_)
+        target = (2 * wanted * counts[name]["size"] + all_) // (2 * all_)
+        take = max(0, min(left, target - counts[name]["quota"]))
+        turn = ~F.col("done") & F.array_contains("names", name)
+        shared = _shared(vectors.withColumn("open", F.when(turn, F.col("size")).otherwise(0)), take, left)
+        vectors = written(shared.select("v", "names", "size", F.when(turn, F.col("share")).otherwise(F.col("quota")).alias("quota"), (F.col("done") | turn).alias("done")), "vectors")
+    if not all_:
+        return vectors.drop("done")
+    short = wanted - vectors.agg(F.sum("quota")).first()[0]
+    free = min(max(short, 0), vectors.where(F.size("names") == 0).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    vectors = vectors.withColumn("quota", F.when(F.size("names") == 0, F.lit(free)).otherwise(F.col("quota")))
+    short -= free
+    while short:
+        vectors = written(vectors, "vectors")
+        sign = 1 if short > 0 else -1
+        need = {name: sign * (wanted * r["size"] / all_ - r["quota"]) for name, r in by_label().items()}
+        room = (F.col("size") - F.col("quota")) if short > 0 else F.col("quota")
+        score = F.aggregate("names", F.lit(0.0), lambda a, x: a + F.element_at(F.create_map(*[F.lit(y) for kv in need.items() for y in kv]), x)) if need else F.lit(0.0)
+        best = vectors.where(room > 0).select("v", score.alias("score"), room.alias("room"), F.size("names").alias("n")).orderBy(F.desc("score"), "v").first()
+        move = max(1, min(best["room"], abs(short), max(int(best["score"] / max(2 * best["n"], 1)), abs(short) // 4)))
+        vectors = vectors.withColumn("quota", F.col("quota") + F.when(F.col("v") == best["v"], sign * move).otherwise(0))
+        short -= sign * move
+    return vectors.drop("done")
+
+
+def vector_key(names: Column) -> Column:
+    """One text a label vector, each name after its length."""
+    return F.array_join(F.transform(names, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "")
+
+
+def multilabel_take(samples: DataFrame, key: str, labels: str, wanted: int, seed: int = 0) -> DataFrame:
+    """Exactly ``wanted`` samples (all, if fewer) with the labels in proportion; of one label vector the first in digest order."""
+    names = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(labels), F.array().cast("array<string>")))))
+    quotas = multilabel_quota(samples, key, labels, wanted).select(F.col("v").alias("__v"), "quota")
+    return take_quota(samples.withColumn("__v", vector_key(names)), "__v", key, written(quotas, "quotas"), seed).drop("__v")
+
+
 def fixed_split(samples: DataFrame, subsets: list[tuple[str, float]], rest: str = "train", seed: int = 0) -> DataFrame:
     """Exact sizes: each subset takes its share (halves to even) of the eligible samples from what is left, by strata.
 
