@@ -63,9 +63,9 @@ select 'gold' as side, polygon_id, place, x / 7 as x, y / 5 as y from {fx_vertic
 union all select 'predicted', polygon_id, place, x / 7 + (polygon_id % 5) * 5e-1, y / 5 from {fx_vertices}""",
     "fx_nested": """
 select o_orderkey as sample_id, o_orderkey % 17 = 0 as relabelled, o_orderkey % 13 = 0 as regrouped, o_orderkey % 11 = 0 as widened, o_orderkey % 7 = 0 as longer, o_orderkey % 5 = 0 as retyped, o_orderkey % 3 = 0 as noted,
-  concat('{"views":[{"width":', cast(o_custkey as varchar(20)), ',"height":480}],"labels":{"cls":', cast(o_orderkey % 9 as varchar(20)), ',"boxes":[1,2]},"group":"', o_orderpriority, '","meta":{"site":{"a.b":1}}}') as before_row,
-  concat('{"views":[{"width":', cast(o_custkey + case when o_orderkey % 11 = 0 then 1 else 0 end as varchar(20)), ',"height":480.0}],"labels":{"cls":', cast(o_orderkey % 9 + case when o_orderkey % 17 = 0 then 1 else 0 end as varchar(20)), ',"boxes":[1,2', case when o_orderkey % 7 = 0 then ',3' else '' end, ']},"group":', case when o_orderkey % 13 = 0 then 'null' else concat('"', o_orderpriority, '"') end,
-    ',"meta":{"site":', case when o_orderkey % 5 = 0 then '[1]' else '{"a.b":1}' end, case when o_orderkey % 3 = 0 then ',"note":{"by":"x"}' else '' end, '}}') as after_row from {orders}""",
+  replace(replace(concat('<"views":[<"width":', cast(o_custkey as varchar(20)), ',"height":480>],"labels":<"cls":', cast(o_orderkey % 9 as varchar(20)), ',"boxes":[1,2]>,"group":"', o_orderpriority, '","meta":<"site":<"a.b":1>>>'), '<', chr(123)), '>', chr(125)) as before_row,
+  replace(replace(concat('<"views":[<"width":', cast(o_custkey + case when o_orderkey % 11 = 0 then 1 else 0 end as varchar(20)), ',"height":480.0>],"labels":<"cls":', cast(o_orderkey % 9 + case when o_orderkey % 17 = 0 then 1 else 0 end as varchar(20)), ',"boxes":[1,2', case when o_orderkey % 7 = 0 then ',3' else '' end, ']>,"group":', case when o_orderkey % 13 = 0 then 'null' else concat('"', o_orderpriority, '"') end,
+    ',"meta":<"site":', case when o_orderkey % 5 = 0 then '[1]' else '<"a.b":1>' end, case when o_orderkey % 3 = 0 then ',"note":<"by":"x">' else '' end, '>>'), '<', chr(123)), '>', chr(125)) as after_row from {orders}""",
     "fx_label_vectors": """
 select l_orderkey as sample_id, case when l_partkey % 13 = 0 then 'rare' when l_partkey % 17 = 0 then null else concat('kind', cast(l_partkey % 5 as varchar(20))) end as label from {lineitem}""",
     "fx_changes": """

@@ -36,7 +36,7 @@ def box_problems(boxes: DataFrame, width: int = 640, height: int = 480) -> DataF
     x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
     problem = (
         F.when((w <= 0) | (h <= 0), "non_positive")
-        .when((x < 0) | (y < 0), "negative_origin")
+        .when((x < -1) | (y < -1), "negative_origin")
         .when((x + w > width + 1) | (y + h > height + 1), "out_of_bounds")
         .when((w < 2) | (h < 2), "tiny")
         .when(F.greatest(w, h) > 20 * F.least(w, h), "aspect")

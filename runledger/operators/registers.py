@@ -136,8 +136,8 @@ def sealed_readings(cards: DataFrame, readings: DataFrame, size: int) -> DataFra
 
 
 def decade(edges: Column) -> Column:
-    """Digits less one; 0 below one edge."""
-    return F.when(edges < 1, 0).otherwise(F.length(edges.cast("string")) - 1).cast("int")
+    """Digits of the whole part less one; 0 below one edge."""
+    return F.when(edges < 1, 0).otherwise(F.length(F.floor(edges).cast("decimal(38,0)").cast("string")) - 1).cast("int")
 
 
 def relative_band(rows: DataFrame) -> DataFrame:

@@ -51,12 +51,12 @@ def repeated_places(views: DataFrame, sequence: str, index: str) -> DataFrame:
 
 
 def polygon_facts(vertices: DataFrame, width: int, height: int) -> DataFrame:
-    """Area by the shoelace formula and the first problem of each ring (polygon_id, place, x, y): under three vertices, or one outside the image."""
+    """Area by the shoelace formula and the first problem of each ring (polygon_id, place, x, y): under three vertices, or one more than a pixel outside the image."""
     ring = Window.partitionBy("polygon_id").orderBy("place")
     near = vertices.withColumns({"nx": F.lead("x").over(ring), "ny": F.lead("y").over(ring)})
     first = F.min(F.struct("place", "x", "y"))
     last = F.max(F.struct("place", "x", "y"))
-    outside = F.max(((F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") > width) | (F.col("y") > height)).cast("int"))
+    outside = F.max(((F.col("x") < -1) | (F.col("y") < -1) | (F.col("x") > width + 1) | (F.col("y") > height + 1)).cast("int"))
     own = near.groupBy("polygon_id").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")).alias("s"), first.alias("f"), last.alias("l"), outside.alias("out"))
     area = F.abs(F.coalesce("s", F.lit(0.0)) + F.col("l.x") * F.col("f.y") - F.col("f.x") * F.col("l.y")) / 2
     problem = F.when(F.col("n") < 3, "degenerate_ring").when(F.col("out") == 1, "vertex_outside")

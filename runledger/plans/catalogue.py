@@ -164,7 +164,7 @@ def dup_groups(spark, d):
     return member.join(groups, "g").select("doc_id", "group_id")
 
 
-@query("select l_orderkey, l_linenumber, x, y, w, h, category_id, problem from (select *, case when w <= 0 or h <= 0 then 'non_positive' when x < 0 or y < 0 then 'negative_origin' when x + w > 641 or y + h > 481 then 'out_of_bounds' when w < 2 or h < 2 then 'tiny' when greatest(w, h) > 20 * least(w, h) then 'aspect' when w * h >= 0.98 * 640 * 480 then 'covers' end as problem from {fx_boxes}) where problem is not null")
+@query("select l_orderkey, l_linenumber, x, y, w, h, category_id, problem from (select *, case when w <= 0 or h <= 0 then 'non_positive' when x < -1 or y < -1 then 'negative_origin' when x + w > 641 or y + h > 481 then 'out_of_bounds' when w < 2 or h < 2 then 'tiny' when greatest(w, h) > 20 * least(w, h) then 'aspect' when w * h >= 0.98 * 640 * 480 then 'covers' end as problem from {fx_boxes}) where problem is not null")
 def box_coords_audit(spark, d):
     return audit.box_problems(fixtures.table(spark, d, "fx_boxes"))
 

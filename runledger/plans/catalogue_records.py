@@ -168,7 +168,7 @@ def repeated_views(spark, d):
 _RING = "v as (select polygon_id, place, x, y, lead(x) over w as nx, lead(y) over w as ny, first_value(x) over w as fx, first_value(y) over w as fy from {fx_vertices} window w as (partition by polygon_id order by place))"
 
 
-@query(f"with {_RING}, s as (select polygon_id, count(*) as n, abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2 as area, bool_or(x < 0 or y < 0 or x > 640 or y > 480) as out_ from v group by all) select polygon_id, n, area, case when n < 3 then 'degenerate_ring' when out_ then 'vertex_outside' end as problem from s")
+@query(f"with {_RING}, s as (select polygon_id, count(*) as n, abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2 as area, bool_or(x < -1 or y < -1 or x > 641 or y > 481) as out_ from v group by all) select polygon_id, n, area, case when n < 3 then 'degenerate_ring' when out_ then 'vertex_outside' end as problem from s")
 def polygon_audit(spark, d):
     return validate.polygon_facts(table(spark, d, "fx_vertices"), 640, 480)
 
@@ -236,7 +236,7 @@ def category_order(spark, d):
     return exchange.category_order(table(spark, d, "part").select(F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string")).alias("value")))
 
 
-@query("select 'cls' as task union all select 'multilabel' union all select 'regression'")
+@query("with r as (select l_partkey::varchar as a, (l_partkey % 2)::varchar as b, printf('%.1f', (l_suppkey % 2)::double) as c, l_tax::varchar as e from {lineitem}) select case when bool_and(regexp_full_match(trim(a), '-?[0-9]+')) then 'cls' when bool_and(trim(a) in ('0', '1', '0.0', '1.0')) then 'multilabel' else 'regression' end as task from r union all select case when bool_and(trim(b) in ('0', '1', '0.0', '1.0') and trim(c) in ('0', '1', '0.0', '1.0')) then 'multilabel' else 'regression' end from r union all select case when bool_and(trim(b) in ('0', '1', '0.0', '1.0') and trim(e) in ('0', '1', '0.0', '1.0')) then 'multilabel' else 'regression' end from r")
 def inferred_tasks(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("a"), (F.col("l_partkey") % 2).cast("string").alias("b"), F.format_string("%.1f", (F.col("l_suppkey") % 2).cast("double")).alias("c"), F.col("l_tax").cast("string").alias("e"))
     return exchange.inferred_task(rows, ["a"]).union(exchange.inferred_task(rows, ["b", "c"])).union(exchange.inferred_task(rows, ["b", "e"]))

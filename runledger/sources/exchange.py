@@ -11,15 +11,15 @@ from runledger.operators.statistics import numbered
 
 def category_order(values: DataFrame, column: str = "value") -> DataFrame:
     """Ids from 0 for the distinct values of a label column: whole numbers first by size, then texts. One row a category."""
-    whole = F.col(column).rlike(r"^[+-]?[0-9]+$")
+    whole = F.col(column).rlike(r"^-?[0-9]+$")
     order = Window.orderBy((~whole).cast("int"), F.when(whole, F.expr(f"try_cast(`{column}` as decimal(38,0))")), column)
     return values.where(F.col(column).isNotNull()).select(column).distinct().withColumn("category_id", F.row_number().over(order) - 1)
 
 
 def inferred_task(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``cls`` for one column of whole numbers, ``multilabel`` where all values are 0 or 1, else ``regression``."""
-    all_ = lambda pattern: F.bool_and(F.array_min(F.array(*[F.coalesce(F.col(c).rlike(pattern), F.lit(False)) for c in columns])))
-    found = rows.agg(all_(r"^[+-]?[0-9]+$").alias("whole"), all_(r"^(0|1|0\.0|1\.0)$").alias("binary"))
+    """``cls`` for one column of whole numbers, ``multilabel`` where all values are 0 or 1, else ``regression``; blanks around a value don't count, a plus sign is no whole number."""
+    all_ = lambda pattern: F.bool_and(F.array_min(F.array(*[F.coalesce(F.trim(F.col(c)).rlike(pattern), F.lit(False)) for c in columns])))
+    found = rows.agg(all_(r"^-?[0-9]+$").alias("whole"), all_(r"^(0|1|0\.0|1\.0)$").alias("binary"))
     return found.select(F.when(F.lit(len(columns) == 1) & F.col("whole"), "cls").when(F.col("binary"), "multilabel").otherwise("regression").alias("task"))
 
 

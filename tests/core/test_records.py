@@ -144,3 +144,16 @@ def test_boxes_of_one_place_are_found(spark):
     rows = [(1, 0, 1, 2, 3, 4)] * 2 + [(1, 0, 1, 2, 3, 5), (2, 0, 1, 2, 3, 4)]
     got = audit.duplicate_boxes(spark.createDataFrame(rows, "l_orderkey long, category_id int, x int, y int, w int, h int")).select("l_orderkey", "h", "n").collect()
     assert [tuple(r) for r in got] == [(1, 4, 2)]
+
+
+def test_tolerance_and_signs(spark):
+    from runledger.operators import audit, registers
+
+    boxes = spark.createDataFrame([(1, -1.0, -1.0, 9.0, 9.0), (2, -1.5, 0.0, 9.0, 9.0), (3, 632.0, 0.0, 9.0, 9.0), (4, 632.5, 0.0, 9.0, 9.0)], "id long, x double, y double, w double, h double")
+    assert {r["id"]: r["problem"] for r in audit.box_problems(boxes).collect()} == {2: "negative_origin", 4: "out_of_bounds"}
+    ring = spark.createDataFrame([(p, i, x, y) for p, far in ((1, 11.0), (2, 11.5)) for i, (x, y) in enumerate([(-1.0, 0.0), (far, 0.0), (5.0, 9.0)])], "polygon_id long, place int, x double, y double")
+    assert {r["polygon_id"]: r["problem"] for r in validate.polygon_facts(ring, 10, 10).collect()} == {1: None, 2: "vertex_outside"}
+    task = lambda *v: exchange.inferred_task(spark.createDataFrame([(x,) for x in v], "a string"), ["a"]).first()["task"]
+    assert [task(" 5 ", "-7"), task("+5", "7"), task("1", " 0.0"), task("1", None)] == ["cls", "regression", "multilabel", "regression"]
+    edges = spark.createDataFrame([(0.5,), (1.0,), (9.9,), (10.0,), (12345678.0,)], "n double")
+    assert [r[0] for r in edges.select(registers.decade(F.col("n"))).collect()] == [0, 0, 0, 1, 7]
