@@ -36,6 +36,48 @@ def paired_bootstrap(hits: DataFrame, baseline: str, candidate: str, draws: int
     return whole.join(spread, "subset").select("subset", "n", "delta", "se", t_statistic(F.col("delta"), F.col("se")).alias("t"))
 
 
+def bootstrap_spread(marks: DataFrame, metric: str = "macro_f1", draws: int = 200, seed: int = 0, least: int = 2) -> DataFrame:
+    """How far one reading moves when its subset is resampled: per run and subset the value and ``se`` over the draws.
+
+    ``marks``: run_id, subset, sample_id, gold, predicted. ``metric``: accuracy,
+    macro_f1 (classes without gold samples in a draw are left out) or
+    ``recall:<class>``, which a draw without that class refuses. Refused draws are
+    counted in ``skipped``; where they exceed those used, or fewer than ``least``
+    are left, ``se`` is null and ``refused`` true. Samples without gold are left out;
+    all runs share the draws of a subset's samples.
+
+    A draw is reduced to counts of (gold, predicted) before values are formed, so
+    what is shuffled behind it doesn't grow with the samples.
+    """
+    known = marks.where("gold is not null")
+    places = numbered(known.select("subset", "sample_id").distinct(), "subset", "sample_id").select("subset", "sample_id", "place", "n")
+    asked = places.select("subset", "n", "place", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    asked = asked.groupBy("subset", "draw", draw_index(seed, F.col("draw"), F.col("place"), F.col("n")).alias("place")).agg(F.count("*").alias("times"))
+    drawn = asked.join(places, ["subset", "place"]).select("subset", "sample_id", "draw", "times").join(known, ["subset", "sample_id"])
+    whole = known.withColumns({"draw": F.lit(-1), "times": F.lit(1).cast("long")})
+    columns = ["run_id", "subset", "draw", "gold", "predicted", "times"]
+    cells = drawn.select(*columns).unionByName(whole.select(*columns)).groupBy(*columns[:-1]).agg(F.sum("times").alias("times"))
+    keys = ["run_id", "subset", "draw"]
+    hit = F.coalesce(F.col("gold") == F.col("predicted"), F.lit(False))
+    if metric == "macro_f1":
+        side = F.explode(F.array(F.struct(F.col("gold").alias("c"), F.lit(1).alias("own")), F.struct(F.col("predicted").alias("c"), F.lit(0).alias("own")))).alias("s")
+        classes = cells.select(*keys, "times", hit.alias("hit"), side).where("s.c is not null").groupBy(*keys, "s.c").agg(F.sum(F.when(F.col("hit"), F.col("times")).otherwise(0)).alias("tp2"), F.sum("times").alias("all"), F.sum(F.col("times") * F.col("s.own")).alias("own"))
+        # both sides of a hit are counted: tp2 is twice the true positives, all is 2 tp + fp + fn
+        values = classes.groupBy(*keys).agg(F.avg(F.when(F.col("own") > 0, F.col("tp2") / F.col("all"))).alias("v"))
+    elif metric == "accuracy":
+        values = cells.groupBy(*keys).agg((F.sum(F.when(hit, F.col("times")).otherwise(0)) / F.sum("times")).alias("v"))
+    elif metric.startswith("recall:"):
+        own = F.col("gold").cast("string") == metric.removeprefix("recall:")
+        values = cells.groupBy(*keys).agg(F.try_divide(F.sum(F.when(own & hit, F.col("times")).otherwise(0)), F.sum(F.when(own, F.col("times")).otherwise(0))).alias("v"))
+    else:
+        raise ValueError(f"no bootstrap of {metric}")
+    is_draw = F.col("draw") >= 0
+    used = F.count(F.when(is_draw, F.col("v")))
+    out = values.groupBy("run_id", "subset").agg(F.max(F.when(~is_draw, F.col("v"))).alias("value"), used.alias("used"), (F.lit(draws) - used).alias("skipped"), F.stddev_samp(F.when(is_draw, F.col("v"))).alias("se"))
+    refused = (F.col("skipped") > F.col("used")) | (F.col("used") < least)
+    return out.select("run_id", "subset", "value", F.when(~refused, F.col("se")).alias("se"), "used", "skipped", refused.alias("refused"))
+
+
 def sigma_split_half(values: DataFrame, first: str = "valA", second: str = "valB", least_runs: int = 3) -> DataFrame:
     """Noise of a reading: spread over runs of the difference of two halves, over the square root of 2; null under ``least_runs``."""
     wide = values.where(F.col("subset").isin(first, second)).groupBy("run_id").pivot("subset", [first, second]).agg(F.first("value"))
