@@ -9,9 +9,10 @@ no base span and rewritten spans with a broken check digit or octet. Thresholds
 kind are read off rows that the trees haven't seen.
 
 All of it is column expressions: a document's spans are found, scored and chosen
-within its own row, so that there is no shuffle of documents. Only the bounded
-sample of labelled candidates is gathered, for ``pyspark.ml``'s boosted trees,
-which come back as a column expression. Patterns never backtrack over more than a
+within its own row, so that there is no shuffle of documents. The trees and the
+thresholds are learned from every base span and every candidate; equal feature
+vectors are counted, and ``pyspark.ml``'s boosted trees take the counts as weights
+and come back as a column expression. Patterns never backtrack over more than a
 run of one class of characters, and positions are summed in blocks, so that very
 long texts take time in proportion.
 """
@@ -55,9 +56,9 @@ GENERATORS = (
 #: Characters of context on either side, and entries of a block of running sums.
 CONTEXT = 24
 BLOCK = 128
-#: The bounded sample: base spans and candidates outside them, each at most so many a kind (expected), before rewriting.
-SAMPLE = 3000
 TREES, DEPTH, STEP = 20, 4, 0.3
+#: A leaf of a tree has at least so many labelled rows.
+LEAF = 5
 #: A threshold is the lowest from LEAST at which so large a part of the held-out rows above it is right.
 LEAST, PRECISION = 0.5, 0.9
 SPAN = "struct<kind:int,gen:int,s:int,e:int,m:string,before:string,after:string>"
@@ -166,21 +167,16 @@ def _rewritten() -> str:
     return "case b.kind " + " ".join(f"when {i} then array({', '.join(rows)})" for i, rows in enumerate((email, ip, card, phone))) + " end"
 
 
-def labelled(table: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Rows ``kind, f, label, held`` of the bounded sample.
+def labelled(table: DataFrame) -> DataFrame:
+    """Rows ``kind, f, label, held, n``: how often each feature vector occurs with a label, over the whole table.
 
     Right are base spans in other forms; wrong are forms with a broken number and
-    candidates that touch no base span. Base spans and candidates of a kind are
-    thinned alike, so that their odds stay.
+    candidates that touch no base span. All base spans and candidates count.
     """
     every = "concat(base_email, base_ip, base_card, base_phone)"
-    kinds = table.select(F.explode(F.expr(f"concat(transform({every}, b -> b.kind), transform(cands, c -> c.kind + 4))")).alias("kind")).groupBy("kind").count().collect()
-    share = {k: min(1.0, sample / max([1] + [r["count"] for r in kinds if r.kind % 4 == k])) for k in range(4)}
-    limit = f"array({', '.join(str(int(share[k] * (1 << 30))) for k in range(4))})"
-    place = lambda c: f"pmod(xxhash64(doc_id, {c}.kind, {c}.s, {c}.m), {1 << 30})"
     held = lambda c: f"pmod(xxhash64({c}.m, doc_id), 3) = 0"
-    base = table.select("doc_id", F.explode(F.expr(f"filter({every}, b -> {place('b')} < get({limit}, b.kind))")).alias("b"))
-    drawn = table.select("doc_id", F.explode(F.expr(f"filter(cands, c -> {place('c')} < get({limit}, c.kind))")).alias("c"))
+    base = table.select("doc_id", F.explode(F.expr(every)).alias("b"))
+    drawn = table.select("doc_id", F.explode("cands").alias("c"))
     # whether a candidate touches a base span is looked up in its own surroundings, not among all spans of its text
     drawn = drawn.select(F.col("c.kind").alias("kind"), F.col("c.f").alias("f"), F.expr(held("c")).alias("held"), F.length("c.before").alias("start"), F.length("c.m").alias("size"), F.concat("c.before", "c.m", "c.after").alias("text"))
     near = find(drawn, "text", {f"near_{k}": (i, -1, BASE[k]) for i, k in enumerate(KINDS)})
@@ -192,7 +188,7 @@ def labelled(table: DataFrame, sample: int = SAMPLE) -> DataFrame:
     both = F.least(F.col("c.e"), F.col("start") + F.col("size")) - F.greatest(F.col("c.s"), "start")
     found = found.where((F.col("c.kind") == F.col("own")) & (both >= 0.8 * F.col("size")) & (both >= 0.8 * (F.col("c.e") - F.col("c.s"))))
     rows = found.select(F.col("own").alias("kind"), F.col("c.f").alias("f"), F.col("right").cast("double").alias("label"), "held")
-    return rows.union(outside)
+    return rows.union(outside).groupBy("kind", "f", "label", "held").agg(F.count("*").alias("n"))
 
 
 def _tree(lines: list[str]) -> str:
@@ -207,16 +203,22 @@ def _tree(lines: list[str]) -> str:
 
 
 def fit(rows: DataFrame) -> tuple[str, dict[int, float]]:
-    """SQL of a candidate's probability, and the threshold of each kind; above 1 where no candidate is to be taken."""
-    rows = materialize(rows.repartition(1).sortWithinPartitions("kind", "label", "f"), "pii-sample")
-    if not rows.where("label = 1 and not held").limit(1).count():
+    """SQL of a candidate's probability, and the threshold of each kind; above 1 where no candidate is to be taken.
+
+    ``rows`` has distinct feature vectors with their counts ``n``: features are
+    coarse, so their number is bounded by the features, not by the corpus.
+    """
+    rows = materialize(rows.repartition(1).sortWithinPartitions("kind", "label", "f", "held"), "pii-labelled")
+    seen = rows.where("not held").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("right")).first()
+    if not seen["right"]:
         return "0e0", dict.fromkeys(range(4), 2.0)
-    train = rows.where("not held").coalesce(1).select(array_to_vector("f").alias("features"), "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=32, minInstancesPerNode=5, seed=1, cacheNodeIds=False).fit(train)
+    train = rows.where("not held").coalesce(1).select(array_to_vector("f").alias("features"), "label", F.col("n").cast("double").alias("n"))
+    # a leaf's least size is a part of all rows, as a row here stands for many
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=32, minInstancesPerNode=1, minWeightFractionPerNode=min(LEAF / seen["n"], 0.49), weightCol="n", seed=1, cacheNodeIds=False).fit(train)
     margin = " + ".join(f"{w!r} * {_tree(t.toDebugString.splitlines()[1:])}" for w, t in zip(model.treeWeights, model.trees, strict=True))
     score = f"1e0 / (1e0 + exp(-2e0 * ({margin})))"
-    held = rows.where("held").select("kind", "label", F.expr(f"element_at(transform(array(named_struct('f', f)), c -> {score}), 1)").alias("p"))
-    bins = held.groupBy("kind", F.floor(F.col("p") * 50).cast("int").alias("bin")).agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()
+    held = rows.where("held").select("kind", "label", "n", F.expr(f"element_at(transform(array(named_struct('f', f)), c -> {score}), 1)").alias("p"))
+    bins = held.groupBy("kind", F.floor(F.col("p") * 50).cast("int").alias("bin")).agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect()
     limits = {}
     for kind in range(4):
         own, limits[kind] = [b for b in bins if b.kind == kind], 2.0
@@ -233,7 +235,7 @@ def _joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({ordered}, c -> concat(get(array({names}), c.kind), ':', c.s, ':', c.e)), ',')")
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def personal_data(docs: DataFrame) -> DataFrame:
     """Spans of personal data of every document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added``.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. The counts and
@@ -245,7 +247,7 @@ def personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     table = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = materialize(candidates(table, "text", base=True), "pii-spans")
-    score, limits = fit(labelled(table, sample))
+    score, limits = fit(labelled(table))
     limit = f"get(array({', '.join(repr(float(limits[k])) for k in range(4))}), c.kind)"
     plain = "named_struct('kind', c.kind, 's', c.s, 'e', c.e)"
     chosen = table.withColumn("chosen", F.expr(f"filter(cands, c -> {score} >= {limit})"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from runledger.llm import queries as Q
-from runledger.llm.pii import BLOCK, personal_data, running
+from runledger.llm.pii import BLOCK, candidates, labelled, personal_data, running
 
 # fixed values: the base rules as given
 RULES = {
@@ -148,3 +148,13 @@ def test_running_sums(spark):
     values = df.first().d
     sums, most = df.select(F.expr(running("d", "{t} + x")), F.expr(running("d", "greatest({t}, x)"))).first()
     assert sums == [sum(values[: k + 1]) for k in range(n)] and most == [max(values[: k + 1]) for k in range(n)]
+
+
+def test_learns_from_every_span(spark):
+    """No span or candidate is left out of learning, however many there are, and equal ones count as often as they occur."""
+    copies = 2000
+    text = " ".join(f"x {i}.20.30.40 y 555-010-{i:04d} z" for i in range(1, 4))
+    docs = spark.range(copies).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    one = labelled(candidates(docs.where("doc_id = 0"), "text", base=True)).groupBy("kind", "label").agg(F.sum("n")).collect()
+    every = labelled(candidates(docs, "text", base=True)).groupBy("kind", "label").agg(F.sum("n")).collect()
+    assert len(one) == 3 and sorted(map(tuple, every)) == sorted((k, y, n * copies) for k, y, n in one)
