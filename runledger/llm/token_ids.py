@@ -12,28 +12,32 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runledger.llm.common import materialize, parts, prepare, slices
+from runledger.llm.common import materialize, parts, prepare
 
 BLOCK = 128
 PERCENTILE = 0.9
 END_ID = 2
 MAGIC = 0x31524650
-MOST_CACHED = 400_000
-
-
-def plainly_spaced(text: str) -> bool:
-    """Whether all white space is one space or line break between two other characters, and nothing may begin a special token."""
-    words = text.split()
-    gaps = len(words) - 1
-    return gaps >= 0 and sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps and "<|" not in text
+#: Pieces that a worker remembers; beyond that, the half that it met most often stays.
+MOST_CACHED = 800_000
+#: Texts are looked up in runs of so many bytes, and new pieces encoded so many at once.
+LOOKUP_BYTES = 1 << 22
+GROUP = 50
+#: Pieces that no plainly spaced text has: the end of a text, and the place of a text that is encoded whole.
+_END, _WHOLE = "\r", "\x0b"
+_SPACES = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
+#: White space other than one space or line break between two other characters, what may begin a special token, or no text at all.
+NOT_PLAIN = rf"\A[ \n]|[ \n]\z|[ \n][ \n]|[{_SPACES}]|<\||\A\z"
 
 
 def load_tokenizer(name: str):
@@ -46,15 +50,8 @@ def load_tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-class _Numbers(dict):
-    """Numbers of pieces. A piece begins with a tab at a text's start, with a line break after one, else a space comes before it."""
-
-    def __init__(self, coder):
-        self.coder = coder
-
-    def __missing__(self, p: str) -> int:
-        self[p] = i = self.coder.add(p if p[0] == "\n" else p[1:] if p[0] == "\t" else " " + p)
-        return i
+def _text(x: str) -> pa.Scalar:
+    return pa.scalar(x, pa.large_string())
 
 
 class Coder:
@@ -62,67 +59,93 @@ class Coder:
 
     Its pre-tokenizer always cuts before a space or line break that stands alone
     between two other characters, so pieces cut there have the same ids alone as
-    in the text. Texts with other white space are encoded in one piece.
+    in the text. Texts with other white space are encoded in one piece. A piece
+    begins with a tab at a text's start, with a line break after one, else a space
+    comes before it.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known = _Numbers(self)
-        self.waiting: list[str] = []
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.sizes = np.zeros(1 << 16, np.int64)
-        self.count = 0
-
-    def add(self, text: str) -> int:
-        self.waiting.append(text)
-        self.count += 1
-        return self.count - 1
-
-    def _pieces(self, text: str, out: list[int]) -> None:
-        if not text:
-            return
-        if not plainly_spaced(text):
-            out.append(self.add(text))
-            return
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\t" + pieces[0]
-        out.extend(map(self.known.__getitem__, pieces))
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        vocabulary = tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.known = pa.array([_END, _WHOLE], pa.large_string())
+        self.pool, self.starts, self.sizes, self.met = np.array([END_ID], np.uint32), np.array([0, 1]), np.array([1, 0]), np.zeros(2, np.int64)
+
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [x.ids for x in self.encode(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())), sizes
+
+    def _pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that don't start a text, encoded together and cut where their bytes end."""
+        if not len(new):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = pc.if_else(pc.starts_with(new, "\n"), new, pc.binary_join_element_wise(_text(""), new, _text(" ")))
+        own = texts.to_pylist()
+        flat, _ = self._coded(["".join(own[i : i + GROUP]) for i in range(0, len(own), GROUP)])
+        reached, ends = np.cumsum(self.bytes[flat]), np.cumsum(pc.binary_length(texts).to_numpy())
+        last = np.searchsorted(reached, ends)
+        if len(flat) and last[-1] == len(flat) - 1 and (reached[last] == ends).all():
+            return flat, np.diff(last, prepend=-1)
+        return self._coded(own)
+
+    def _keep(self, new: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, new])
+        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.pool = np.concatenate((self.pool, flat))
+        self.met = np.concatenate((self.met, np.zeros(len(sizes), np.int64)))
+
+    def _forget(self) -> None:
+        often = np.sort(2 + np.argsort(-self.met[2:], kind="stable")[: MOST_CACHED // 2])
+        kept = np.concatenate(([0, 1], often))
+        self.known = self.known.take(pa.array(kept))
+        self.pool, self.sizes = self._gather(kept), self.sizes[kept]
+        self.starts, self.met = np.cumsum(self.sizes) - self.sizes, self.met[kept] // 2
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[at]
+        before = np.cumsum(sizes) - sizes
+        places = np.repeat(self.starts[at] - before, sizes)
+        places += np.arange(len(places))
+        return np.take(self.pool, places)
+
+    def ids(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text followed by END_ID, and their number by text."""
-        if self.count > MOST_CACHED:
-            self.clear()
-        before = self.count
-        found: list[int] = []
-        ends_at = [0]
-        for x in texts:
-            self._pieces(x, found)
-            ends_at.append(len(found))
-        if self.waiting:
-            coded = [x.ids for x in self.encode(self.waiting, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter((i for x in coded for i in x), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            while self.count > len(self.starts):
-                self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.starts[before : self.count] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[before : self.count] = sizes
-            self.used += len(flat)
-            self.waiting = []
-        pieces = np.array(found, np.int64)
-        sizes = self.sizes[pieces]
-        ends = np.cumsum(sizes)
-        text_ends = np.concatenate(([0], ends))[ends_at[1:]] if texts else np.zeros(0, np.int64)
-        flat = self.pool[np.repeat(self.starts[pieces] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return np.insert(flat, text_ends, END_ID), np.diff(np.concatenate(([0], text_ends))) + 1
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.known) > MOST_CACHED:
+            self._forget()
+        whole = pc.match_substring_regex(texts, NOT_PLAIN)
+        marked = pc.if_else(whole, _text(_WHOLE), pc.binary_join_element_wise(_text("\t"), pc.replace_substring(texts, "\n", " \n"), _text("")))
+        pieces = pc.split_pattern(pc.binary_join_element_wise(marked, _text(_END), _text(" ")), " ")
+        words, bounds = pieces.flatten(), pieces.offsets.to_numpy()
+        at = pc.index_in(words, value_set=self.known)
+        missing = words.filter(at.is_null()).dictionary_encode()
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        if len(missing):
+            new, count = missing.dictionary, len(self.known)
+            first = pc.starts_with(new, "\t")
+            heads, tails = np.flatnonzero(first.to_numpy(zero_copy_only=False)), np.flatnonzero(~first.to_numpy(zero_copy_only=False))
+            number = np.empty(len(new), np.int64)
+            number[tails], number[heads] = count + np.arange(len(tails)), count + len(tails) + np.arange(len(heads))
+            self._keep(new.take(pa.array(tails)), *self._pieces(new.take(pa.array(tails))))
+            self._keep(new.take(pa.array(heads)), *self._coded([x[1:] for x in new.take(pa.array(heads)).to_pylist()]))
+            at[at < 0] = number[missing.indices.to_numpy()]
+        self.met += np.bincount(at, minlength=len(self.met))
+        sizes, starts, pool = self.sizes, self.starts, self.pool
+        odd = np.flatnonzero(at == 1)
+        if len(odd):
+            # texts encoded whole aren't kept
+            flat, own = self._coded(texts.filter(whole).to_pylist())
+            at[odd] = len(sizes) + np.arange(len(odd))
+            self.starts, self.sizes, self.pool = np.concatenate((starts, len(pool) + np.cumsum(own) - own)), np.concatenate((sizes, own)), np.concatenate((pool, flat))
+        ends = np.concatenate(([0], np.cumsum(self.sizes[at])))[bounds - bounds[0]]
+        found = self._gather(at)
+        self.sizes, self.starts, self.pool = sizes, starts, pool
+        return found, np.diff(ends)
 
 
 _CODERS: dict[str, Coder] = {}
@@ -216,10 +239,14 @@ def write_token_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", tex
         before, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             coder = _coder(tokenizer, load)
-            ids = batch.column(0).to_pylist()
-            for first, rows, _, _ in slices(batch.column(1), lower=False):
-                flat, sizes = coder.ids([x.decode() for x in rows])
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([ids[first : first + len(rows)]], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([pack(flat)], pa.binary())], names=["part", "before", "n_ids", "doc_ids", "sizes", "image"])
+            ids, texts = batch.column(0), batch.column(1)
+            run_of = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)) // LOOKUP_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), len(batch)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                if first == last:
+                    continue
+                flat, sizes = coder.ids(texts.slice(first, last - first))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([ids.slice(first, last - first).to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([pack(flat)], pa.binary())], names=["part", "before", "n_ids", "doc_ids", "sizes", "image"])
                 before += len(flat)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")

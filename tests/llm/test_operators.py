@@ -234,6 +234,26 @@ def test_coder_equals_the_tokenizer():
     assert sizes.tolist() == [len(x) for x in expected] and flat.tolist() == [i for x in expected for i in x]
 
 
+def test_coder_encodes_new_pieces_together(monkeypatch):
+    """Many new pieces take few calls' worth of texts, and ids stay right when remembered pieces are dropped."""
+    from runledger.llm import token_ids
+
+    tokenizer, rng, given = load_tokenizer("byte_bpe_50k.json"), random.Random(5), []
+    coder = Coder(tokenizer)
+    encode = coder.encode
+    coder.encode = lambda texts, **kw: given.extend(texts) or encode(texts, **kw)
+    texts = [" ".join("".join(rng.choice("abcdé.,'7ñ\U0001f600") for _ in range(rng.randrange(1, 12))) for _ in range(400)).replace(" a", "\na") for _ in range(20)]
+    expected = [[*x.ids, 2] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    flat, sizes = coder.ids(texts)
+    assert len(given) < 400 and sizes.tolist() == [len(x) for x in expected] and flat.tolist() == [i for x in expected for i in x]
+    monkeypatch.setattr(token_ids, "MOST_CACHED", 1000)
+    for x, ids in list(zip(texts, expected, strict=True)) * 2:
+        assert coder.ids([x])[0].tolist() == ids and len(coder.known) < 2000
+    for c in map(chr, range(0x3001)):
+        x = f"one{c}two {c}"
+        assert coder.ids([x])[0].tolist() == [*tokenizer.encode(x, add_special_tokens=False).ids, 2], hex(ord(c))
+
+
 @pytest.mark.parametrize("which", ["small", "odd"])
 def test_token_files(spark, small, which):
     docs = documents(spark, small) if which == "small" else odd_documents(spark)
