@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
@@ -254,6 +256,28 @@ def test_coder_encodes_new_pieces_together(monkeypatch):
         assert coder.ids([x])[0].tolist() == [*tokenizer.encode(x, add_special_tokens=False).ids, 2], hex(ord(c))
 
 
+def test_equal_letters_are_looked_up_once(monkeypatch):
+    """Spellings' counts, inputs and scores are those of every byte by itself, but equal bytes after equal bytes are looked up once."""
+    rng, met, slots_of = random.Random(2), [], lm_scoring.letter_slots
+    words = ["".join(rng.choice(["tion", "ing", "é", "a"]) for _ in range(rng.randrange(1, 9))).encode() for _ in range(500)]
+    slots, bits, word = spelling(words)
+    counts = np.zeros(2 * lm_scoring.SLOTS, np.float32)
+    np.add.at(counts, 2 * slots + bits, 1)
+    monkeypatch.setattr(lm_scoring, "letter_slots", lambda key: met.append(len(key)) or slots_of(key))
+    monkeypatch.setattr(lm_scoring, "_chunked", lambda found: iter([found]))
+    learned = np.array([i % 3 for i in range(len(words))])
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(learned), pa.array(learned)], names=["word", "n_all", "n"])
+    assert (next(lm_scoring._slot_counts(iter([batch]))) == counts).all()
+    shared = SimpleNamespace(value=counts.reshape(-1, 2).T)
+    x, gate = Mixer.inputs(*lm_scoring.left_out(shared.value, slots, bits))
+    found = [np.concatenate(v, axis=-1) for v in zip(*lm_scoring._spelling_inputs([batch], shared.value), strict=True)]
+    assert (found[0] == x).all() and (found[1] == gate).all() and (found[2] == bits).all()
+    p = Mixer().probability(*Mixer.inputs(*lm_scoring.left_out(shared.value, slots, bits, (learned > 0)[word])))
+    logs = np.bincount(word, np.log10(np.where(bits == 1, p, 1 - p)))
+    assert np.allclose(next(lm_scoring._spelled(Mixer(), shared)(iter([batch]))).column(3).to_numpy(), logs, rtol=1e-9)
+    assert max(met) < len(bits) / 8 / 3
+
+
 @pytest.mark.parametrize("which", ["small", "odd"])
 def test_token_files(spark, small, which):
     docs = documents(spark, small) if which == "small" else odd_documents(spark)
