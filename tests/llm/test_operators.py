@@ -453,6 +453,41 @@ def test_lm_prefers_the_corpus(spark):
     assert score_texts(docs, F.lit(True)).where("n_known > 0 or train_tokens > 0").count() == 0
 
 
+def test_equal_tokens_are_counted_together(monkeypatch):
+    """Counts and inputs of words are those of every bit by itself, but equal symbols after equal contexts are spread out once."""
+    rng, met, places = random.Random(7), [], lm_scoring.Codes.places
+    known = [f"w{i}" for i in range(90)]
+    texts = [" ".join(rng.choices([*known, "new", "other"], [1 / (i + 1) for i in range(92)], k=rng.randrange(60))) for _ in range(400)]
+    hashes = lm_scoring.words_of(np.frombuffer(" ".join(known).encode(), np.uint8))[2]
+    codes = lm_scoring.Codes(hashes, np.arange(len(known), 0, -1), len(texts), 50)
+    column = pa.array([*texts, None, ""])
+    (_, _, _, _, _, h, bounds) = next(lm_scoring.word_slices(column))
+    symbol, function, before, text = codes.tokens(h, bounds)
+    slots, bits, token = codes.spread(symbol, function, before)
+    counts = np.zeros(2 * lm_scoring.WORD_SLOTS, np.float32)
+    np.add.at(counts, 2 * slots + bits, 1)
+    monkeypatch.setattr(lm_scoring.Codes, "places", lambda self, own: met.append(len(own)) or places(self, own))
+    monkeypatch.setattr(lm_scoring, "_chunked", lambda found: iter([found]))
+    found = next(lm_scoring._word_counts(SimpleNamespace(value=codes))(iter([pa.RecordBatch.from_arrays([column], names=["text"])])))
+    assert (found == counts).all() and sum(met) < len(symbol)
+    table, held = counts.reshape(-1, 2).T, text % 3 == 0
+    answers, marks = lm_scoring.WordAnswers(codes, table), codes.marked(h, bounds)[1]
+    for own in (None, held):
+        x, gate, b, t = answers.inputs(symbol, marks, before, own)
+        wanted = lm_scoring.word_inputs(*lm_scoring.left_out(table, slots, bits, True if own is None else ~own[token]))
+        assert (x == wanted[0]).all() and (gate == wanted[1]).all() and (b == bits).all() and (t == token).all()
+
+
+def test_places_of_hashes():
+    """Also of hashes with equal leading bits, of the least and the greatest, and of none."""
+    near = [(5 << 40) + i for i in range(30)] + [0, 1, (1 << 64) - 1, 1 << 63]
+    hashes = np.array(sorted(near), np.uint64)
+    asked = np.array([*near, 7, (5 << 40) + 30, (1 << 64) - 2, (1 << 63) + 1], np.uint64)
+    at, found = lm_scoring.Places(hashes).find(asked)
+    assert found.tolist() == [x in near for x in asked.tolist()] and (hashes[at[found]] == asked[found]).all()
+    assert not lm_scoring.Places(hashes[:0]).find(asked)[1].any()
+
+
 def test_lm_is_fitted_on_every_word(spark):
     """The refinement counts the bits of all 24,000 words, each without its own counts."""
     rng = random.Random(5)
