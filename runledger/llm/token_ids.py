@@ -10,8 +10,10 @@ Spark's own writers and readers place them in any store.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -158,6 +160,15 @@ def _coder(name: str, load: Callable) -> Coder:
     return _CODERS[name]
 
 
+def _release() -> None:
+    """Gives back what this worker's coders hold: workers live on, and later stages need the memory."""
+    if _CODERS:
+        _CODERS.clear()
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def _widths(top: np.ndarray) -> np.ndarray:
     return np.where(top > 0, np.floor(np.log2(np.maximum(top, 1))) + 1, 1).astype(np.int64)
 
@@ -254,6 +265,8 @@ def write_token_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", tex
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # all files are written by now
+    _release()
     for batch in batches:
         for i in range(len(batch)):
             base = batch.column(0)[i].as_py()

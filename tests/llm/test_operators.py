@@ -256,6 +256,15 @@ def test_coder_encodes_new_pieces_together(monkeypatch):
         assert coder.ids([x])[0].tolist() == [*tokenizer.encode(x, add_special_tokens=False).ids, 2], hex(ord(c))
 
 
+def test_readers_release_the_coder():
+    """A worker that reads token files keeps no coder of an earlier write."""
+    from runledger.llm import token_ids
+
+    coder = token_ids._coder("none", lambda _: load_tokenizer("byte_bpe_50k.json"))
+    assert coder.ids(["one two"])[0].tolist()[-1] == 2 and token_ids._CODERS
+    assert list(token_ids._read(iter([]))) == [] and not token_ids._CODERS
+
+
 def test_equal_letters_are_looked_up_once(monkeypatch):
     """Spellings' counts, inputs and scores are those of every byte by itself, but equal bytes after equal bytes are looked up once."""
     rng, met, slots_of = random.Random(2), [], lm_scoring.letter_slots
