@@ -487,6 +487,51 @@ def test_equal_tokens_are_counted_together(monkeypatch):
         assert (x == wanted[0]).all() and (gate == wanted[1]).all() and (b == bits).all() and (t == token).all()
 
 
+def test_near_nodes_have_near_slots():
+    """Four bits after each other, of a byte or a code, lie in one block of 16 slots in each context, and no two of them in one slot."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 9))).encode() for _ in range(300)]
+    slots = lm_scoring.letter_slots(lm_scoring.letters(words)[0])[0][1:]
+    assert (slots.reshape(len(slots), -1, 4) >> 4 == slots[:, ::4, None] >> 4).all() and (np.diff(np.sort(slots.reshape(len(slots), -1, 4)), axis=2) > 0).all()
+    codes = lm_scoring.Codes(np.arange(1, 400, dtype=np.uint64), np.array([100_000 // i for i in range(1, 400)]), 50, 20)
+    for symbol in range(len(codes.sizes)):
+        found, _, _ = codes.spread(np.array([symbol]), np.array([5], np.uint64), np.array([6 << 20], np.uint64))
+        for own, bottom in zip(found[1:], (0, 1 << lm_scoring.CONTEXT_BITS), strict=True):
+            own = own - lm_scoring.CODED - 2 - bottom
+            assert all(len(set((own[at : at + 4] >> 4).tolist())) == 1 and len(set(own[at : at + 4].tolist())) == len(own[at : at + 4]) for at in range(0, len(own), 4))
+
+
+def test_chunks_of_counts_are_narrow():
+    """Chunks of counts come back as they were, in as few bytes as the largest needs."""
+    for most, size in ((1, 1), (255, 1), (256, 2), (65_536, 4), (1 << 32, 8)):
+        counts = np.arange(lm_scoring.CHUNK, dtype=np.int64) % 200
+        counts[7] = most
+        packed = lm_scoring._packed(counts)
+        assert len(packed) == size * lm_scoring.CHUNK and (lm_scoring._unpacked(packed) == counts).all()
+
+
+def test_only_escaped_words_are_looked_up(monkeypatch):
+    """Words with a code are answered by their symbols, and letters that aren't needed for outcomes have none."""
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    asked, find = [], lm_scoring.Places.find
+    monkeypatch.setattr(lm_scoring.Places, "find", lambda self, h: asked.append((len(self.hashes), len(h))) or find(self, h))
+    hash_of = lambda ws: lm_scoring.words_of(np.frombuffer(" ".join(ws).encode(), np.uint8))[2]
+    codes = lm_scoring.Codes(hash_of(["a", "b"]), np.array([5, 3]), 2, 4)
+    table, h = np.ones((2, lm_scoring.WORD_SLOTS), np.float32), np.sort(hash_of(["c", "dd", "e"]))
+    lexicon = (np.array([-1.0, -2.0, 0.0, 0.0]), h, np.ones(3), np.full(3, -3.0), np.full(3, -4.0), np.full(3, -5.0))
+    shared = [SimpleNamespace(value=x) for x in (lexicon, codes, table)]
+    run = lm_scoring._scored(*shared, Mixer(lm_scoring.WORD_WEIGHTS, lm_scoring.WORD_GATES), SimpleNamespace(value=np.zeros(1 << (lm_scoring.FILTER_BITS - 3), np.uint8)), -0.1)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c a new", "b"]), pa.array([True, False])], names=["doc_id", "text", "held_out"])
+    sums, rare = run(iter([batch]))
+    assert sums.column(6).to_pylist() == [4, 1] and sums.column(7).to_pylist() == [-7.0, -2.0]
+    assert rare.column(4).to_numpy().view(np.uint64).tolist() == hash_of(["new"]).tolist() and (3, 2) in asked
+    outcomes = []
+    monkeypatch.setattr(Mixer, "outcomes", lambda self, *_: outcomes.append(1))
+    words = pa.RecordBatch.from_arrays([pa.array([b"one", b"two"])], names=["word"])
+    list(lm_scoring._fitted(Mixer(), lm_scoring._spelling_inputs, SimpleNamespace(value=np.ones((2, lm_scoring.SLOTS), np.float32)), 0.25, False)(iter([words])))
+    assert not outcomes
+
+
 def test_places_of_hashes():
     """Also of hashes with equal leading bits, of the least and the greatest, and of none."""
     near = [(5 << 40) + i for i in range(30)] + [0, 1, (1 << 64) - 1, 1 << 63]
