@@ -87,11 +87,15 @@ def registered_gaps(registered: DataFrame, listed: DataFrame, created: Column) -
 
 
 def collapsed_references(refs: DataFrame) -> DataFrame:
-    """References (place, path, referrer, digest, bytes) by path: the number of referrers and the first digest and size that one of them states."""
-    # two steps, so that a path that very many records name is counted map-side
-    facts = refs.groupBy("path", "referrer").agg(F.min(F.when(F.col("digest").isNotNull(), F.struct("place", "digest"))).alias("d"), F.min(F.when(F.col("bytes").isNotNull(), F.struct("place", "bytes"))).alias("b"))
-    own = facts.groupBy("path").agg(F.count("*").alias("referrers"), F.min("d").alias("d"), F.min("b").alias("b"))
-    return own.select("path", "referrers", F.col("d.digest").alias("digest"), F.col("b.bytes").alias("bytes"))
+    """References (place, path, referrer, digest, bytes) by path: the number of referrers and the first digest and size that one of them states.
+
+    ``place`` may be a struct; of records with equal places the least digest and size count.
+    """
+    # referrers apart from facts: each is counted or held map-side, also for a path that very many records name, and no fact travels with a referrer
+    named = refs.groupBy("path").agg(F.countDistinct("referrer").alias("referrers"))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("place", c)))[c].alias(c)
+    facts = refs.groupBy(F.col("path").alias("own")).agg(first("digest"), first("bytes"))
+    return named.join(facts, F.col("path").eqNullSafe(F.col("own"))).select("path", "referrers", "digest", "bytes")
 
 
 def listing_totals(files: DataFrame) -> DataFrame:

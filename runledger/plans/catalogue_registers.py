@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runledger.fixtures import table
+from runledger.fixtures import placed, table
 from runledger.operators import registers, validate
 from runledger.plans.catalogue import query, rounded
 
@@ -91,7 +91,8 @@ def backup_gaps(spark, d):
 
 @query("select path, count(distinct run_id) as referrers, arg_min(digest, place) filter (digest is not null) as digest, arg_min(bytes, place) filter (bytes is not null) as bytes from {fx_registered} group by path")
 def reference_collapse(spark, d):
-    return registers.collapsed_references(table(spark, d, "fx_registered").withColumnRenamed("run_id", "referrer"))
+    rows = placed(spark, d, "fx_registered").withColumn("place", F.struct("place", "source_row"))
+    return registers.collapsed_references(rows.withColumnRenamed("run_id", "referrer"))
 
 
 @query("with f as (select source as class, md5(text) as digest, count(*) as n, min(strlen(text)) as one from {documents} group by all) select class, sum(n)::bigint as files, sum(n * one)::bigint as bytes, sum(n - 1)::bigint as repeats, sum((n - 1) * one)::bigint as repeat_bytes from f group by class")

@@ -1,8 +1,11 @@
 """Edge cases of the registers by hand."""
 
+import duckdb
+from oracle import assert_same
 from pyspark.sql import functions as F
 
 from runledger.operators import registers
+from runledger.plans import catalogue
 
 
 def test_scalars(spark):
@@ -28,3 +31,12 @@ def test_nearest_decade_and_empty_tables(spark):
     grades = spark.createDataFrame([], "run string, grade string")
     owners = spark.createDataFrame([("a",)], "run string")
     assert registers.lowest_grade(owners, grades, "run", ["declared", "recorded"]).first()["grade"] == "declared"
+
+
+def test_first_of_equal_places(spark, tmp_path):
+    """Of records with one path and place the one that stands first in the table states digest and size, whatever their order as values."""
+    rows = "(4, 9), (4, 7), (5, 7), (5, 9), (4, 8)"
+    duckdb.execute(f"copy (select 12::bigint as l_orderkey, 1 as l_linenumber, p::bigint as l_partkey, k::bigint as l_suppkey, k::double as l_quantity, timestamp '1996-01-01' as l_shipdate from (values {rows}) t(p, k)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    got = catalogue.queries()["reference_collapse"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [("f4", 1, "h9", 9), ("f5", 1, "h7", 7)]
+    assert_same(got, tmp_path, catalogue.oracle_sql()["reference_collapse"])
