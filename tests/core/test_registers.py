@@ -1,10 +1,12 @@
 """Edge cases of the registers by hand."""
 
+import random
+
 import duckdb
 from oracle import assert_same
 from pyspark.sql import functions as F
 
-from runledger.operators import registers
+from runledger.operators import registers, validate
 from runledger.plans import catalogue
 
 
@@ -40,3 +42,20 @@ def test_first_of_equal_places(spark, tmp_path):
     got = catalogue.queries()["reference_collapse"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.collect()) == [("f4", 1, "h9", 9), ("f5", 1, "h7", 7)]
     assert_same(got, tmp_path, catalogue.oracle_sql()["reference_collapse"])
+
+
+def test_clean_subsets_without_a_row_per_run_and_sample(spark):
+    rng = random.Random(6)
+    names = ["a", "b", "c", "d", "e"]
+    plan = [(rng.choice(names), rng.choice(["train", "eval", "eval", None]), rng.choice([*range(40), None])) for _ in range(45)]
+    trained = [(f"r{i}", rng.choice([*names, "none"])) for i in range(30)]
+    found = validate.clean_subsets(spark.createDataFrame(plan, "subset string, role string, sample_id long"), spark.createDataFrame(trained, "run_id string, subset string"))
+    held = {(s, x) for s, r, x in plan if r not in ("train", None)}
+    wanted = set()
+    for run in {r for r, _ in trained}:
+        own = {s for r, s in trained if r == run}
+        seen = {x for s, _, x in plan if s in own and x is not None}
+        wanted |= {(run, s) for s, _ in held if s not in own and not any(x in seen for t, x in held if t == s)}
+    assert {tuple(r) for r in found.select("run_id", "subset").collect()} == wanted and 0 < len(wanted) < 30 * 4
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("sample_id" in x for x in joins)
