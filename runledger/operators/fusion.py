@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,70 +61,175 @@ def _pieces(boxes: DataFrame, cell: float) -> DataFrame:
     return rows
 
 
+#: Groups of more boxes than HOT (and than four buckets' mean) are cut by Spark; they are looked for by buckets of hashed keys.
+HOT = 50_000
+BUCKETS = 16_384
+#: Up to this many boxes, groups are fused side by side, one box of each at a time.
+SMALL = 32
+
+
+def _spread(rows: DataFrame, cell: float, hot: int) -> tuple[DataFrame, list[str]]:
+    """The boxes and the columns by which they go to tasks: image and category, and if some of these have very many boxes, the part of those.
+
+    Counts are of buckets of keys first, so only a bucket with many boxes has its
+    keys counted; at most BUCKETS counts and a quarter as many keys are collected
+    or broadcast.
+    """
+    keys = ["image_id", "category_id"]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    full = rows.groupBy(bucket.alias("bucket")).count().where(F.col("count") > hot).collect()
+    most = max(hot, 4 * sum(r["count"] for r in full) // BUCKETS)
+    wanted = [r["bucket"] for r in full if r["count"] > most]
+    if not wanted:
+        return rows, keys
+    large = F.broadcast(rows.where(bucket.isin(wanted)).groupBy(*keys).count().where(F.col("count") > most).select(*keys))
+    cut = _pieces(rows.join(large, keys, "left_semi"), cell)
+    return rows.join(large, keys, "left_anti").withColumn("part", F.lit("")).unionByName(cut), [*keys, "part"]
+
+
 PLACE = ["x1", "y1", "x2", "y2"]
+CLUSTERS = "image_id long, category_id int, q double, turn_a double, turn_b double, x1 double, y1 double, x2 double, y2 double, total double, most double, n long"
+
+
+def _parted(group: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers of the parts of each group, cut like `_strips` but at every gap."""
+    for _ in range(ROUNDS):
+        for low, high in ((0, 2), (1, 3)):
+            order = np.lexsort((place[:, low], group))
+            g, ends = group[order], place[order, high]
+            values, rank = np.unique(ends, return_inverse=True)
+            # the largest end so far in the group: groups ascend, so they outweigh ranks
+            reach = values[np.maximum.accumulate(g * len(values) + rank) % len(values)]
+            new = np.r_[True, (g[1:] != g[:-1]) | (place[order[1:], low] >= reach[:-1])]
+            group = np.empty_like(group)
+            group[order] = np.cumsum(new) - 1
+    return group
+
+
+def _together(q: np.ndarray, place: np.ndarray, starts: np.ndarray, sizes: np.ndarray, iou: float):
+    """Greedy clusters of groups of boxes in order, box by box: (first box, corners, total, most, count) of each cluster."""
+    turn = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[turn], sizes[turn]
+    groups, slots = len(sizes), int(sizes[0])
+    # per group and cluster: sums of q * corners, of corners, of q, the largest q, the count, the first box
+    heavy, plain, corners = np.zeros((3, groups, slots, 4))
+    total, most, area = np.zeros((3, groups, slots))
+    count, lead = np.zeros((2, groups, slots), np.int64)
+    n = np.zeros(groups, np.int64)
+    for k in range(slots):
+        m = int(np.searchsorted(-sizes, -k))
+        at = starts[:m] + k
+        a, w = place[at], q[at]
+        to = n[:m].copy()
+        if k:
+            side = np.minimum(corners[:m, :k, 2:], a[:, None, 2:]) - np.maximum(corners[:m, :k, :2], a[:, None, :2])
+            both = np.where((side > 0).all(axis=2), side[..., 0] * side[..., 1], 0.0)
+            union = area[:m, :k] + ((a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]))[:, None] - both
+            share = np.divide(both, union, out=np.zeros((m, k)), where=union > 0)
+            share[np.arange(k) >= n[:m, None]] = -np.inf
+            found = share.argmax(axis=1)
+            to = np.where(share[np.arange(m), found] > iou, found, to)
+        own = (np.arange(m), to)
+        opened = to == n[:m]
+        lead[own] = np.where(opened, at, lead[own])
+        n[:m] += opened
+        heavy[own] += w[:, None] * a
+        plain[own] += a
+        total[own] += w
+        count[own] += 1
+        most[own] = np.maximum(most[own], w)
+        c, t = count[own][:, None], total[own][:, None]
+        mean = np.where(t > 0, heavy[own] / np.where(t > 0, t, 1.0), plain[own] / c)
+        corners[own] = now = np.where(c == 1, a, mean)
+        area[own] = (now[:, 2] - now[:, 0]) * (now[:, 3] - now[:, 1])
+    used = np.arange(slots) < n[:, None]
+    return lead[used], corners[used], total[used], most[used], count[used]
+
 
+def _alone(q: np.ndarray, place: np.ndarray, iou: float):
+    """Like `_together` for one large group."""
+    size = len(q)
+    heavy, plain, corners = np.zeros((3, size, 4))
+    total, most, area = np.zeros((3, size))
+    count, lead = np.zeros((2, size), np.int64)
+    n = 0
+    for i in range(size):
+        a, to = place[i], n
+        if n:
+            side = np.minimum(corners[:n, 2:], a[2:]) - np.maximum(corners[:n, :2], a[:2])
+            both = np.where((side > 0).all(axis=1), side[:, 0] * side[:, 1], 0.0)
+            union = area[:n] + (a[2] - a[0]) * (a[3] - a[1]) - both
+            share = np.divide(both, union, out=np.zeros(n), where=union > 0)
+            found = int(share.argmax())
+            to = found if share[found] > iou else n
+        if to == n:
+            lead[n] = i
+            n += 1
+        heavy[to] += q[i] * a
+        plain[to] += a
+        total[to] += q[i]
+        count[to] += 1
+        most[to] = max(most[to], q[i])
+        corners[to] = a if count[to] == 1 else heavy[to] / total[to] if total[to] > 0 else plain[to] / count[to]
+        area[to] = (corners[to, 2] - corners[to, 0]) * (corners[to, 3] - corners[to, 1])
+    return lead[:n], corners[:n], total[:n], most[:n], count[:n]
 
-def _clustered(iou: float):
-    """Greedy clusters of each run of equal (image_id, category_id, part), whose boxes come by falling weighted score."""
-
-    def clusters(q: np.ndarray, place: np.ndarray):
-        size = len(q)
-        # per cluster: sums of q * corners, of corners, of q, the largest q, the count, the first box
-        heavy, plain, corners = np.zeros((size, 4)), np.zeros((size, 4)), np.zeros((size, 4))
-        total, most, count, lead = np.zeros(size), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        area = np.zeros(size)
-        n = 0
-        for i in range(size):
-            a, to = place[i], n
-            if n:
-                side = np.minimum(corners[:n, 2:], a[2:]) - np.maximum(corners[:n, :2], a[:2])
-                both = np.where((side > 0).all(axis=1), side[:, 0] * side[:, 1], 0.0)
-                union = area[:n] + (a[2] - a[0]) * (a[3] - a[1]) - both
-                share = np.divide(both, union, out=np.zeros(n), where=union > 0)
-                found = int(share.argmax())
-                to = found if share[found] > iou else n
-            if to == n:
-                lead[n] = i
-                n += 1
-            heavy[to] += q[i] * a
-            plain[to] += a
-            total[to] += q[i]
-            count[to] += 1
-            most[to] = max(most[to], q[i])
-            corners[to] = a if count[to] == 1 else heavy[to] / total[to] if total[to] > 0 else plain[to] / count[to]
-            area[to] = (corners[to, 2] - corners[to, 0]) * (corners[to, 3] - corners[to, 1])
-        return corners[:n], total[:n], most[:n], count[:n], lead[:n]
-
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        key = pd.factorize(pd.MultiIndex.from_frame(rows[["image_id", "category_id", "part"]]))[0]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        q, place = rows["q"].to_numpy(float), rows[PLACE].to_numpy(float)
-        found = [(a, clusters(q[a:b], place[a:b])) for a, b in zip(starts, np.r_[starts[1:], len(rows)], strict=True)]
-        first = np.concatenate([a + c[4] for a, c in found])
-        out = rows.iloc[first][["image_id", "category_id", "q", "turn_a", "turn_b"]].reset_index(drop=True)
-        out[PLACE] = np.concatenate([c[0] for _, c in found])
-        for name, k in (("total", 1), ("most", 2), ("n", 3)):
-            out[name] = np.concatenate([c[k] for _, c in found])
-        return out
+
+def _clustered(iou: float, keys: list[str]):
+    """Greedy clusters of each run of equal ``keys``; boxes of a run come in any order."""
+
+    def changes(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+        found = np.zeros(max(rows.num_rows - 1, 0), bool)
+        for k in keys:
+            own = rows[k].to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows[k].to_numpy()
+            found |= own[1:] != own[:-1]
+        return found
+
+    def whole(rows: pa.Table) -> pa.RecordBatch:
+        column = {k: rows[k].to_numpy() for k in rows.column_names}
+        group = np.r_[0, np.cumsum(changes(rows))]
+        place = np.stack([column[k] for k in PLACE], axis=1)
+        large = np.bincount(group)[group] > SMALL
+        if large.any():
+            # parts of large groups are numbered after all groups
+            group[large] = len(group) + _parted(group[large], place[large])
+        turns = [column[k] for k in ("turn_a", "turn_b") if k in column]
+        order = np.lexsort((*place.T[::-1], *turns[::-1], -column["q"], group))
+        group, place, q = group[order], place[order], column["q"][order]
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        sizes = np.diff(np.r_[starts, len(group)])
+        small = sizes <= SMALL
+        found = [_together(q, place, starts[small], sizes[small], iou)] if small.any() else []
+        for a, n in zip(starts[~small], sizes[~small], strict=True):
+            lead, *rest = _alone(q[a : a + n], place[a : a + n], iou)
+            found.append((lead + a, *rest))
+        lead, corners, total, most, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        first = {k: v[order[lead]] for k, v in column.items()}
+        # without a turn it is the place
+        tied = [first.get("turn_a", first["x1"]), first.get("turn_b", first["y1"])]
+        names = [x.split()[0] for x in CLUSTERS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (first["image_id"], first["category_id"], first["q"], *tied, *corners.T, total, most, count)], names=names)
 
     def run(batches):
-        kept = None
+        held: list[pa.RecordBatch] = []
         for rows in batches:
-            rows = rows if kept is None else pd.concat([kept, rows], ignore_index=True)
-            if not len(rows):
+            if not rows.num_rows:
                 continue
-            last = rows.iloc[-1]
-            open_ = ((rows["image_id"] == last["image_id"]) & (rows["category_id"] == last["category_id"]) & (rows["part"] == last["part"])).to_numpy()
-            done, kept = rows[~open_], rows[open_].reset_index(drop=True)
-            if len(done):
-                yield whole(done.reset_index(drop=True))
-        if kept is not None and len(kept):
-            yield whole(kept)
+            joint = [held[-1].slice(held[-1].num_rows - 1), rows] if held else [rows]
+            cuts = np.flatnonzero(changes(pa.Table.from_batches(joint)))
+            if len(cuts):
+                end = int(cuts[-1]) + (1 if len(joint) == 1 else 0)
+                yield whole(pa.Table.from_batches([*held, rows.slice(0, end)]))
+                held = []
+                rows = rows.slice(end)
+            held.append(rows)
+        if held:
+            yield whole(pa.Table.from_batches(held))
 
     return run
 
 
-def fuse_boxes(boxes: DataFrame, members: int | Sequence[float], iou: float = 0.55, *, conf: str = "avg", skip: float = 0.0, min_score: float = 0.0, top: int | None = None, turn: str | None = None, size: tuple[float, float] | None = None, cell: float = CELL) -> DataFrame:
+def fuse_boxes(boxes: DataFrame, members: int | Sequence[float], iou: float = 0.55, *, conf: str = "avg", skip: float = 0.0, min_score: float = 0.0, top: int | None = None, turn: str | None = None, size: tuple[float, float] | None = None, cell: float = CELL, hot: int = HOT) -> DataFrame:
     """Weighted boxes fusion per image and category.
 
     ``boxes`` has image_id, category_id, x, y, w, h, score and weight (its
@@ -139,24 +244,19 @@ def fuse_boxes(boxes: DataFrame, members: int | Sequence[float], iou: float = 0.
     then the order in which clusters began. ``size`` (width, height) clips the
     result. Boxes with a null in any of these columns are left out.
 
-    An image and category is first cut along lines that meet no box, so that one
-    with very many boxes is fused in parts; boxes that overlap in one chain stay
-    in one task. A part of one box needs no Python.
+    Boxes are shuffled once, by image and category. One with more than ``hot`` boxes
+    is first cut along lines that meet no box, and its parts go to tasks of their
+    own; boxes that overlap in one chain stay in one task.
     """
     if conf not in ("avg", "max"):
         raise ValueError("conf is avg or max")
     weights = [1.0] * members if isinstance(members, int) else [float(x) for x in members]
     x, y, w, h, score, weight = (F.col(c).cast("double") for c in ("x", "y", "w", "h", "score", "weight"))
-    order = (F.col(turn).cast("double"), F.lit(0.0)) if turn else (x, y)
-    rows = boxes.where(score >= skip).select(F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), (score * weight).alias("q"), order[0].alias("turn_a"), order[1].alias("turn_b")).dropna()
-    rows = _pieces(rows, cell)
-    keys = ["image_id", "category_id", "part"]
-    alone = F.count("*").over(Window.partitionBy(*keys))
-    rows = rows.withColumn("alone", alone == 1)
-    out = ["image_id", "category_id", "q", "turn_a", "turn_b", *PLACE, "total", "most", "n"]
-    singles = rows.where("alone").select("image_id", "category_id", "q", "turn_a", "turn_b", *PLACE, F.col("q").alias("total"), F.col("q").alias("most"), F.lit(1).cast("long").alias("n"))
-    many = rows.where("not alone").drop("alone").repartition(*keys).sortWithinPartitions(*keys, F.desc("q"), "turn_a", "turn_b", *PLACE)
-    fused = singles.unionByName(many.mapInPandas(_clustered(iou), "image_id long, category_id int, q double, turn_a double, turn_b double, x1 double, y1 double, x2 double, y2 double, total double, most double, n long").select(*out))
+    # with a turn, its columns travel along; the place does anyway
+    order = [F.col(turn).cast("double").alias("turn_a"), F.lit(0.0).alias("turn_b")] if turn else []
+    rows = boxes.where(score >= skip).select(F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), (score * weight).alias("q"), *order).dropna()
+    rows, keys = _spread(rows, cell, hot)
+    fused = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_clustered(iou, keys), CLUSTERS)
     n, own = F.col("n"), F.lit(sum(weights))
     value = F.col("most") / max(weights) if conf == "max" else F.col("total") / n * F.least(n, F.lit(len(weights))) / own
     fused = fused.withColumn("score", F.least(F.lit(1.0), value)).where(F.col("score") >= min_score)

@@ -51,6 +51,21 @@ def test_fusion_equals_the_sequential_rule(spark, conf):
         assert a == pytest.approx(b, abs=2e-6)
 
 
+def test_boxes_are_shuffled_once_unless_an_image_is_hot(spark):
+    rng = random.Random(11)
+    rows = [(0 if i % 3 else i % 29, i % 2, float(rng.randrange(900 if i % 2 else 60)), float(rng.randrange(60)), float(rng.randrange(1, 30)), float(rng.randrange(1, 30)), rng.randrange(6) / 5, 1.0, i) for i in range(600)]
+    near = lambda rs: sorted(tuple(round(v, 4) for v in r) for r in rs)
+    wanted = near(fused_by_hand([(*r[:8], (r[2], r[3])) for r in rows], [1.0], 0.4, "avg"))
+    boxes = spark.createDataFrame(rows, FUSED).repartition(5)
+    for hot in (fusion.HOT, 20):
+        df = fusion.fuse_boxes(boxes, 1, 0.4, cell=7.0, hot=hot)
+        if hot == fusion.HOT:
+            # the other exchange is the test's own
+            assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+        got = near(df.collect())
+        assert got == wanted and any(r[7] > 2 for r in got)
+
+
 def test_fusion_parameters(spark):
     one = [(1, 0, -5.0, 0.0, 20.0, 10.0, 0.8, 2.0, 0)]
     boxes = spark.createDataFrame(one, FUSED)
