@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from runledger.storage import prepare
+
 
 def fuse_mean(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted mean of the members' scores per sample and class; every member must have the key, else it is left out."""
@@ -256,6 +258,7 @@ def fuse_boxes(boxes: DataFrame, members: int | Sequence[float], iou: float = 0.
     order = [F.col(turn).cast("double").alias("turn_a"), F.lit(0.0).alias("turn_b")] if turn else []
     rows = boxes.where(score >= skip).select(F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), (score * weight).alias("q"), *order).dropna()
     rows, keys = _spread(rows, cell, hot)
+    prepare(boxes.sparkSession)
     fused = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_clustered(iou, keys), CLUSTERS)
     n, own = F.col("n"), F.lit(sum(weights))
     value = F.col("most") / max(weights) if conf == "max" else F.col("total") / n * F.least(n, F.lit(len(weights))) / own

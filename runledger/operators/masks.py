@@ -6,58 +6,112 @@ image of the given height.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from runledger.storage import prepare
+
 #: Fixed values of the scan rule and of the text format.
 SUB = 5
 FIRST_CHAR = 48
 BITS = 5
 
 
+#: Numbers, characters and crossings that are worked on at once; a text is never cut.
+AT_ONCE = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray):
+    """The batch in slices of at most AT_ONCE by the sizes of its rows, or of one row."""
+    upto, at = np.cumsum(sizes.astype(np.int64)), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _crossed(x: np.ndarray, y: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int, height: int):
+    """Runs (ring, start, len) of rings with corners on the fine grid, edge by edge and column by column."""
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    after = np.arange(1, len(x) + 1)
+    after[first + sizes - 1] = first
+    u, v = x[after], y[after]
+    # the walk goes along the longer side, from its smaller end
+    flat = np.abs(u - x) >= np.abs(v - y)
+    back = np.where(flat, x > u, y > v)
+    xs, ys, xe, ye = (np.where(back, p, q) for p, q in ((u, x), (v, y), (x, u), (y, v)))
+    c0 = np.maximum(0, -((2 - np.minimum(xs, xe)) // SUB))
+    c1 = np.minimum(width - 1, (np.maximum(xs, xe) - 3) // SUB)
+    passed = np.maximum(0, c1 - c0 + 1)
+    upto = np.cumsum(passed)
+    stride = width * height + 1
+    marks, at = np.zeros(0, np.int64), 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, "right")))
+        edge = np.repeat(np.arange(at, to), passed[at:to])
+        c = c0[edge] + np.arange(len(edge)) - np.repeat(upto[at:to] - passed[at:to], passed[at:to]) + (upto[at - 1] if at else 0)
+        level, wide = np.zeros(len(edge), np.int64), flat[edge]
+        # height at a step of a flat walk, rounded half up, both divisions towards zero
+        e, column = edge[wide], c[wide]
+        run, rise, step = xe[e] - xs[e], ye[e] - ys[e], SUB * column + 2 - xs[e]
+        heights = []
+        for t in (step, step + 1):
+            top = 2 * (ys[e] * run + rise * t) + run
+            heights.append(np.sign(top) * (np.abs(top) // (2 * run)))
+        level[wide] = np.minimum(*heights)
+        # the last step of a steep walk before it passes the middle of the column: 2 (xs + s t) + 1 against 2 (5 c + 3), s = (xe - xs) / (ye - ys)
+        e, column = edge[~wide], c[~wide]
+        steps = (2 * SUB * column + 5 - 2 * xs[e]) * (ye[e] - ys[e]) / (2.0 * (xe[e] - xs[e]))
+        level[~wide] = ys[e] + np.where(xe[e] > xs[e], np.ceil(steps) - 1, np.floor(steps)).astype(np.int64)
+        # first pixel whose middle is at or below; two crossings at one pixel are none
+        row = np.clip(-((2 - level) // SUB), 0, height)
+        found, n = np.unique(np.r_[marks, ring[edge] * stride + c * height + row], return_counts=True)
+        marks, at = found[n % 2 == 1], to
+    own, start = marks // stride, marks % stride
+    new = np.r_[True, own[1:] != own[:-1]][: len(own)]
+    place = np.arange(len(own)) - np.repeat(np.flatnonzero(new), np.diff(np.r_[np.flatnonzero(new), len(own)]))
+    end = np.where(np.r_[new[1:], True][: len(own)], width * height, np.r_[start[1:], 0][: len(own)])
+    kept = (place % 2 == 0) & (end > start)
+    return own[kept], start[kept], (end - start)[kept]
+
+
 def polygon_runs(vertices: DataFrame, keys: list[str], width: int, height: int, ring: str = "ring", place: str = "place") -> DataFrame:
     """Runs of the rings of ``vertices`` (keys, ring, place, x, y), one set a ring; rings of one mask may overlap.
 
     The scan rule of the common detection format: corners are put on a grid of a
     fifth of a pixel, edges are walked on it, and where an edge passes the middle
     of a pixel column, the first pixel below is where the mask begins or ends.
-    Crossings are computed in whole numbers, edge by edge, one row a column that
-    the edge passes. What lies outside the image is cut off; rings of under three
-    corners, with an odd or missing coordinate give no run.
+    Only corners are shuffled; a ring's crossings are computed in whole numbers in
+    the task that holds it. What lies outside the image is cut off; rings of under
+    three corners, with an odd or missing coordinate give no run.
     """
+    prepare(vertices.sparkSession)
     own = [*keys, ring]
-    order = Window.partitionBy(*own).orderBy(place)
-    whole = Window.partitionBy(*own)
     fine = lambda c: (F.col(c).cast("double") * SUB + 0.5).cast("long")
-    corners = vertices.select(*own, place, fine("x").alias("x"), fine("y").alias("y"))
-    corners = corners.withColumns({"bad": F.max((F.col("x").isNull() | F.col("y").isNull()).cast("int")).over(whole), "n": F.count("*").over(whole), "nx": F.lead("x").over(order), "ny": F.lead("y").over(order), "fx": F.first("x").over(order), "fy": F.first("y").over(order)})
-    edges = corners.where("bad = 0 and n >= 3").select(*own, "x", "y", F.coalesce("nx", "fx").alias("u"), F.coalesce("ny", "fy").alias("v"))
-    # the walk goes along the longer side, from its smaller end
-    flat = F.expr("abs(u - x) >= abs(v - y)")
-    back = F.expr("if(abs(u - x) >= abs(v - y), x > u, y > v)")
-    turned = edges.select(*own, flat.alias("flat"), *[F.when(back, b).otherwise(a).alias(n) for n, a, b in (("xs", F.col("x"), F.col("u")), ("ys", F.col("y"), F.col("v")), ("xe", F.col("u"), F.col("x")), ("ye", F.col("v"), F.col("y")))])
-    low, high = F.least("xs", "xe"), F.greatest("xs", "xe")
-    first = F.greatest(F.lit(0), F.ceil((low - 2) / SUB)).cast("long")
-    last = F.least(F.lit(width - 1), F.floor((high - 3) / SUB)).cast("long")
-    passed = turned.withColumns({"c0": first, "c1": last}).where("c0 <= c1").withColumn("c", F.explode(F.sequence("c0", "c1")))
-    # height at a step of a flat walk, rounded half up, both divisions towards zero
-    at = lambda t: f"(2 * (ys * (xe - xs) + (ye - ys) * ({t})) + (xe - xs)) div (2 * (xe - xs))"
-    step = f"({SUB} * c + 2 - xs)"
-    level = F.expr(f"least({at(step)}, {at(step + ' + 1')})")
-    # the last step of a steep walk before it passes the middle of the column: 2 (xs + s t) + 1 against 2 (5 c + 3), s = (xe - xs) / (ye - ys)
-    gap = f"((2 * {SUB} * c + 5 - 2 * xs) * (ye - ys))"
-    rising = f"ceil({gap} / (2.0D * (xe - xs))) - 1"
-    falling = f"floor({gap} / (2.0D * (xe - xs)))"
-    steep = F.expr(f"ys + cast(if(xe > xs, {rising}, {falling}) as long)")
-    y = F.when(F.col("flat"), level).otherwise(steep)
-    # first pixel whose middle is at or below y
-    row = F.least(F.greatest(F.ceil((y - 2) / SUB), F.lit(0)), F.lit(height)).cast("long")
-    marks = passed.select(*own, (F.col("c") * height + row).alias("at")).groupBy(*own, "at").agg(F.count("*").alias("n")).where("n % 2 = 1")
-    along = Window.partitionBy(*own).orderBy("at")
-    runs = marks.withColumns({"turn": F.row_number().over(along), "next": F.lead("at").over(along)})
-    end = F.coalesce("next", F.lit(width * height).cast("long"))
-    return runs.where("turn % 2 = 1").select(*own, F.col("at").alias("start"), (end - F.col("at")).alias("len")).where("len > 0")
+    corners = vertices.select(*own, F.struct(F.col(place).alias("place"), fine("x").alias("x"), fine("y").alias("y")).alias("corner"))
+    odd = F.max((F.col("corner.x").isNull() | F.col("corner.y").isNull()).cast("int"))
+    rings = corners.groupBy(*own).agg(F.sort_array(F.collect_list("corner")).alias("corners"), odd.alias("odd")).where("odd = 0 and size(corners) >= 3")
+    rings = rings.select(*own, F.col("corners.x").alias("xs"), F.col("corners.y").alias("ys"))
+    kinds = T.StructType([*rings.select(*own).schema.fields, T.StructField("start", T.LongType()), T.StructField("len", T.LongType())])
+
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = pc.list_value_length(rows["xs"]).to_numpy().astype(np.int64)
+        x, y = (rows[k].flatten().to_numpy() for k in ("xs", "ys"))
+        which, start, length = _crossed(x, y, np.cumsum(sizes) - sizes, sizes, width, height)
+        which = pa.array(which)
+        return pa.RecordBatch.from_arrays([*[rows[k].take(which) for k in own], pa.array(start), pa.array(length)], names=[*own, "start", "len"])
+
+    def run(batches):
+        for batch in batches:
+            for rows in _slices(batch, pc.list_value_length(batch["xs"]).to_numpy() * width):
+                yield found(rows)
+
+    return rings.mapInArrow(run, kinds)
 
 
 def united(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,15 +133,82 @@ def counts_of(runs: DataFrame, keys: list[str], pixels: int) -> DataFrame:
     return lists.select(*keys, F.when(F.col("end") < pixels, F.concat(each, F.array((F.lit(pixels) - F.col("end")).cast("long")))).otherwise(each).alias("counts"))
 
 
+def _texts(counts: pa.Array) -> pa.Array:
+    """Texts of arrays of counts, all numbers of a batch at once."""
+    lists = counts.cast(pa.large_list(pa.int64())).fill_null([]) if counts.null_count else counts.cast(pa.large_list(pa.int64()))
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    first, values = at[:-1] - at[0], values[at[0] : at[-1]]
+    place = np.arange(len(values)) - np.repeat(first, np.diff(at))
+    moved = values.copy()
+    later = np.flatnonzero(place > 2)
+    moved[later] -= values[later - 2]
+    # groups of five bits until the rest is the sign
+    size = np.ones(len(moved), np.int64)
+    for n in range(1, 13):
+        size += (moved >> (BITS * n - 1) != 0) & (moved >> (BITS * n - 1) != -1)
+    number = np.repeat(np.arange(len(moved)), size)
+    group = np.arange(len(number)) - np.repeat(np.cumsum(size) - size, size)
+    codes = (moved[number] >> (BITS * group)) & 31
+    chars = (codes + np.where(group < size[number] - 1, 32, 0) + FIRST_CHAR).astype(np.uint8)
+    ends = np.r_[0, np.cumsum(size)][at - at[0]].astype(np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends), pa.py_buffer(chars)).cast(pa.string())
+    return pc.if_else(counts.is_valid(), texts, None)
+
+
 def text_of(counts: str = "counts"):
     """The compressed text of a column of counts: from the fourth on differences to the one two before, in groups of five bits."""
-    moved = F.transform(counts, lambda v, i: v - F.when(i > 2, F.get(F.col(counts), i - 2)).otherwise(0))
-    # groups of five bits until the rest is the sign
-    size = lambda v: F.when(v.between(-16, 15), 1).when(v.between(-512, 511), 2).when(v.between(-16384, 16383), 3).when(v.between(-524288, 524287), 4).when(v.between(-(1 << 24), (1 << 24) - 1), 5).when(v.between(-(1 << 29), (1 << 29) - 1), 6).otherwise(7)
-    power = lambda i: F.pow(F.lit(2.0), i * BITS)
-    part = lambda v, i, n: F.pmod(F.floor(v / power(i)), F.lit(32)) + F.when(i < n - 1, 32).otherwise(0) + FIRST_CHAR
-    number = lambda v: F.array_join(F.transform(F.sequence(F.lit(0), size(v) - 1), lambda i: F.chr(part(v, i, size(v)))), "")
-    return F.array_join(F.transform(moved, number), "")
+    prepare(SparkSession.active())
+
+    @F.arrow_udf("string")
+    def texts(values: pa.Array) -> pa.Array:
+        return _texts(values)
+
+    return texts(F.col(counts))
+
+
+#: Stands for every number beyond it.
+FAR = 1 << 53
+
+
+def _read(texts: pa.Array, pixels: int):
+    """Runs of sound texts and the fault of each text: (text, start, len) of each run, 0, 1 (negative) or 2 (wrong size) of each text."""
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    codes = np.frombuffer(body, np.uint8)[at[0] : at[-1]].astype(np.int64) - FIRST_CHAR if body else np.zeros(0, np.int64)
+    own = np.repeat(np.arange(len(texts)), np.diff(at))
+    # a line's end after the text
+    known = (codes >= 0) & (codes < 64)
+    codes, own = codes[known], own[known]
+    last = codes < 32
+    ends = np.flatnonzero(last)
+    starts = np.r_[0, ends[:-1] + 1][: len(ends)]
+    size, text = ends - starts + 1, own[ends]
+    codes, group = codes[: len(last)], np.arange(len(codes)) - np.repeat(starts, size)
+    low = np.add.reduceat((codes & 31) << (BITS * group), starts) if len(starts) else np.zeros(0, np.int64)
+    rough = np.add.reduceat((codes & 31) * 2.0 ** (BITS * group), starts) if len(starts) else np.zeros(0)
+    minus = (codes[ends] & 16) > 0
+    low -= np.where(minus & (size < 13), np.int64(1) << (BITS * np.minimum(size, 12)), 0)
+    rough -= np.where(minus, 2.0 ** (BITS * size), 0.0)
+    step = np.where(np.abs(rough) < FAR, low, np.where(rough < 0, -FAR, FAR))
+    new = np.r_[True, text[1:] != text[:-1]][: len(text)]
+    first = np.flatnonzero(new)
+    head = np.repeat(first, np.diff(np.r_[first, len(text)]))
+    m = np.arange(len(text)) - head
+
+    def summed(values):
+        total = np.cumsum(values)
+        return total - (total - values)[head]
+
+    # differences add up over every second number; the first number stands for itself
+    count = np.where(m == 0, step, np.where(m % 2 == 1, summed(np.where(m % 2 == 1, step, 0)), summed(np.where((m % 2 == 0) & (m > 0), step, 0))))
+    end = summed(count)
+    fault = np.zeros(len(texts), np.int64)
+    if len(first):
+        whole = np.add.reduceat(count, first)
+        fault[text[first]] = np.where(np.minimum.reduceat(count, first) < 0, 1, np.where(whole != pixels, 2, 0))
+    runs = (m % 2 == 1) & (count > 0) & (fault[text] == 0)
+    return text[runs], end[runs] - count[runs], count[runs], fault
 
 
 def runs_of_text(masks: DataFrame, keys: list[str], text: str, pixels: int) -> DataFrame:
@@ -95,42 +216,48 @@ def runs_of_text(masks: DataFrame, keys: list[str], text: str, pixels: int) -> D
 
     A mask that isn't sound has one row without a run, a sound mask without pixels none.
     """
+    prepare(masks.sparkSession)
     body = F.trim(F.col(text))
     ok = f"^[{chr(FIRST_CHAR)}-{chr(FIRST_CHAR + 63)}]+$"
-    parts = F.regexp_extract_all(body, F.lit("([P-o]*[0-O])"), F.lit(1))
     problem = F.when(body.isNull() | (body == ""), "empty").when(~body.rlike(ok), "bad_character").when(body.rlike("[P-o]$") | body.rlike("[P-o]{13}"), "torn")
-    rows = masks.withColumn("problem", problem)
-    power = lambda i: F.pow(F.lit(2.0), i * BITS)
-    low = F.aggregate(F.sequence(F.lit(1), F.length("p")), F.lit(0).cast("long"), lambda a, i: a + ((F.ascii(F.substring(F.col("p"), i, F.lit(1))) - FIRST_CHAR) % 32 * power(i - 1)).cast("long"))
-    signed = low - F.when((F.ascii(F.substring(F.col("p"), F.length("p"), F.lit(1))) - FIRST_CHAR) % 32 >= 16, power(F.length("p")).cast("long")).otherwise(0)
-    numbers = rows.where("problem is null").select(*keys, F.posexplode(parts).alias("m", "p")).select(*keys, "m", signed.alias("d"))
-    # differences add up over every second number; the first number stands for itself
-    chain = F.when(F.col("m") == 0, -1).otherwise(F.col("m") % 2)
-    every = Window.partitionBy(*keys).orderBy("m")
-    counts = numbers.withColumn("count", F.sum("d").over(Window.partitionBy(*keys, chain).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)))
-    ends = counts.withColumn("end", F.sum("count").over(every.rowsBetween(Window.unboundedPreceding, 0)))
-    total = Window.partitionBy(*keys)
-    held = ends.withColumns({"all": F.sum("count").over(total), "least": F.min("count").over(total)})
-    fault = F.when(F.col("least") < 0, "negative").when(F.col("all") != pixels, "wrong_size")
-    held = held.withColumn("problem", fault)
-    none = F.lit(None).cast("long")
-    sound = held.where("problem is null and m % 2 = 1 and count > 0").select(*keys, (F.col("end") - F.col("count")).alias("start"), F.col("count").alias("len"), "problem")
-    wrong = held.where("problem is not null and m = 0").select(*keys, none.alias("start"), none.alias("len"), "problem")
-    return sound.unionByName(wrong).unionByName(rows.where("problem is not null").select(*keys, none.alias("start"), none.alias("len"), "problem"))
+    rows = masks.select(*keys, F.when(problem.isNull(), body).alias("body"), problem.alias("problem"))
+    kinds = T.StructType([*masks.select(*keys).schema.fields, T.StructField("start", T.LongType()), T.StructField("len", T.LongType()), T.StructField("problem", T.StringType())])
+
+    def read(rows: pa.RecordBatch) -> pa.RecordBatch:
+        own, start, length, fault = _read(rows["body"].fill_null(""), pixels)
+        named = pc.if_else(pa.array(fault == 0), rows["problem"], pa.array(np.array(["", "negative", "wrong_size"])[fault], pa.string()))
+        wrong = np.flatnonzero(named.is_valid().to_numpy(zero_copy_only=False))
+        to, nothing = np.r_[own, wrong], np.r_[np.zeros(len(own), bool), np.ones(len(wrong), bool)]
+        padded = lambda v: pa.array(np.r_[v, np.zeros(len(wrong), np.int64)], mask=nothing)
+        return pa.RecordBatch.from_arrays([*[rows[k].take(pa.array(to)) for k in keys], padded(start), padded(length), named.take(pa.array(to))], names=[*keys, "start", "len", "problem"])
+
+    def run(batches):
+        for batch in batches:
+            for rows in _slices(batch, pc.binary_length(batch["body"].fill_null("")).to_numpy()):
+                yield read(rows)
+
+    return rows.mapInArrow(run, kinds)
 
 
 def overlap(runs: DataFrame, bucket: int = 4096) -> DataFrame:
     """Dice and intersection over union per class of ``runs`` (side gold or predicted, image_id, category_id, start, len).
 
-    Masks of one side, class and image are united. Runs meet by buckets of pixels,
-    in the bucket where their common part begins, so no two runs far apart are paired.
+    Masks of one side, class and image are united. Runs are cut at buckets of
+    pixels, and in each bucket one pass in order adds up what each side covers and
+    what both together do: no two runs are paired, and a large image is spread.
     """
-    own = united(runs, ["side", "image_id", "category_id"])
-    area = own.groupBy("category_id").pivot("side", ["gold", "predicted"]).agg(F.sum("len"))
-    cut = own.withColumn("end", F.col("start") + F.col("len")).withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
-    side = lambda name, n: cut.where(F.col("side") == name).select("image_id", "category_id", "b", F.col("start").alias(f"s{n}"), F.col("end").alias(f"e{n}"))
-    met = side("gold", 1).join(side("predicted", 2), ["image_id", "category_id", "b"]).where("s1 < e2 and s2 < e1").where(F.floor(F.greatest("s1", "s2") / bucket) == F.col("b"))
-    shared = met.groupBy("category_id").agg(F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).alias("both"))
-    full = area.join(shared, "category_id", "left").na.fill(0, ["gold", "predicted", "both"])
+    last = F.col("start") + F.col("len")
+    pieces = runs.where("len > 0 and side in ('gold', 'predicted')").withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((last - 1) / bucket))))
+    low, high = F.greatest(F.col("start"), F.col("b") * bucket), F.least(last, (F.col("b") + 1) * bucket)
+    pieces = pieces.select("image_id", "category_id", "b", "side", low.alias("s"), high.alias("e"))
+    before = Window.partitionBy("image_id", "category_id", "b").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+
+    def gain(end):
+        """Pixels of a row beyond those of the rows before it, of rows for which ``end`` isn't null."""
+        return F.greatest(end - F.greatest(F.col("s"), F.coalesce(F.max(end).over(before), F.col("s"))), F.lit(0))
+
+    of = lambda name: F.when(F.col("side") == name, F.col("e"))
+    gains = pieces.select("category_id", *[F.coalesce(F.when(end.isNotNull(), gain(end)), F.lit(0)).alias(name) for name, end in (("gold", of("gold")), ("predicted", of("predicted")), ("all", F.col("e")))])
+    full = gains.groupBy("category_id").agg(*[F.sum(c).alias(c) for c in ("gold", "predicted", "all")]).withColumn("both", F.col("gold") + F.col("predicted") - F.col("all"))
     one = 1.0 * F.col("both")
-    return full.select("category_id", F.col("both").alias("shared"), F.try_divide(2 * one, F.col("gold") + F.col("predicted")).alias("dice"), F.try_divide(one, F.col("gold") + F.col("predicted") - F.col("both")).alias("iou"))
+    return full.select("category_id", F.col("both").alias("shared"), F.try_divide(2 * one, F.col("gold") + F.col("predicted")).alias("dice"), F.try_divide(one, F.col("all")).alias("iou"))

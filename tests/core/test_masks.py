@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from runledger.operators import masks
@@ -118,3 +119,34 @@ def test_overlap_by_pixels(spark):
         for r in masks.overlap(table, bucket).collect():
             g, p = ({(i, x) for s, i, c, at, n in rows if s == side and c == r["category_id"] for x in range(at, at + n)} for side in ("gold", "predicted"))
             assert r["shared"] == len(g & p) and r["dice"] == pytest.approx(2 * len(g & p) / (len(g) + len(p))) and r["iou"] == pytest.approx(len(g & p) / len(g | p))
+
+
+def test_runs_meet_no_window_and_no_pairs(spark):
+    """Only corners are shuffled for runs, texts are read where they are, and overlaps pair no runs."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    corners = spark.createDataFrame([(0, 0, 0, 1.0, 1.0)], "mask long, ring int, place int, x double, y double")
+    runs = plan(masks.polygon_runs(corners, ["mask"], WIDE, TALL))
+    assert "Window" not in runs and runs.count("Exchange ") == 1
+    read = plan(masks.runs_of_text(spark.createDataFrame([(0, "05")], "mask long, text string"), ["mask"], "text", 5))
+    assert "Window" not in read and "Exchange" not in read
+    both = spark.createDataFrame([("gold", 0, 0, 0, 5)], "side string, image_id long, category_id int, start long, len long")
+    assert "Join" not in plan(masks.overlap(both))
+
+
+def test_long_numbers_and_missing_values(spark):
+    rows = [(0, "o" * 12 + "0"), (1, "o" * 12 + "O"), (2, "0" + "P" * 12 + "1"), (3, "0" + "P" * 12 + "@"), (4, " 05PP0 "), (5, "")]
+    got = [tuple(r)[1:] for r in masks.runs_of_text(spark.createDataFrame(rows, "mask long, text string"), ["mask"], "text", 5).orderBy("mask").collect()]
+    assert got == [(None, None, p) for p in ("wrong_size", "negative", "wrong_size", "negative")] + [(0, 5, None), (None, None, "empty")]
+    counts = [(0, [0, 5]), (1, None), (2, []), (3, [1 << 40, 3, 1 << 34, 1, 2, 1 << 29])]
+    texts = [r["text"] for r in spark.createDataFrame(counts, "mask long, counts array<long>").select("mask", masks.text_of().alias("text")).orderBy("mask").collect()]
+    assert texts[:3] == ["05", None, ""] and decoded(texts[3]) == counts[3][1]
+
+
+def test_crossings_in_parts(monkeypatch):
+    rng = random.Random(2)
+    sizes = np.array([rng.randrange(3, 9) for _ in range(40)])
+    x, y = (np.array([rng.randrange(-20, 5 * n + 20) for _ in range(sizes.sum())]) for n in (WIDE, TALL))
+    whole = masks._crossed(x, y, np.cumsum(sizes) - sizes, sizes, WIDE, TALL)
+    monkeypatch.setattr(masks, "AT_ONCE", 30)
+    for a, b in zip(whole, masks._crossed(x, y, np.cumsum(sizes) - sizes, sizes, WIDE, TALL), strict=True):
+        assert (a == b).all() and len(a) > 100
